@@ -170,6 +170,14 @@ def mask_prepared(df: DataFrame, s: C.Settings, prev: Column | None = None) -> D
     df = df.withColumn("_spans_out", F.expr(
         "transform(spans, x -> named_struct('start', x.start, 'end', x.end, 'ctype', x.ctype, 'ord', x.ord, "
         "'out', get(filter(_entries, e -> e.ctype = x.ctype AND e.original = x.original), 0).out))"))
+    df = finish(df, s)
+    df = df.withColumn("entries", F.filter("_entries", lambda e: e["new"]))
+    drop = ["_prev", "_entries"] + [taken_col(t) for t in s.marker_types]
+    return df.drop(*drop)
+
+
+def finish(df: DataFrame, s: C.Settings) -> DataFrame:
+    """Rewrite (``_spans_out``) + hint + prepend + entities_found + ttl."""
     df = df.withColumn("_rw", F.expr(rewrite_sql()))
     marker_types = [t for t in s.marker_types]
     has_marker = F.exists(F.col("_rw.spans"), lambda x: x["type"].isin(*marker_types))
@@ -183,9 +191,7 @@ def mask_prepared(df: DataFrame, s: C.Settings, prev: Column | None = None) -> D
         (x["start"] + shift).alias("start"), (x["end"] + shift).alias("end"), x["type"].alias("type"))))
     df = df.withColumn("entities_found", F.array_distinct(F.transform("spans", lambda x: x["ctype"])))
     df = df.withColumn("ttl", F.lit(s.mapping_ttl))
-    df = df.withColumn("entries", F.filter("_entries", lambda e: e["new"]))
-    drop = ["_prev", "_entries", "_spans_out", "_rw"] + [taken_col(t) for t in s.marker_types]
-    return df.drop(*drop)
+    return df.drop("_spans_out", "_rw")
 
 
 def mask(texts: DataFrame, s: C.Settings, *, keys=("session_id", "seq"), **kw) -> DataFrame:

@@ -51,3 +51,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, name)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``shroud`` importable in Python workers (stateful streaming,
+    mapInPandas): zip the package into the shared checkpoint folder and add
+    it with ``addPyFile``.  Done once per SparkContext."""
+    import shutil
+    import zipfile
+
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    folder = scratch_path(spark, "pyfiles")
+    os.makedirs(folder, exist_ok=True)
+    target = os.path.join(folder, "shroud.zip")
+    tmp = target + ".part"
+    with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            if "__pycache__" in root:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    shutil.move(tmp, target)
+    sc.addPyFile(target)
+    _SHIPPED.add(id(sc))
