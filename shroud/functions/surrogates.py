@@ -91,9 +91,10 @@ class DuckDialect(Dialect):
                 f"lambda p: length(regexp_replace(p, '[^0-9]', '', 'g')))")
         return (
             f"(SELECT CASE WHEN (contains({o}, ' ') OR contains({o}, '-')) AND list_sum(ls) = length({digits}) "
-            f"THEN array_to_string(list_transform(range(1, len(ls) + 1), lambda i: "
-            f"substr({digits}, 1 + coalesce(list_sum(list_slice(ls, 1, i - 1)), 0), ls[i])), "
-            f"CASE WHEN contains({o}, ' ') THEN ' ' ELSE '-' END) ELSE {digits} END FROM (SELECT {lens} AS ls))"
+            f"THEN (CASE WHEN contains({o}, ' ') THEN array_to_string(g, ' ') ELSE array_to_string(g, '-') END) "
+            f"ELSE {digits} END FROM (SELECT ls, list_transform(range(1, len(ls) + 1), lambda i: "
+            f"substr({digits}, CAST(1 + coalesce(list_sum(list_slice(ls, 1, i - 1)), 0) AS INTEGER), ls[i])) AS g "
+            f"FROM (SELECT {lens} AS ls)))"
         )
 
     def hmac_hex(self, ipad: str, opad: str, sid: str, t: str, o: str, salt: str) -> str:

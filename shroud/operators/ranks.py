@@ -10,6 +10,7 @@ table supplies the offsets.  The offset table has at most one row per
 partition a group touches.
 
 The order columns must make the order total (include a unique key).
+The numbered rows are checkpointed, which also cuts the lineage.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ def rank_within(df: DataFrame, keys, order, name: str = "rank", partitions: int
                 .sortWithinPartitions(*keys, *order)
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_mid", F.monotonically_increasing_id()))
+    # Partition ids and positions must be the same for the offset table and
+    # the rows it is joined back to; range bounds come from sampling, so the
+    # numbered rows are written once (shared checkpoint folder) and reused.
+    parted = parted.checkpoint()
     stats = parted.groupBy(*keys, "_pid").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
