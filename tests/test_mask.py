@@ -168,3 +168,24 @@ def test_unsupported_language_rejected(spark, settings):
     t = texts(spark, [("x", "text", "fr"), ("y", "текст", "ru")])
     assert [r["session_id"] for r in rejected_languages(t).collect()] == ["x"]
     assert [r["session_id"] for r in mask(t, settings).collect()] == ["y"]
+
+
+def test_tagger_hook_feeds_masking(spark, settings):
+    from shroud.operators.ner import tagger_spans
+
+    def factory():
+        import re
+
+        import pandas as pd
+
+        def tag(pdf):
+            rows = [(s, q, m.start(), m.end(), "PER") for s, q, t in zip(pdf.session_id, pdf.seq, pdf.text)
+                    for m in re.finditer("Иванов", t)]
+            return pd.DataFrame(rows, columns=["session_id", "seq", "start", "end", "entity_type"])
+        return tag
+
+    t = texts(spark, [("t1", "Звонил Иванов, потом снова Иванов"), ("t2", "никого")])
+    ner = tagger_spans(t, factory)
+    out = by_session(mask(t, settings, ner_spans=ner, detectors=False, ner="none").collect())
+    assert out["t1"]["masked_text"] == "Звонил [Имя 1], потом снова [Имя 1]"
+    assert out["t2"]["masked_text"] == "никого"
