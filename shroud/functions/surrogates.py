@@ -34,11 +34,15 @@ class Dialect:
     name = "spark"
 
     def byte(self, i: int) -> str:
-        return f"CAST(conv(substr(h, {2 * i + 1}, 2), 16, 10) AS INT)"
+        # ``b`` is the digest as an array of 32 ints, bound once (see candidates_sql)
+        return f"b[{i}]"
 
     def s(self, x: str) -> str:
         return f"CAST({x} AS STRING)"
 
+    def let(self, name: str, value: str, body: str) -> str:
+        return f"transform(array({value}), {name} -> {body})[0]"
+
     def ndigits(self, o: str) -> str:
         return f"length(regexp_replace({o}, '(?U)\\\\D', ''))"
 
@@ -74,6 +78,9 @@ class DuckDialect(Dialect):
     def byte(self, i: int) -> str:
         return f"CAST('0x' || substr(h, {2 * i + 1}, 2) AS INTEGER)"
 
+    def let(self, name: str, value: str, body: str) -> str:
+        return f"(SELECT {body} FROM (SELECT {value} AS {name}))"
+
     def s(self, x: str) -> str:
         return f"CAST({x} AS VARCHAR)"
 
@@ -163,7 +170,7 @@ def gen_card(D: Dialect) -> str:
     """G4+G5: length of the original if 13..19 digits else 16; first digit
     1-9; Luhn check digit; grouping of the original kept if it adds up."""
     n = D.ndigits("o")
-    L = f"(CASE WHEN {n} BETWEEN 13 AND 19 THEN {n} ELSE 16 END)"
+    L = "cl"
     dig = [_nz(D, 0)] + [_d(D, j) for j in range(1, 18)]
     body_all = _cat(D, dig)
     body = f"substr({body_all}, 1, {L} - 1)"
@@ -172,7 +179,7 @@ def gen_card(D: Dialect) -> str:
         for j, x in enumerate(dig))
     check = f"((10 - ({total}) % 10) % 10)"
     digits = f"({body} || {D.s(check)})"
-    return D.card_regroup(digits, "o")
+    return D.let("cl", f"(CASE WHEN {n} BETWEEN 13 AND 19 THEN {n} ELSE 16 END)", D.card_regroup(digits, "o"))
 
 
 def gen_bik(D: Dialect) -> str:
@@ -250,6 +257,7 @@ def candidates_sql(settings, sid: str, t: str, o: str, salt_from: int, salt_to:
     ipad, opad = settings.hmac_pads()
     h = D.hmac_hex(ipad, opad, sid, "t", "o", "s")
     # t, o, s and h are bound once each through one-element transforms.
+    b = "transform(sequence(0, 31), k -> CAST(conv(substr(h, 2 * k + 1, 2), 16, 10) AS INT))"
     return (f"transform(array({t}), t -> transform(array({o}), o -> "
             f"transform(sequence({salt_from}, {salt_to - 1}), s -> "
-            f"transform(array({h}), h -> {dispatch(D)})[0]))[0])[0]")
+            f"transform(array({h}), h -> transform(array({b}), b -> {dispatch(D)})[0])[0]))[0])[0]")
