@@ -114,3 +114,17 @@ def _card_valid(hit: Column) -> Column:
 
 def empty_spans() -> Column:
     return F.array().cast(SPAN_TYPE)
+
+
+def explode_rows(df, keep, array_col, alias: str = "x", pos: str | None = None):
+    """Explode an array column into rows, dropping rows whose array is empty.
+
+    A plain ``explode`` makes the optimizer infer ``size(array) > 0`` and push
+    it below the generator, which evaluates the (expensive) array expression
+    twice; ``explode_outer`` + a null filter on the element does not."""
+    from pyspark.sql import functions as F
+    if pos:
+        out = df.select(*keep, F.posexplode_outer(array_col).alias(pos, alias))
+    else:
+        out = df.select(*keep, F.explode_outer(array_col).alias(alias))
+    return out.filter(F.col(alias).isNotNull())

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.patterns import GATE_NONE, GATE_REGEX, REGISTRY, PatternDef, patterns_for
-from ..functions.spans import empty_spans, pattern_spans
+from ..functions.spans import empty_spans, explode_rows, pattern_spans
 
 
 def _gate_cols(text: Column, registry) -> dict[str, Column]:
@@ -62,7 +62,7 @@ def detect_spans(df: DataFrame, s: C.Settings, keys=("session_id", "seq"), text=
                  language="language", registry=REGISTRY, entity_types=None) -> DataFrame:
     """Detected hits as rows: keys + (start, end, entity_type, score, pattern, original)."""
     d = detect(df.select(*keys, text, language), s, text, language, "_h", registry, entity_types)
-    return (d.select(*keys, text, F.explode("_h").alias("h"))
+    return (explode_rows(d, [*keys, text], "_h", "h")
              .select(*keys, F.col("h.start").alias("start"), F.col("h.end").alias("end"),
                      F.col("h.etype").alias("entity_type"), F.col("h.score").alias("score"),
                      F.col("h.pattern").alias("pattern"),

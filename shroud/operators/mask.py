@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import surrogates as G
 from ..functions.patterns import REGISTRY
-from ..functions.spans import SPAN_TYPE, empty_spans
+from ..functions.spans import SPAN_TYPE, empty_spans, explode_rows
 from .detect import pattern_hits
 from .ner import NER_TYPE, clip_and_filter, collect_injected, rule_ner, sort_by_start
 from .resolve import ordered_spans
@@ -66,14 +66,13 @@ def _taken_expr(s: C.Settings, t: str, text: str, lang: str) -> Column:
     return F.when(~has_open, empty).when(F.col(lang) == "en", en).otherwise(ru)
 
 
-def _with_candidates(s: C.Settings, spans: str = "spans", sid: str = "session_id") -> Column:
+def _with_candidates_sql(s: C.Settings, spans: str = "spans", sid: str = "session_id") -> str:
     k = s.surrogate_candidates
     types = ", ".join(sql_str(t) for t in s.surrogate_types)
     cands = G.candidates_sql(s, sid, "x.ctype", "x.original", 0, k)
-    return F.expr(
-        f"transform({spans}, x -> named_struct('start', x.start, 'end', x.end, 'ctype', x.ctype, "
-        f"'original', x.original, 'ord', x.ord, 'src', x.src, "
-        f"'cands', IF(x.ctype IN ({types}), {cands}, CAST(NULL AS ARRAY<STRING>))))")
+    return (f"transform({spans}, x -> named_struct('start', x.start, 'end', x.end, 'ctype', x.ctype, "
+            f"'original', x.original, 'ord', x.ord, 'src', x.src, "
+            f"'cands', IF(x.ctype IN ({types}), {cands}, CAST(NULL AS ARRAY<STRING>))))")
 
 
 def allocation_sql(s: C.Settings, spans: str = "spans", prev: str = "_prev", text: str = "text",
@@ -81,7 +80,7 @@ def allocation_sql(s: C.Settings, spans: str = "spans", prev: str = "_prev", tex
     """The T1/W1/G14 fold as Spark SQL (one expression per row)."""
     marker_types = ", ".join(sql_str(t) for t in s.marker_types)
     taken = "CASE x.ctype " + " ".join(
-        f"WHEN {sql_str(t)} THEN {taken_col(t)}" for t in s.marker_types) + " END"
+        f"WHEN {sql_str(t)} THEN tk.{taken_col(t)}" for t in s.marker_types) + " END"
     cur = ("coalesce(array_max(transform(filter(acc, e -> e.kind = 'marker' AND e.ctype = x.ctype), "
            "e -> e.idx)), 0)")
     next_idx = f"aggregate(filter({taken}, tn -> tn > {cur}), {cur} + 1, (i, tn) -> IF(tn = i, i + 1, i))"
@@ -161,37 +160,59 @@ def prepare(texts: DataFrame, s: C.Settings, *, ner_spans: DataFrame | None = No
 
 
 def mask_prepared(df: DataFrame, s: C.Settings, prev: Column | None = None) -> DataFrame:
-    """Allocation + rewrite over prepared rows (``spans`` present)."""
-    for t in s.marker_types:
-        df = df.withColumn(taken_col(t), _taken_expr(s, t, "text", "language"))
+    """Allocation + rewrite over prepared rows (``spans`` present).
+
+    The whole chain is one expression whose stages are bound to lambda
+    variables (``tk`` taken numbers, ``sp`` spans with candidates, ``ent``
+    entries, ``so`` spans with outs).  Catalyst inlines a column referenced
+    once into a lambda, where it would then run once per array element; a
+    lambda variable cannot be inlined, so every stage runs once per row."""
+    taken = F.struct(*[_taken_expr(s, t, "text", "language").alias(taken_col(t)) for t in s.marker_types])
+    df = df.withColumn("_tk", taken)
     df = df.withColumn("_prev", prev if prev is not None else F.array().cast(ENTRY_TYPE))
-    df = df.withColumn("spans", _with_candidates(s))
-    df = df.withColumn("_entries", F.expr(allocation_sql(s)))
-    df = df.withColumn("_spans_out", F.expr(
-        "transform(spans, x -> named_struct('start', x.start, 'end', x.end, 'ctype', x.ctype, 'ord', x.ord, "
-        "'out', get(filter(_entries, e -> e.ctype = x.ctype AND e.original = x.original), 0).out))"))
-    df = finish(df, s)
-    df = df.withColumn("entries", F.filter("_entries", lambda e: e["new"]))
-    drop = ["_prev", "_entries"] + [taken_col(t) for t in s.marker_types]
-    return df.drop(*drop)
+    chain = (
+        f"transform(array(_tk), tk -> "
+        f"transform(array({_with_candidates_sql(s, 'spans')}), sp -> "
+        f"transform(array({allocation_sql(s, spans='sp')}), ent -> "
+        f"transform(array(transform(sp, x -> named_struct('start', x.start, 'end', x.end, 'ctype', x.ctype, "
+        f"'ord', x.ord, 'out', get(filter(ent, e -> e.ctype = x.ctype AND e.original = x.original), 0).out))), "
+        f"so -> named_struct('fin', {finish_sql(s, 'so')}, 'entries', filter(ent, e -> e.new), "
+        f"'entities_found', array_distinct(transform(sp, x -> x.ctype))))[0])[0])[0])[0]")
+    df = df.withColumn("_m", F.expr(chain))
+    df = (df.withColumn("hint", F.col("_m.fin.hint"))
+            .withColumn("masked_text", F.col("_m.fin.masked_text"))
+            .withColumn("masked_spans", F.col("_m.fin.masked_spans"))
+            .withColumn("entities_found", F.col("_m.entities_found"))
+            .withColumn("ttl", F.lit(s.mapping_ttl))
+            .withColumn("entries", F.col("_m.entries")))
+    return df.drop("_tk", "_prev", "_m")
+
+
+def finish_sql(s: C.Settings, spans_out: str = "_spans_out") -> str:
+    """Rewrite + hint (T7/F15) + prepend (T8) as one let-bound expression:
+    every stage is evaluated once per row, whatever the optimizer inlines."""
+    marker_types = ", ".join(sql_str(t) for t in s.marker_types)
+    hint = f"IF(language = 'en', {sql_str(s.hint_text_en)}, {sql_str(s.hint_text_ru)})"
+    return (
+        f"transform(array({rewrite_sql(spans_out)}), r -> "
+        f"transform(array(exists(r.spans, q -> q.type IN ({marker_types}))), hm -> "
+        f"transform(array(IF(hm AND coalesce(prepend_hint, false), length({hint}) + 2, 0)), sh -> "
+        f"named_struct('hint', IF(hm, {hint}, CAST(NULL AS STRING)), "
+        f"'masked_text', IF(sh > 0, concat({hint}, '\\n\\n', r.masked), r.masked), "
+        f"'masked_spans', transform(r.spans, x -> named_struct('start', x.start + sh, 'end', x.end + sh, "
+        f"'type', x.type))))[0])[0])[0]"
+    )
 
 
 def finish(df: DataFrame, s: C.Settings) -> DataFrame:
     """Rewrite (``_spans_out``) + hint + prepend + entities_found + ttl."""
-    df = df.withColumn("_rw", F.expr(rewrite_sql()))
-    marker_types = [t for t in s.marker_types]
-    has_marker = F.exists(F.col("_rw.spans"), lambda x: x["type"].isin(*marker_types))
-    hint = F.when(has_marker, F.when(F.col("language") == "en", F.lit(s.hint_text_en))
-                  .otherwise(F.lit(s.hint_text_ru)))
-    df = df.withColumn("hint", hint)
-    shift = F.when(F.col("prepend_hint") & F.col("hint").isNotNull(), F.length("hint") + 2).otherwise(0)
-    df = df.withColumn("masked_text", F.when(shift > 0, F.concat(F.col("hint"), F.lit("\n\n"), F.col("_rw.masked")))
-                       .otherwise(F.col("_rw.masked")))
-    df = df.withColumn("masked_spans", F.transform(F.col("_rw.spans"), lambda x: F.struct(
-        (x["start"] + shift).alias("start"), (x["end"] + shift).alias("end"), x["type"].alias("type"))))
+    df = df.withColumn("_fin", F.expr(finish_sql(s)))
+    df = (df.withColumn("hint", F.col("_fin.hint"))
+            .withColumn("masked_text", F.col("_fin.masked_text"))
+            .withColumn("masked_spans", F.col("_fin.masked_spans")))
     df = df.withColumn("entities_found", F.array_distinct(F.transform("spans", lambda x: x["ctype"])))
     df = df.withColumn("ttl", F.lit(s.mapping_ttl))
-    return df.drop("_spans_out", "_rw")
+    return df.drop("_spans_out", "_fin")
 
 
 def mask(texts: DataFrame, s: C.Settings, *, keys=("session_id", "seq"), **kw) -> DataFrame:
@@ -220,7 +241,7 @@ def masked_view(df: DataFrame, keys=("session_id", "seq")) -> DataFrame:
 
 def entries_view(df: DataFrame, keys=("session_id", "seq"), ttl: int = C.MAPPING_TTL_SECONDS) -> DataFrame:
     """New mapping entries as rows (one per entry)."""
-    return (df.select(*keys, "language", F.posexplode("entries").alias("_p", "e"))
+    return (explode_rows(df, [*keys, "language"], "entries", "e", pos="_p")
               .select(*keys, "language", F.col("e.out").alias("out"), F.col("e.original").alias("original"),
                       F.col("e.ctype").alias("type"), F.col("e.kind").alias("kind"),
                       F.col("e.idx").alias("index"), F.col("e.ord").alias("ord")))

@@ -62,14 +62,19 @@ def canonical(etype: Column) -> Column:
 
 def ordered_spans(text: Column, ner: Column, pat: Column) -> Column:
     """U1 + P1 + P2: NER spans in text order, then the resolved pattern hits in
-    priority order; ``ord`` is the allocation order."""
-    ner_part = F.transform(ner, lambda n: F.struct(n["start"].alias("start"), n["end"].alias("end"),
-                                                   n["etype"].alias("etype"), F.lit("ner").alias("src")))
-    pat_part = F.transform(drop_overlapping_ner(greedy_resolve(pat), ner),
-                           lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"),
-                                              p["etype"].alias("etype"), F.lit("pattern").alias("src")))
-    both = F.concat(ner_part, pat_part)
-    return F.transform(both, lambda x, i: F.struct(
-        x["start"].alias("start"), x["end"].alias("end"), canonical(x["etype"]).alias("ctype"),
-        F.substring(text, x["start"] + 1, x["end"] - x["start"]).alias("original"),
-        i.cast("int").alias("ord"), x["src"].alias("src")))
+    priority order; ``ord`` is the allocation order.  ``ner`` and ``pat`` are
+    bound once (one-element transform), so neither is re-evaluated inside the
+    per-hit lambdas."""
+    def body(z):
+        n, p = z["n"], z["p"]
+        ner_part = F.transform(n, lambda q: F.struct(q["start"].alias("start"), q["end"].alias("end"),
+                                                     q["etype"].alias("etype"), F.lit("ner").alias("src")))
+        pat_part = F.transform(drop_overlapping_ner(greedy_resolve(p), n),
+                               lambda q: F.struct(q["start"].alias("start"), q["end"].alias("end"),
+                                                  q["etype"].alias("etype"), F.lit("pattern").alias("src")))
+        both = F.concat(ner_part, pat_part)
+        return F.transform(both, lambda x, i: F.struct(
+            x["start"].alias("start"), x["end"].alias("end"), canonical(x["etype"]).alias("ctype"),
+            F.substring(text, x["start"] + 1, x["end"] - x["start"]).alias("original"),
+            i.cast("int").alias("ord"), x["src"].alias("src")))
+    return F.transform(F.array(F.struct(ner.alias("n"), pat.alias("p"))), body)[0]

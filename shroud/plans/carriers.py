@@ -74,3 +74,21 @@ def person_text_sql(key: str) -> str:
     contain a literal marker (numbers that must be skipped)."""
     return (f"('Сотрудник ' || {surname(key)} || ' П. П. пришёл' || "
             f"CASE WHEN {key} % 7 = 0 THEN ' см. [Имя ' || {_s(f'{key} % 5 + 1')} || ']' ELSE '' END)")
+
+
+def _inn(key: str, mult: int) -> str:
+    return _lp(f"({key} * {mult}) % 10000000000", 10)
+
+
+BOOST_SEGMENTS = [
+    ("lit", "'ИНН '"),
+    ("INN_A", _inn("c_custkey", 7919)),
+    ("lit", "' и ещё одно число без пометки '"),
+    ("INN_B", _inn("c_custkey", 104723)),
+]
+
+
+def hint_text_sql(key: str) -> str:
+    """Carrier for hints: even keys name a person, odd keys only an INN."""
+    return (f"CASE WHEN {key} % 2 = 0 THEN 'Сотрудник ' || {surname(key)} || ' П. П. пришёл' "
+            f"ELSE 'ИНН ' || {_inn(key, 7919)} END")

@@ -114,6 +114,73 @@ SELECT k.session_id, k.original, '[Имя ' || CAST(free.n AS STRING) || ']' AS
 FROM k JOIN free ON k.session_id = free.session_id AND k.k = free.k"""
 
 
+PHONE_DUCK = r"(?:\+\d{1,3}[\s\-]?)?(?:\(\d{3}\)|\d{3})[\s\-]?\d{3}[\s\-]?\d{4}"
+
+
+def detect_phone_number() -> str:
+    # RE2 has no look-arounds: take the hits, then require that the character
+    # before is not a word character or '+', and the one after not a word character.
+    q = _hits_sql("documents", "doc_id", "text", PHONE_DUCK)
+    return f"""
+SELECT h.doc_id, h.start, h."end", h.original FROM ({q}) h JOIN documents d ON d.doc_id = h.doc_id
+WHERE (h.start = 0 OR NOT regexp_matches(substr(d.text, h.start, 1), '[\\w+]'))
+  AND (h."end" = length(d.text) OR NOT regexp_matches(substr(d.text, h."end" + 1, 1), '\\w'))"""
+
+
+def context_boost() -> str:
+    segs = carriers.BOOST_SEGMENTS
+    def start(i):
+        return "length(" + " || ".join(e for _, e in segs[:i]) + ")"
+    rows = []
+    for i, (kind, _expr) in enumerate(segs):
+        if kind == "lit":
+            continue
+        inn_score = "1.0" if kind == "INN_A" else "0.75"
+        rows.append(f"SELECT c_custkey, 'INN_10' AS pattern, CAST({start(i)} AS INTEGER) AS start, "
+                    f"CAST({inn_score} AS DOUBLE) AS score FROM customer")
+        rows.append(f"SELECT c_custkey, 'PASSPORT_NOSPACE' AS pattern, CAST({start(i)} AS INTEGER) AS start, "
+                    f"CAST(0.7 AS DOUBLE) AS score FROM customer")
+    return "\nUNION ALL\n".join(rows)
+
+
+def _masked_pieces():
+    markers = {"PERSON": "'[Имя 1]'", "ORG": "'[Организация 1]'", "ADDRESS": "'[Адрес 1]'"}
+    text = carriers.text_sql()
+    sid = "CAST(c_custkey AS STRING)"
+    pieces = []
+    for kind, expr in carriers.REQUISITE_SEGMENTS:
+        if kind == "lit":
+            pieces.append((kind, expr))
+        elif kind in markers:
+            pieces.append((kind, markers[kind]))
+        else:
+            c0, c1 = _gen(kind, expr, sid, 0), _gen(kind, expr, sid, 1)
+            pieces.append((kind, f"(CASE WHEN contains({text}, {c0}) THEN {c1} ELSE {c0} END)"))
+    return pieces
+
+
+def masked_spans() -> str:
+    pieces = _masked_pieces()
+    rows = []
+    for i, (kind, expr) in enumerate(pieces):
+        if kind == "lit":
+            continue
+        before = " || ".join(e for _, e in pieces[:i])
+        rows.append(f"SELECT c_custkey, '{kind}' AS type, CAST(length({before}) AS INTEGER) AS start, "
+                    f"CAST(length({before}) + length({expr}) AS INTEGER) AS \"end\" FROM customer")
+    return "\nUNION ALL\n".join(rows)
+
+
+def mask_hint() -> str:
+    hint = SETTINGS.hint_text_ru.replace("'", "''")
+    return f"""
+SELECT c_custkey,
+  CASE WHEN c_custkey % 2 = 0 THEN '{hint}' END AS hint,
+  CASE WHEN c_custkey % 2 = 0 THEN '[Имя 1]' ELSE {_gen('INN', carriers._inn('c_custkey', 7919), 'CAST(c_custkey AS STRING)')} END AS first_out,
+  CAST(CASE WHEN c_custkey % 2 = 1 THEN 4 WHEN c_custkey % 4 = 0 THEN length('{hint}') + 2 + 10 ELSE 10 END AS INTEGER) AS first_start
+FROM customer"""
+
+
 ORACLES = {
     "detect_email": _hits_sql("documents", "doc_id", "text", EMAIL_RE_DUCK),
     "detect_card_luhn": detect_card_luhn(),
@@ -150,4 +217,10 @@ SELECT s_suppkey, 'BIK' AS ctype, '04' || lpad(CAST(s_suppkey AS STRING), 7, '0'
        CAST(length('ООО ' || s_name || ' \n БИК ') AS INTEGER) AS start,
        CAST(length('ООО ' || s_name || ' \n БИК ') + 9 AS INTEGER) AS "end" FROM supplier""",
     "stream_unmask": "SELECT doc_id, text FROM documents",
+    "detect_phone_number": detect_phone_number(),
+    "context_boost": context_boost(),
+    "masked_spans": masked_spans(),
+    "unmask_counts": f"SELECT c_custkey, {carriers.text_sql()} || ' / ' || {carriers.text_sql()} AS text, "
+                     f"CAST(24 AS INTEGER) AS tokens_replaced FROM customer",
+    "mask_hint": mask_hint(),
 }

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import surrogates as G
 from ..functions.patterns import REGISTRY
+from ..functions.spans import explode_rows
 from ..operators.detect import detect_spans
 from ..operators.mask import entries_view, mask, prepare
 from ..operators.sessions import mask_sessions
 from ..operators.unmask import unmask, unmask_with_entries
-from ..session import ensure_checkpoint_dir, scratch_path
+from ..session import ensure_checkpoint_dir, scratch_path, tune
 from ..sources import store as S
 from ..sources.texts import read_table, texts_from
 from ..streaming.chunks import assemble, cut_chunks, run_stream_unmask
@@ -63,9 +64,9 @@ def detect_requisites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D1-D11, D15/D16 (rule NER), F1, F2, J1, J2, O1, P1, P2 on carrier text:
     resolved entities with offsets."""
     p = prepare(_requisite_texts(spark, sf_dir), SETTINGS)
-    return (p.select(F.col("seq").alias("c_custkey"), F.explode("spans").alias("x"))
-             .select("c_custkey", F.col("x.ctype").alias("ctype"), F.col("x.original").alias("original"),
-                     F.col("x.start").alias("start"), F.col("x.end").alias("end")))
+    return (explode_rows(p, [F.col("seq").alias("c_custkey")], "spans")
+            .select("c_custkey", F.col("x.ctype").alias("ctype"), F.col("x.original").alias("original"),
+                    F.col("x.start").alias("start"), F.col("x.end").alias("end")))
 
 
 def mask_requisites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +208,7 @@ def session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2 + A10: canonical types found in documents, with counts."""
     p = prepare(_docs(spark, sf_dir).repartition(32, "seq"), SETTINGS)
-    return (p.select(F.explode("spans").alias("x")).groupBy(F.col("x.ctype").alias("ctype"))
+    return (explode_rows(p, [], "spans").groupBy(F.col("x.ctype").alias("ctype"))
              .agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -228,8 +229,8 @@ def ner_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
            .unionByName(t.select("session_id", "seq", F.lit(0).alias("start"), F.lit(3).alias("end"),
                                  F.lit("LOC").alias("entity_type"), F.lit(2).alias("idx"))))
     p = prepare(t.drop("_org_end"), SETTINGS, ner_spans=ner)
-    return (p.select(F.col("seq").alias("s_suppkey"), F.explode("spans").alias("x"))
-             .select("s_suppkey", F.col("x.ctype").alias("ctype"), F.col("x.original").alias("original"),
+    return (explode_rows(p, [F.col("seq").alias("s_suppkey")], "spans")
+            .select("s_suppkey", F.col("x.ctype").alias("ctype"), F.col("x.original").alias("original"),
                      F.col("x.start").alias("start"), F.col("x.end").alias("end")))
 
 
@@ -252,6 +253,62 @@ def stream_unmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble(out).select(F.col("session_id").cast("long").alias("doc_id"), F.col("unmasked_text").alias("text"))
 
 
+def detect_phone_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """International phone numbers in documents."""
+    t = _docs(spark, sf_dir)
+    d = detect_spans(t, SETTINGS, keys=("seq",), registry=_patterns("PHONE_NUMBER"))
+    return d.select(F.col("seq").alias("doc_id"), "start", "end", "original")
+
+
+def context_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2: the same 10-digit shape scores 0.75 as INN without a context word
+    in the 5 words to its left and 1.0 with one; PASSPORT_NOSPACE stays 0.70."""
+    c = read_table(spark, sf_dir, "customer")
+    t = c.select(F.col("c_custkey").cast("string").alias("session_id"), F.col("c_custkey").alias("seq"),
+                 F.expr(carriers.text_sql(carriers.BOOST_SEGMENTS)).alias("text"), F.lit("ru").alias("language"))
+    d = detect_spans(t, SETTINGS)
+    return d.select(F.col("seq").alias("c_custkey"), "pattern", "start", F.col("score").cast("double").alias("score"))
+
+
+def masked_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W2 + W3: offsets of every out in the masked carrier text."""
+    m = mask(_requisite_texts(spark, sf_dir), SETTINGS)
+    return (explode_rows(m, [F.col("seq").alias("c_custkey")], "masked_spans")
+            .select("c_custkey", F.col("x.type").alias("type"), F.col("x.start").alias("start"),
+                     F.col("x.end").alias("end")))
+
+
+def unmask_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: a reply quoting the masked text twice restores both copies and
+    counts every occurrence (24 = 12 entities x 2)."""
+    m = mask(_requisite_texts(spark, sf_dir), SETTINGS)
+    reply = m.withColumn("masked_text", F.concat("masked_text", F.lit(" / "), "masked_text"))
+    u = unmask_with_entries(reply, SETTINGS)
+    return u.select(F.col("seq").alias("c_custkey"), F.col("unmasked_text").alias("text"), "tokens_replaced")
+
+
+def mask_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T7 + T8 + F15: a hint only when a marker was written; prepended (with
+    shifted spans) when asked."""
+    c = read_table(spark, sf_dir, "customer")
+    t = c.select(F.col("c_custkey").cast("string").alias("session_id"), F.col("c_custkey").alias("seq"),
+                 F.expr(carriers.hint_text_sql("c_custkey")).alias("text"), F.lit("ru").alias("language"),
+                 F.expr("c_custkey % 4 = 0").alias("prepend_hint"))
+    m = mask(t, SETTINGS)
+    first = F.col("masked_spans")[0]
+    return m.select(F.col("seq").alias("c_custkey"), "hint",
+                    F.substring("masked_text", first["start"] + 1, first["end"] - first["start"]).alias("first_out"),
+                    first["start"].alias("first_start"))
+
+
+def _tuned(fn):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tune(spark)
+        return fn(spark, sf_dir)
+    run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+    return run
+
+
 QUERIES = {
     "detect_email": detect_email,
     "detect_card_luhn": detect_card_luhn,
@@ -269,4 +326,10 @@ QUERIES = {
     "type_counts": type_counts,
     "ner_clip": ner_clip,
     "stream_unmask": stream_unmask,
+    "detect_phone_number": detect_phone_number,
+    "context_boost": context_boost,
+    "masked_spans": masked_spans,
+    "unmask_counts": unmask_counts,
+    "mask_hint": mask_hint,
 }
+QUERIES = {k: _tuned(v) for k, v in QUERIES.items()}

@@ -19,12 +19,29 @@ DEFAULT_CONF = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+# Nested-field pruning through generators copies the producing expression
+# once per extracted field; exploding an array of spans that comes out of the
+# masking expression would recompute the whole fold per field.  Inputs here
+# are flat tables, so nested Parquet pruning gains nothing.
+QUERY_CONF = {
+    "spark.sql.optimizer.nestedSchemaPruning.enabled": "false",
+    "spark.sql.optimizer.expression.nestedPruning.enabled": "false",
+}
+
+
+def tune(spark: SparkSession) -> None:
+    """Apply QUERY_CONF to a session (done by the registered queries)."""
+    for k, v in QUERY_CONF.items():
+        spark.conf.set(k, v)
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "shroud",
                   driver_memory: str = "16g") -> SparkSession:
     b = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
+    for k, v in QUERY_CONF.items():
+        b = b.config(k, v)
     b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     b = b.config("spark.driver.memory", driver_memory)
     spark = b.getOrCreate()

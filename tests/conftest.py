@@ -16,9 +16,9 @@ TEST_SECRET = "test-surrogate-secret-deterministic"
 def spark():
     from pyspark.sql import SparkSession
 
-    from shroud.session import DEFAULT_CONF, ensure_checkpoint_dir
+    from shroud.session import DEFAULT_CONF, QUERY_CONF, ensure_checkpoint_dir
     b = SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
-    for k, v in DEFAULT_CONF.items():
+    for k, v in {**DEFAULT_CONF, **QUERY_CONF}.items():
         b = b.config(k, v)
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
