@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 
 def rank_within(df: DataFrame, keys, order, name: str = "rank", partitions: int | None = None) -> DataFrame:
+    from ..session import ensure_checkpoint_dir
     keys, order = list(keys), list(order)
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     parted = (df.repartitionByRange(n, *keys, *order)
                 .sortWithinPartitions(*keys, *order)

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import surrogates as G
 from ..functions.tokens import out_tokens, substrings_min
+from ..session import ensure_checkpoint_dir
 from ..sources.store import empty_mapping, empty_sessions, live
 from .mask import ENTRY_TYPE, _label_sql, _taken_expr, finish, prepare, sql_str, taken_col
 from .ranks import rank_within
@@ -161,6 +162,7 @@ def mask_sessions(texts: DataFrame, s: C.Settings, mapping: DataFrame | None = N
                   keys=("session_id", "seq"), checkpoint: bool = True, **prep_kw) -> SessionMaskResult:
     C.validate(s)
     spark = texts.sparkSession
+    ensure_checkpoint_dir(spark)
     keys = list(keys)
     now = now if now is not None else F.current_timestamp()
     mapping = live(mapping if mapping is not None else empty_mapping(spark), now)
