@@ -83,6 +83,9 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if id(sc) in _SHIPPED:
         return
+    base = ensure_checkpoint_dir(spark)
+    if "://" in base and not base.startswith("file:"):
+        return   # cluster storage: ship the package with --py-files instead
     pkg = os.path.dirname(os.path.abspath(__file__))
     folder = scratch_path(spark, "pyfiles")
     os.makedirs(folder, exist_ok=True)
