@@ -111,3 +111,21 @@ def test_language_routing():
     assert not ({"INN_RU", "BIK_RU", "KPP_RU", "ACCOUNT_RU"} & en)
     assert {"INN_RU", "OGRN_RU", "EMAIL_ADDRESS", "PASSPORT_RU", "SNILS_RU", "ADDRESS_RU", "CARD",
             "CREDIT_CARD", "VIN", "ACCOUNT_RU", "BIK_RU", "KPP_RU"} <= ru
+
+
+def test_user_recognizer_with_context_and_validator(spark, settings):
+    """A registry row added by the user runs like the built-in ones."""
+    from shroud.operators.detect import detect_spans, patterns_table
+    extra = (
+        P.add_recognizer("TICKET", "TICKET_8", r"\bTK-\d{8}\b", 0.6, context=["билет"], context_required=True),
+        P.add_recognizer("CARD", "CARD_DOTTED", r"\b\d{4}\.\d{4}\.\d{4}\.\d{4}\b", 0.5, validator="card"),
+    )
+    from pyspark.sql import functions as F
+    t = texts(spark, [("u1", "билет TK-12345678, а TK-87654321 без пометки, карта 4111.1111.1111.1111 и 4111.1111.1111.1112")])
+    rows = detect_spans(t, settings, registry=P.REGISTRY + extra, entity_types={"TICKET", "CARD"}).collect()
+    got = sorted((r["pattern"], r["original"], round(r["score"], 6)) for r in rows)
+    assert ("TICKET_8", "TK-12345678", 0.95) in got       # required context also boosts
+    assert not any(o == "TK-87654321" for _, o, _ in got)
+    assert ("CARD_DOTTED", "4111.1111.1111.1111", 1.0) in got
+    assert not any(o.endswith("1112") for _, o, _ in got)
+    assert patterns_table(spark, "en").filter(F.col("name") == "VIN").count() == 1
