@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing
-from .common import small_batches, table
+from . import bpe, packing, secrets, warc
+from .common import scratch, small_batches, table
 
 #: Place of the vocabulary; executors have the same installation.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,9 +19,24 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut, 1024, order=["doc_id", "piece"])
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    pages, path = table(spark, sf_dir, "pages"), scratch(spark, "warc")
+    warc.write(pages, path, key="page_id", payload="html", target="url", min_bytes=100)
+    kind = pages.schema["page_id"].dataType
+    return warc.read(spark, path, payloads=False).select(
+        F.col("record_key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"), "error")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, keep_ids=False)
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_bpe": op3_bpe}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_bpe": op3_bpe, "op9_secrets": op9_secrets}
