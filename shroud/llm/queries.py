@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, secrets, warc
+from . import bpe, packing, secrets, toxicity, warc
 from .common import scratch, small_batches, table
 
 #: Place of the vocabulary; executors have the same installation.
@@ -39,4 +39,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_bpe": op3_bpe, "op9_secrets": op9_secrets}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train_on(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_bpe": op3_bpe, "op9_secrets": op9_secrets,
+           "op10_toxicity": op10_toxicity}
