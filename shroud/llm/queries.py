@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, secrets, toxicity, warc
+from . import bpe, jaccard, packing, secrets, toxicity, warc
 from .common import scratch, small_batches, table
 
 #: Place of the vocabulary; executors have the same installation.
@@ -34,6 +34,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, keep_ids=False)
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
@@ -45,5 +50,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train_on(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_bpe": op3_bpe, "op9_secrets": op9_secrets,
+QUERIES = {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_bpe": op3_bpe, "op7_jaccard": op7_jaccard, "op9_secrets": op9_secrets,
            "op10_toxicity": op10_toxicity}
