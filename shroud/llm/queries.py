@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, packing, secrets, suffix, toxicity, warc
+from . import bpe, hmm, jaccard, packing, secrets, suffix, toxicity, warc
 from .common import scratch, small_batches, table
 
 #: Place of the vocabulary; executors have the same installation.
@@ -39,6 +39,11 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(table(spark, sf_dir, "documents"), length=200, keep_bytes=False)
 
 
+def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return hmm.score(table(spark, sf_dir, "documents"), fold=7, held=2)
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
@@ -55,5 +60,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train_on(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_bpe": op3_bpe, "op4_suffix": op4_suffix, "op7_jaccard": op7_jaccard, "op9_secrets": op9_secrets,
+QUERIES = {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_bpe": op3_bpe, "op4_suffix": op4_suffix, "op5_hmm": op5_hmm, "op7_jaccard": op7_jaccard, "op9_secrets": op9_secrets,
            "op10_toxicity": op10_toxicity}
