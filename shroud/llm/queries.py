@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hmm, jaccard, packing, secrets, suffix, toxicity, warc
+from . import bpe, hmm, jaccard, near, packing, search, secrets, suffix, toxicity, warc
 from .common import scratch, small_batches, table
 
 #: Place of the vocabulary; executors have the same installation.
@@ -44,11 +44,21 @@ def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"), fold=7, held=2)
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return near.link(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
@@ -60,5 +70,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train_on(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_bpe": op3_bpe, "op4_suffix": op4_suffix, "op5_hmm": op5_hmm, "op7_jaccard": op7_jaccard, "op9_secrets": op9_secrets,
+QUERIES = {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_bpe": op3_bpe, "op4_suffix": op4_suffix, "op5_hmm": op5_hmm, "op6_embeddings": op6_embeddings, "op7_jaccard": op7_jaccard,
+           "op8_search": op8_search, "op9_secrets": op9_secrets,
            "op10_toxicity": op10_toxicity}
