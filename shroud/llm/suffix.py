@@ -33,11 +33,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructType
 
 from .common import written
 from .wire import groups, in_batches, packed, rows, unpacked
@@ -220,7 +222,7 @@ def _block(row: tuple) -> tuple[np.ndarray, np.ndarray]:
 
 def _blocks(df: DataFrame, key: str, text: str) -> DataFrame:
     """Blocks of documents: their keys, sizes and bytes."""
-    kind = df.schema[key].dataType.simpleString()
+    schema = StructType.fromDDL(WIRE).add("keys", ArrayType(df.schema[key].dataType))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
@@ -246,7 +248,7 @@ def _blocks(df: DataFrame, key: str, text: str) -> DataFrame:
         if keys:
             yield out()
 
-    return df.select(F.col(key), F.col(text).cast("string").alias("_text")).mapInArrow(run, f"{WIRE}, keys array<{kind}>")
+    return df.select(F.col(key), F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
 def repeated(df: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, fragment_bits: int = FRAGMENT_BITS,
@@ -410,7 +412,9 @@ def dedup(df: DataFrame, *, key: str = "doc_id", text: str = "text", length: int
           hot_blocks: int = HOT_BLOCKS, keep_bytes: bool = True) -> DataFrame:
     """``key, n_bytes, n_removed, n_spans, kept_sha256`` and, with ``keep_bytes``, ``kept binary`` of each row."""
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    kind = df.schema[key].dataType.simpleString()
+    schema = StructType().add(key, df.schema[key].dataType)
+    for name, kind in (("n_bytes", LongType()), ("n_removed", LongType()), ("n_spans", LongType()), ("kept_sha256", StringType()), ("kept", BinaryType())):
+        schema = schema.add(name, kind) if name != "kept" or keep_bytes else schema
     blocks, marks = repeated(df, key=key, text=text, length=length, fragment_bits=fragment_bits, hot_blocks=hot_blocks)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,4 +447,25 @@ def dedup(df: DataFrame, *, key: str = "doc_id", text: str = "text", length: int
 
     nothing = F.lit(None).cast(blocks.schema["keys"].dataType)
     joined = blocks.unionByName(marks.withColumn("keys", nothing)).repartition(parts, "block").sortWithinPartitions("block", "part")
-    return joined.mapInArrow(remove, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)
+    return joined.mapInArrow(remove, schema)
+
+
+def without_repeats(df: DataFrame, *, text: str = "text", length: int = LENGTH) -> DataFrame:
+    """``df`` with repeated byte strings cut out of ``text``; characters of which only a part is left are cut too.
+
+    Null texts stay null; all other columns travel along, whatever their names.
+    """
+    rest = [c for c in df.columns if c != text]
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.col(f"`{text}`").isNull().alias("none"))
+    out = dedup(df.select(whole.alias("row"), F.col(f"`{text}`").cast("string").alias("text")), key="row", text="text", length=length)
+    kept = F.when(~F.col("row.none"), whole_characters(F.col("kept")))
+    return out.select(*[(kept if c == text else F.col(f"row.c{rest.index(c)}")).alias(c) for c in df.columns])
+
+
+def whole_characters(data: Column) -> Column:
+    """UTF-8 bytes as text, without bytes that are part of no whole character."""
+    @F.pandas_udf("string")
+    def decoded(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else bytes(v).decode("utf-8", "ignore"))
+
+    return decoded(data)
