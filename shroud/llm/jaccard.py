@@ -42,37 +42,15 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .graph import components
+from .wire import groups, packed, unpacked
 from .words import shingle_sets
 
 BLOCK_BYTES = 8 << 20
-BLOCK_ROWS = 1 << 16
+BLOCK_ROWS = (1 << 16) - 1
 SHIFT = np.uint64(16)           # of 64 hash bits, 48 are kept
 BITS = 48
 
 
-def _packed(sorted_values: np.ndarray) -> bytes:
-    """Ascending numbers as differences, of four bytes where these fit."""
-    gaps = np.diff(sorted_values, prepend=np.uint64(0))
-    return b"\4" + gaps.astype("<u4").tobytes() if not len(gaps) or gaps.max() < 1 << 32 else b"\x08" + gaps.astype("<u8").tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, "<u4" if data[0] == 4 else "<u8", offset=1), dtype=np.uint64)
-
-
-def _groups(rows: Iterator[tuple], size: int) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Runs of rows with the same first ``size`` values."""
-    key, held = None, []
-    for r in rows:
-        if held and r[:size] != key:
-            yield key, held
-            held = []
-        key = r[:size]
-        held.append(r)
-    if held:
-        yield key, held
-
-
 def shared_ngrams(df: DataFrame, *, key: str, text: str, words: int, percent: int, fragment_bits: int) -> DataFrame:
     """Step 1: ``id, key, n, set, shared, frequency`` of every row.
 
@@ -104,7 +82,7 @@ def shared_ngrams(df: DataFrame, *, key: str, text: str, words: int, percent: in
         cut = np.searchsorted(grams, np.arange(1, 1 << fragment_bits, dtype=np.uint64) << low)
         for f, (g, p, c) in enumerate(zip(np.split(grams, cut), np.split(place, cut), np.split(count, cut))):
             if len(g):
-                yield {"to": f, "block": block, "part": f, "a": _packed(g & mask), "b": p.tobytes(), "c": c.astype("<u2").tobytes() if c.max() > 1 else b"", "keys": None}
+                yield {"to": f, "block": block, "part": f, "a": packed(g & mask), "b": p.tobytes(), "c": c.astype("<u2").tobytes() if c.max() > 1 else b"", "keys": None}
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, keys, texts, size = 0, [], [], 0
@@ -149,11 +127,11 @@ def shared_ngrams(df: DataFrame, *, key: str, text: str, words: int, percent: in
 
         ready: list[pa.RecordBatch] = []
         fields: dict = {}
-        for (to,), held in _groups(split(), 1):
+        for (to,), held in groups(split(), 1):
             yield from ready
             ready.clear()
             base = np.uint64(to) << low
-            lists = [_unpacked(r[3]) for r in held]
+            lists = [unpacked(r[3]) for r in held]
             counts = [np.frombuffer(r[5], "<u2").astype(np.int64) if r[5] else np.ones(len(g), np.int64) for r, g in zip(held, lists)]
             grams, count = np.concatenate(lists), np.concatenate(counts)
             order = np.argsort(grams, kind="stable")
@@ -183,7 +161,7 @@ def shared_ngrams(df: DataFrame, *, key: str, text: str, words: int, percent: in
                 for i in range(len(b)):
                     yield tuple(c[i].as_py() for c in b.columns[1:])
 
-        for (block,), held in _groups(rows(), 1):
+        for (block,), held in groups(rows(), 1):
             own = next(r for r in held if r[1] < 0)
             m = len(own[5])
             n = np.frombuffer(own[2], "<u4", m)
@@ -231,12 +209,12 @@ def overlaps(pairs: DataFrame, sets: DataFrame, fragments: int = 4) -> DataFrame
                     if len(part):
                         ids.append(i)
                         numbers.append(f)
-                        parts.append(_packed(part))
+                        parts.append(packed(part))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(parts, pa.binary())], ["id", "fragment", "part"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            both = [len(np.intersect1d(_unpacked(x), _unpacked(y), assume_unique=True)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            both = [len(np.intersect1d(unpacked(x), unpacked(y), assume_unique=True)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both, pa.int64())], ["a", "b", "overlap"])
 
     used = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -247,8 +225,9 @@ def overlaps(pairs: DataFrame, sets: DataFrame, fragments: int = 4) -> DataFrame
 
 
 def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, fragment_bits: int = 8, hub_rounds: int = 2) -> DataFrame:
-    """``key, n_shingles, component_id`` and ``id`` (row number) of each row: components under Jaccard similarity >= percent / 100."""
-    rows = written(shared_ngrams(df, key=key, text=text, words=words, percent=percent, fragment_bits=fragment_bits), "ngrams")
+    """``key, n_shingles, component_id`` of each row: components under Jaccard similarity >= percent / 100."""
+    bare = df.select(F.col(key).alias("k"), F.col(text).alias("t"))         # no name of the input meets one of ours
+    rows = written(shared_ngrams(bare, key="k", text="t", words=words, percent=percent, fragment_bits=fragment_bits), "ngrams")
     equal = rows.where("set is not null").groupBy("set").agg(F.min("id").alias("node"))
     nodes = written(rows.where("shared is not null").join(equal, "set").where("id = node").select("id", "n", "shared", "frequency"), "sets")
 
@@ -299,7 +278,7 @@ def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int =
         checked = pairs if checked is None else checked.unionByName(pairs)
         label = written(components(links), "labels")
     label = components(links).toDF("node", "component")
-    placed = rows.select("id", key, "n", "set").join(equal, "set", "left").join(label, "node", "left")
+    placed = rows.select("id", "k", "n", "set").join(equal, "set", "left").join(label, "node", "left")
     placed = placed.withColumn("component", F.coalesce("component", "node", "id"))
-    names = placed.groupBy("component").agg(F.min(key).alias("component_id"))
-    return placed.join(names, "component").select("id", key, F.col("n").alias("n_shingles"), "component_id")
+    names = placed.groupBy("component").agg(F.min("k").alias("component_id"))
+    return placed.join(names, "component").select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id")

@@ -83,15 +83,16 @@ def link(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", least
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     kind = df.schema[key].dataType.simpleString()
+    df = df.select(F.col(key).alias("k"), F.col(vector).alias("v"))          # no name of the input meets one of ours
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             usable, rows = matrix(b.column(1))
             data = [x.astype("<f8").tobytes() if x is not None and x.any() else None for x in rows]
             node = [hashlib.blake2b(x, digest_size=16).hexdigest() if x else None for x in data]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.string()), pa.array(data, pa.binary())], [key, "node", "data"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.string()), pa.array(data, pa.binary())], ["k", "node", "data"])
 
-    rows = written(df.select(F.col(key), F.col(vector)).mapInArrow(digests, f"`{key}` {kind}, node string, data binary"), "vectors")
+    rows = written(df.mapInArrow(digests, f"k {kind}, node string, data binary"), "vectors")
     nodes = written(rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.first("data").alias("data")), "nodes")
     n = nodes.count()
     sampled = [np.frombuffer(r[0], "<f8") for r in nodes.orderBy("node").select("data").limit(sample_rows).collect()]  # bounded: sample_rows vectors
@@ -176,8 +177,8 @@ def link(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", least
     found = written(met.mapInArrow(compare, "a string, b string, n long"), "links")
     label = components(found.where("b is not null").select("a", "b").distinct()).toDF("node", "component")
     counts = found.where("n is not null").groupBy(F.col("a").alias("node")).agg((F.sum("n") - 1).alias("n_links"))
-    out = rows.select(F.col(key), "node").join(counts, "node", "left").join(label, "node", "left")
+    out = rows.select("k", "node").join(counts, "node", "left").join(label, "node", "left")
     out = out.withColumn("component", F.coalesce("component", "node"))
-    names = out.where("component is not null").groupBy("component").agg(F.min(key).alias("component_id"))
-    out = out.join(names, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col(key)).otherwise(F.col("component_id")))
-    return out.select(key, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "component_id", F.col(key).eqNullSafe(F.col("component_id")).alias("kept"))
+    names = out.where("component is not null").groupBy("component").agg(F.min("k").alias("name"))
+    out = out.join(names, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("k")).otherwise(F.col("name")))
+    return out.select(F.col("k").alias(key), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "component_id", F.col("k").eqNullSafe(F.col("component_id")).alias("kept"))

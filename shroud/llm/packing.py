@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import written
 from .tokens import token_ids
@@ -134,36 +135,37 @@ def pieces(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, *, k
 
 
 def pack(df: DataFrame, capacity: int = 1024, *, length: str = "length", order: list[str], rows_per_bucket: int = 20_000) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset``.  ``order`` names columns that tell rows apart (they only deal out equal lengths)."""
-    spark = df.sparkSession
-    df = written(df, "pieces")
-    fits = F.col(length).between(1, capacity)
-    counts = {int(r[0]): int(r[1]) for r in df.where(fits).groupBy(F.col(length)).count().collect()}
+    """Adds (or replaces) ``sequence_id`` and ``offset``.  ``order`` names columns that tell rows apart (they only deal out equal lengths)."""
+    names = [c for c in df.columns if c not in ("sequence_id", "offset")]
+    piece = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    size = F.col(f"`{length}`")
+    rows = written(df.select(piece.alias("piece"), F.when(size.between(1, capacity), size.cast("long")).alias("size"),
+                             F.xxhash64(*[F.col(f"`{c}`") for c in order]).alias("deal")), "pieces")
+    counts = {int(r[0]): int(r[1]) for r in rows.where("size is not null").groupBy("size").count().collect()}
     runs = sorted(best_fit_runs(counts, capacity))
     first = np.array([(r[0] << 44) + r[1] for r in runs], np.int64)
     each, sequence, offset = (np.array([r[i] for r in runs], np.int64) for i in (2, 3, 4))
 
     buckets = max(1, sum(counts.values()) // rows_per_bucket)
-    names = df.columns
-    dealt = df.withColumn("_length", F.when(fits, F.col(length).cast("long"))).withColumn("_bucket", F.pmod(F.xxhash64(*map(F.col, order)), F.lit(buckets)))
-    before = dealt.groupBy("_length", "_bucket").agg(F.count(F.lit(1)).alias("_n")).select(
-        "_length", "_bucket", (F.sum("_n").over(Window.partitionBy("_length").orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    number = F.row_number().over(Window.partitionBy("_length", "_bucket").orderBy(*order))
-    numbered = dealt.withColumn("_row", number).join(before, ["_length", "_bucket"], "left")
-    numbered = numbered.select(*names, "_length", (F.col("_row") - 1 + F.col("_before")).alias("_number"))
-    schema = df.select(*names).schema.add("sequence_id", "long").add("offset", "long")
+    dealt = rows.withColumn("bucket", F.pmod("deal", F.lit(buckets)))
+    before = dealt.groupBy("size", "bucket").agg(F.count(F.lit(1)).alias("n")).select(
+        "size", "bucket", (F.sum("n").over(Window.partitionBy("size").orderBy("bucket")) - F.col("n")).alias("before"))
+    by = [F.col(f"piece.c{names.index(c)}") for c in order]
+    numbered = dealt.withColumn("number", F.row_number().over(Window.partitionBy("size", "bucket").orderBy(*by)))
+    numbered = numbered.join(before, ["size", "bucket"], "left").select("piece", "size", (F.col("number") - 1 + F.col("before")).alias("number"))
+    schema = StructType().add("piece", rows.schema["piece"].dataType).add("sequence_id", "long").add("offset", "long")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, number = b.column(len(names)), b.column(len(names) + 1)
             out = pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.int64())
             if len(first) and len(b):
-                none = np.array(size.is_null())
-                n, k = (np.asarray(x.fill_null(0), np.int64) for x in (size, number))
+                none = np.array(b.column(1).is_null())
+                n, k = (np.asarray(x.fill_null(0), np.int64) for x in b.columns[1:])
                 at = np.searchsorted(first, (n << 44) + k, "right") - 1
                 at[none] = 0
                 k = k - (first[at] & ((1 << 44) - 1))
                 out = pa.array(sequence[at] + k // each[at], mask=none), pa.array(offset[at] + k % each[at] * n, mask=none)
-            yield pa.RecordBatch.from_arrays([*b.columns[:len(names)], *out], [*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *out], ["piece", "sequence_id", "offset"])
 
-    return numbered.mapInArrow(place, schema)
+    placed = numbered.mapInArrow(place, schema)
+    return placed.select(*[F.col(f"piece.c{i}").alias(c) for i, c in enumerate(names)], "sequence_id", "offset")

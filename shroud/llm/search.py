@@ -34,6 +34,7 @@ SHARD_ROWS = 4096
 QUERY_ROWS = 8192
 PIVOTS = 64
 LEAF = 48
+QUERY_LEAF = 8
 
 
 class CoverTree:
@@ -90,7 +91,7 @@ class DualSearch:
     """The k best of ``ids`` (vectors ``x``) for each query, no score below the query's ``floor``."""
 
     def __init__(self, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, k: int):
-        self.R, self.Q, self.ids, self.q_ids, self.k = CoverTree(x), CoverTree(q), ids, q_ids, k
+        self.R, self.Q, self.ids, self.q_ids, self.k = CoverTree(x), CoverTree(q, QUERY_LEAF), ids, q_ids, k
         self.floor = floor
         self.score = np.full((len(q), k), -np.inf)
         self.found = np.full((len(q), k), np.iinfo(np.int64).max)
