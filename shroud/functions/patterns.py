@@ -89,8 +89,9 @@ SCORE_PERSON_EN = 0.85
 
 
 def _address_full() -> str:
-    # Bounded region run: a region name has a handful of words.
-    region = ADDR_GEO_REGION.replace(r"(?:\s+[\w\-]+)*", r"(?:\s+[\w\-]+){0,4}")
+    # The same run of words as ADDR_GEO_REGION, without a repeated group (which overflows the
+    # JVM stack); the look-behinds let it start only where a run of words starts.
+    region = r"(?:(?<![\w\-])(?<![\w\-]\s)[\w\-][\w\-\s]*\s(?:обл\.|кр\.|р-на?),\s*)?"
     geo = region + ADDR_GEO_CITY
     return (geo + "(?:" + ADDR_ST_ABBR + "|" + ADDR_ST_FULL + r")\s+[\w\s\-\.\"«»]{2,40},\s*"
             + ADDR_HOUSE + ADDR_SUITE)
@@ -124,7 +125,7 @@ class PatternDef:
     regex: str            # JVM regex, flags included
     score: float
     context: tuple[str, ...] = ()
-    validator: str | None = None       # 'card' -> digits 13..19 + Luhn
+    validator: object = None           # 'card' -> digits 13..19 + Luhn; or a function of the hit column (X2)
     context_required: bool = False     # F1 (BIK/KPP)
     gate: str = GATE_DIGIT
 
@@ -138,7 +139,9 @@ def _iu(r: str) -> str:
     return "(?iU)" + r
 
 
-VIN_JVM = r"(?U)\b(?=[A-HJ-NPR-Z0-9]{0,16}[0-9])[A-HJ-NPR-Z0-9]{17}\b"
+# In any case, so that no VIN stays in clear; a digit tells it from a word, or a VIN context word on its left.
+VIN_JVM = r"(?iU)\b(?=[A-HJ-NPR-Z0-9]{0,16}[0-9])[A-HJ-NPR-Z0-9]{17}\b"
+VIN_LETTERS_JVM = r"(?iU)\b[A-HJ-NPR-Z]{17}\b"
 
 # Registration order of recognizers (used as the last tie-break).
 REGISTRY: tuple[PatternDef, ...] = (
@@ -163,6 +166,7 @@ REGISTRY: tuple[PatternDef, ...] = (
     PatternDef("CARD", "CARD_AMEX", _iu(CARD_AMEX), 0.85, tuple(CONTEXT_CARD), validator="card"),
     PatternDef("CARD", "CARD_PLAIN", _iu(CARD_PLAIN), 0.50, tuple(CONTEXT_CARD), validator="card", gate=GATE_DIGIT9),
     PatternDef("VIN", "VIN", VIN_JVM, 0.70, tuple(CONTEXT_VIN)),
+    PatternDef("VIN", "VIN_LETTERS", VIN_LETTERS_JVM, 0.70, tuple(CONTEXT_VIN), context_required=True, gate=GATE_NONE),
     PatternDef("ACCOUNT_RU", "ACCOUNT_20", _iu(ACCOUNT_20), 0.85, tuple(CONTEXT_ACCOUNT), gate=GATE_DIGIT9),
     PatternDef("BIK_RU", "BIK_9", _iu(BIK_9), 0.85, tuple(CONTEXT_BIK), context_required=True, gate=GATE_DIGIT9),
     PatternDef("KPP_RU", "KPP_9", _iu(KPP_9), 0.85, tuple(CONTEXT_KPP), context_required=True, gate=GATE_DIGIT9),

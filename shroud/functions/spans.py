@@ -70,10 +70,15 @@ def context_boost(text: Column, start: Column, score: Column, terms, s: C.Settin
     ``context_prefix_words`` words left of the hit."""
     if not terms:
         return score
-    lo = F.greatest(start - 200, F.lit(0))
-    words = F.filter(F.split(F.lower(F.substring(text, lo + 1, start - lo)), r"(?U)[^\w/]+", -1),
-                     lambda w: w != "")
     n = s.context_prefix_words
+
+    def words_from(lo):
+        return F.filter(F.split(F.lower(F.substring(text, lo + 1, start - lo)), r"(?U)[^\w/]+", -1),
+                        lambda w: w != "")
+
+    # Enough words near by (the first of them may be cut), or all words before the hit.
+    near = words_from(F.greatest(start - 200, F.lit(0)))
+    words = F.when((F.size(near) > n) | (start <= 200), near).otherwise(words_from(F.lit(0)))
     last = F.slice(words, F.greatest(F.size(words) - n + 1, F.lit(1)), F.lit(n))
     found = F.exists(last, lambda w: _any_contains(w, terms))
     boosted = F.least(F.lit(1.0), F.greatest(score + s.context_boost, F.lit(s.context_min_score)))
@@ -94,6 +99,10 @@ def pattern_spans(text: Column, p: PatternDef, s: C.Settings) -> Column:
     hits = extract_spans(text, p.regex)
     if p.validator == "card":
         hits = F.filter(hits, lambda x: _card_valid(x["hit"]))
+    elif callable(p.validator):
+        hits = F.filter(hits, lambda x: p.validator(x["hit"]))
+    elif p.validator is not None:
+        raise C.ConfigError(f"unknown validator {p.validator!r} of pattern {p.name}")
     if p.context_required:
         hits = F.filter(hits, lambda x: left_context_ok(text, x["start"], p.context))
     base = F.lit(1.0 if p.validator == "card" else p.score)

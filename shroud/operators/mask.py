@@ -119,6 +119,11 @@ def rewrite_sql(spans: str = "_spans_out", text: str = "text") -> str:
     )
 
 
+def detector_set(language: Column, s: C.Settings) -> Column:
+    """The detector set of a row's language: its own for ru and en, ``other_languages`` for any other and for null."""
+    return F.when(language.isin(*C.SUPPORTED_LANGUAGES), language).otherwise(F.lit(s.other_languages))
+
+
 def injected_pattern_array(df: DataFrame, spans: DataFrame, keys) -> DataFrame:
     """Injected analyzer results (stub or external) as the pattern-hit array."""
     custom = F.col("entity_type").isin(*sorted(C.CUSTOM_ENTITY_TYPES))
@@ -141,7 +146,7 @@ def prepare(texts: DataFrame, s: C.Settings, *, ner_spans: DataFrame | None = No
         df = df.withColumn("prepend_hint", F.lit(False))
     if "language" not in df.columns:
         df = df.withColumn("language", F.lit("ru"))
-    text, lang = F.col("text"), F.col("language")
+    text, lang = F.col("text"), detector_set(F.col("language"), s)
     empty_ner = F.array().cast(NER_TYPE)
     if ner_spans is not None:
         df = collect_injected(df, ner_spans, "_ner_in", keys)
@@ -155,7 +160,12 @@ def prepare(texts: DataFrame, s: C.Settings, *, ner_spans: DataFrame | None = No
     if pattern_spans is not None:
         df = injected_pattern_array(df, pattern_spans, keys)
         pat = F.concat(pat, F.coalesce(F.col("_pat_in"), empty_spans()))
-    df = df.withColumn("spans", ordered_spans(text, ner_arr, pat))
+    spans = ordered_spans(text, ner_arr, pat)
+    if registry is not REGISTRY or pattern_spans is not None:
+        # types that come from outside: one that no setting routes must not stay in clear
+        spans = F.transform(spans, lambda x: F.when(x["ctype"].isin(*C.routed_types(s)), x).otherwise(F.raise_error(
+            F.concat(F.lit("no setting routes the entity type "), x["ctype"])).cast("struct<start:int,end:int,ctype:string,original:string,ord:int,src:string>")))
+    df = df.withColumn("spans", spans)
     return df.drop(*[c for c in ("_ner_in", "_pat_in") if c in df.columns])
 
 
@@ -178,7 +188,7 @@ def mask_prepared(df: DataFrame, s: C.Settings, prev: Column | None = None) -> D
         f"'ord', x.ord, 'out', get(filter(ent, e -> e.ctype = x.ctype AND e.original = x.original), 0).out))), "
         f"so -> named_struct('fin', {finish_sql(s, 'so')}, 'entries', filter(ent, e -> e.new), "
         f"'entities_found', array_distinct(transform(sp, x -> x.ctype))))[0])[0])[0])[0]")
-    df = df.withColumn("_m", F.expr(chain))
+    df = df.withColumn("_m", F.when(F.col("reason").isNull(), F.expr(chain)) if "reason" in df.columns else F.expr(chain))
     df = (df.withColumn("hint", F.col("_m.fin.hint"))
             .withColumn("masked_text", F.col("_m.fin.masked_text"))
             .withColumn("masked_spans", F.col("_m.fin.masked_spans"))
@@ -219,19 +229,15 @@ def mask(texts: DataFrame, s: C.Settings, *, keys=("session_id", "seq"), **kw) -
     """T3 for texts that are each their own (new) session.
 
     Returns the input columns plus masked_text, entities_found, hint,
-    masked_spans, ttl, spans (resolved input spans) and entries (the new
-    mapping entries of the text).  Rows whose language is not supported are
-    dropped here; see :func:`rejected_languages`.
+    masked_spans, ttl, spans (resolved input spans), entries (the new mapping
+    entries of the text) and reason.  Every input row comes back: one whose
+    language the settings refuse has the reason and null masked columns.
     """
     C.validate(s)
-    ok = texts.filter(F.col("language").isin(*C.SUPPORTED_LANGUAGES)) if "language" in texts.columns else texts
-    return mask_prepared(prepare(ok, s, keys=keys, **kw), s)
-
-
-def rejected_languages(texts: DataFrame, keys=("session_id", "seq")) -> DataFrame:
-    """Rows with a language outside ru/en, reason 'unsupported_language'."""
-    return (texts.filter(~F.col("language").isin(*C.SUPPORTED_LANGUAGES) | F.col("language").isNull())
-            .select(*keys, F.lit("unsupported_language").alias("reason")))
+    rows = texts if "language" in texts.columns else texts.withColumn("language", F.lit("ru"))
+    refused = detector_set(F.col("language"), s).isNull()
+    rows = rows.withColumn("reason", F.when(refused, F.lit("unsupported_language")))
+    return mask_prepared(prepare(rows, s, keys=keys, **kw), s)
 
 
 def masked_view(df: DataFrame, keys=("session_id", "seq")) -> DataFrame:

@@ -38,7 +38,7 @@ PER_RU_RE = (
 )
 ORG_RU_RE = (
     r"(?U)\b(?:ООО|ОАО|ЗАО|ПАО|АО|НКО|ФГУП|ГУП|МУП|ИП)\s+"
-    r"(?:«[^»\n]{1,80}»|\"[^\"\n]{1,80}\"|[А-ЯЁ][\w\-]*(?:\s+[А-ЯЁ][\w\-]*){0,2})"
+    r"(?:«[^»\n]++»|\"[^\"\n]++\"|[А-ЯЁ][\w\-]*+(?:\s+[А-ЯЁ][\w\-]*+)*+)"
 )
 
 
@@ -103,7 +103,7 @@ def collect_injected(texts: DataFrame, spans: DataFrame, out: str,
     else:
         elem = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"),
                         F.col("entity_type").alias("etype"), F.col("_i").alias("_i"))
-    idx = F.col("idx") if "idx" in spans.columns else F.monotonically_increasing_id()
+    idx = F.col("idx") if "idx" in spans.columns else F.col("start")
     grouped = (spans.withColumn("_i", idx.cast("long"))
                .groupBy(*keys).agg(F.array_sort(F.collect_list(elem), lambda a, b: F.when(a["_i"] < b["_i"], -1)
                                                 .when(a["_i"] > b["_i"], 1).otherwise(0)).alias(out)))

@@ -5,7 +5,7 @@ The reference handles one request at a time, each reading and rewriting the
 whole session.  Here a batch of texts is masked as if its texts arrived in
 ``seq`` order, without ever sending a session to one task:
 
-1. guards against the stored state: unsupported language (B6), language
+1. guards against the stored state: refused language (B6), language
    differing from the session's (F9; a new session takes the language of its
    first text), text containing an out issued earlier (F10, token equi-join);
 2. detection and resolution per text (row-local), then the entity table:
@@ -38,7 +38,7 @@ from ..functions import surrogates as G
 from ..functions.tokens import out_tokens, substrings_min
 from ..session import ensure_checkpoint_dir
 from ..sources.store import empty_mapping, empty_sessions, live
-from .mask import ENTRY_TYPE, _label_sql, _taken_expr, finish, prepare, sql_str, taken_col
+from .mask import _label_sql, _taken_expr, detector_set, finish, prepare, taken_col
 from .ranks import rank_within
 from .unmask import token_hits
 
@@ -57,16 +57,16 @@ def guards(texts: DataFrame, mapping: DataFrame, sessions: DataFrame, s: C.Setti
            keys=("session_id", "seq")):
     """(accepted texts with column ``language``, rejected rows)."""
     keys = list(keys)
-    rej_lang = (texts.filter(~F.col("language").isin(*C.SUPPORTED_LANGUAGES) | F.col("language").isNull())
-                .select(*keys, F.lit("unsupported_language").alias("reason")))
-    t = texts.filter(F.col("language").isin(*C.SUPPORTED_LANGUAGES))
+    refused = detector_set(F.col("language"), s).isNull()
+    rej_lang = texts.filter(refused).select(*keys, F.lit("unsupported_language").alias("reason"))
+    t = texts.filter(~refused)
     first_lang = t.groupBy("session_id").agg(F.min_by("language", F.col("seq")).alias("_first_lang"))
     stored = sessions.select("session_id", F.col("language").alias("_stored_lang"))
     t = t.join(stored, "session_id", "left").join(first_lang, "session_id", "left")
     t = t.withColumn("_sess_lang", F.coalesce("_stored_lang", "_first_lang"))
-    rej_mismatch = (t.filter(F.col("language") != F.col("_sess_lang"))
+    rej_mismatch = (t.filter(~F.col("language").eqNullSafe(F.col("_sess_lang")))
                     .select(*keys, F.lit("language_mismatch").alias("reason")))
-    t = t.filter(F.col("language") == F.col("_sess_lang")).drop("_stored_lang", "_first_lang", "_sess_lang")
+    t = t.filter(F.col("language").eqNullSafe(F.col("_sess_lang"))).drop("_stored_lang", "_first_lang", "_sess_lang")
     bad = token_hits(t, mapping, s, keys).select(*keys).distinct()
     rej_token = t.join(bad, keys, "left_semi").select(*keys, F.lit("contains_issued_token").alias("reason"))
     accepted = t.join(bad, keys, "left_anti")
@@ -207,7 +207,10 @@ def mask_sessions(texts: DataFrame, s: C.Settings, mapping: DataFrame | None = N
 
     outs = (ent.filter(F.col("_old").isNotNull()).select("session_id", "ctype", "original", F.col("_old").alias("out"))
             .unionByName(new_entries.select("session_id", "ctype", "original", "out")))
-    spans_out = (occ.join(outs, ["session_id", "ctype", "original"])
+    # a span without an out would stay in clear: fail instead
+    placed = occ.join(outs, ["session_id", "ctype", "original"], "left").withColumn(
+        "out", F.coalesce("out", F.raise_error(F.concat(F.lit("no out for a span of type "), F.col("ctype"))).cast("string")))
+    spans_out = (placed
                  .groupBy("session_id", "seq")
                  .agg(F.collect_list(F.struct("start", "end", "ctype", "ord", "out")).alias("_spans_out")))
     masked = prep.drop("_toks", *[taken_col(t) for t in s.marker_types]).join(spans_out, ["session_id", "seq"], "left")

@@ -4,6 +4,7 @@ checkpoint folder (read from ``spark.checkpoint.dir``; set only when unset)."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -51,10 +52,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.  Only when none is
-    configured (local tests) is a scratch folder created and set."""
+    """Return the cluster's shared checkpoint folder.  Only in a local session
+    without one (tests) is a scratch folder created and set; anywhere else
+    executors and driver would not share it."""
     d = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir is not set: master {master} needs a folder that all machines share")
         d = tempfile.mkdtemp(prefix="shroud-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
@@ -68,37 +73,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, name)
-
-
-_SHIPPED: set = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Make ``shroud`` importable in Python workers (stateful streaming,
-    mapInPandas): zip the package into the shared checkpoint folder and add
-    it with ``addPyFile``.  Done once per SparkContext."""
-    import shutil
-    import zipfile
-
-    sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
-        return
-    base = ensure_checkpoint_dir(spark)
-    if "://" in base and not base.startswith("file:"):
-        return   # cluster storage: ship the package with --py-files instead
-    pkg = os.path.dirname(os.path.abspath(__file__))
-    folder = scratch_path(spark, "pyfiles")
-    os.makedirs(folder, exist_ok=True)
-    target = os.path.join(folder, "shroud.zip")
-    tmp = target + ".part"
-    with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
-        for root, _dirs, files in os.walk(pkg):
-            if "__pycache__" in root:
-                continue
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(root, f)
-                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    shutil.move(tmp, target)
-    sc.addPyFile(target)
-    _SHIPPED.add(id(sc))

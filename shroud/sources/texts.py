@@ -31,12 +31,14 @@ def texts_from(df: DataFrame, id_col: str, text_col: str, language: Column | Non
 
 def read_texts(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """S1 for files already in the ``texts`` shape (parquet or json lines),
-    or plain text files (one text per line; seq = line position)."""
+    or plain text files: one text per line, its own session, named by the file
+    and a hash of the line (equal lines of a file share it), so that neither
+    depends on how the file is split."""
     if fmt == "text":
         df = spark.read.text(path).withColumnRenamed("value", "text")
-        return (df.withColumn("seq", F.monotonically_increasing_id())
-                  .select(F.col("seq").cast("string").alias("session_id"), "seq", "text",
-                          F.lit("ru").alias("language"), F.lit(False).alias("prepend_hint")))
+        name = F.concat_ws("#", F.col("_metadata.file_path"), F.sha2("text", 256))
+        return df.select(name.alias("session_id"), F.lit(0).cast("long").alias("seq"), "text",
+                         F.lit("ru").alias("language"), F.lit(False).alias("prepend_hint"))
     return spark.read.schema(TEXTS_SCHEMA).format(fmt).load(path)
 
 

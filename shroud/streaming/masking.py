@@ -3,9 +3,9 @@
 Each micro-batch is masked with :func:`shroud.operators.sessions.mask_sessions`
 against the store's current mapping (so successive texts of a session reuse
 outs and continue the marker counters), the masked rows and rejections are
-appended to sinks, and a new store snapshot is written - all inside
-``foreachBatch``.  Re-running an epoch after a failure finds its entries in
-the store and reuses them, so the outputs stay the same.
+written to the epoch's own folder, and a new store snapshot is written - all
+inside ``foreachBatch``.  An epoch that is run again after a failure replaces
+its folder; if the store already has its entries, they are reused.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ from ..sources.store import Store, merge
 from ..sources.texts import TEXTS_SCHEMA
 
 
-def mask_batch(batch: DataFrame, store: Store, s: C.Settings, out_path: str, now=None, **kw) -> None:
+def mask_batch(batch: DataFrame, store: Store, s: C.Settings, out_path: str, now=None, epoch: int = 0, **kw) -> None:
     now = now if now is not None else F.current_timestamp()
     mapping, sessions = store.mapping(), store.sessions()
     r = mask_sessions(batch, s, mapping=mapping, sessions=sessions, now=now, **kw)
-    masked_view(r.masked).write.mode("append").parquet(f"{out_path}/masked")
-    r.rejected.write.mode("append").parquet(f"{out_path}/rejected")
+    masked_view(r.masked).write.mode("overwrite").parquet(f"{out_path}/masked/epoch={epoch}")
+    r.rejected.write.mode("overwrite").parquet(f"{out_path}/rejected/epoch={epoch}")
     m, ss = merge(mapping, sessions, r.entries, r.touched, now, s.mapping_ttl)
     store.write(m, ss)
 
@@ -36,6 +36,6 @@ def run_stream_mask(spark: SparkSession, texts_path: str, store: Store, out_path
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     stream = reader.parquet(texts_path)
-    q = (stream.writeStream.foreachBatch(lambda df, epoch: mask_batch(df, store, s, out_path, now))
+    q = (stream.writeStream.foreachBatch(lambda df, epoch: mask_batch(df, store, s, out_path, now, epoch))
          .option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start())
     q.awaitTermination()

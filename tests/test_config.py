@@ -29,13 +29,6 @@ def test_bad_settings(spark, settings, match, check):
     assert check in checks
 
 
-def test_labels_localised():
-    s = ok()
-    assert s.marker_labels("ru")["PERSON"] == "Имя"
-    assert s.marker_labels("en")["PERSON"] == "Name"
-    assert s.marker_labels("de")["PERSON"] == "Имя"
-
-
 def test_stats_types(spark):
     from pyspark.sql import functions as F
 

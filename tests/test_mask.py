@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from shroud import config as C
 from shroud.operators.mask import mask
 from tests.helpers import by_session, spans, texts
 
@@ -163,11 +164,42 @@ def test_existing_entries_continue_counter(spark, settings):
     assert out["r"]["masked_text"] == "[Имя 1] здесь" and out["r"]["entries"] == []
 
 
-def test_unsupported_language_rejected(spark, settings):
-    from shroud.operators.mask import rejected_languages
-    t = texts(spark, [("x", "text", "fr"), ("y", "текст", "ru")])
-    assert [r["session_id"] for r in rejected_languages(t).collect()] == ["x"]
-    assert [r["session_id"] for r in mask(t, settings).collect()] == ["y"]
+def test_no_row_is_lost_by_its_language(spark, settings):
+    t = texts(spark, [("x", "mail a@b.org, ИНН", "fr"), ("y", "текст", "ru"), ("z", "mail a@b.org", None)])
+    out = by_session(mask(t, settings).collect())
+    assert set(out) == {"x", "y", "z"} and all(r["reason"] is None for r in out.values())
+    assert out["x"]["entities_found"] == ["EMAIL"] and out["z"]["entities_found"] == ["EMAIL"]
+    out = by_session(mask(t, settings.with_(other_languages=None)).collect())
+    assert {k: (r["reason"], r["masked_text"]) for k, r in out.items()} == {
+        "x": ("unsupported_language", None), "y": (None, "текст"), "z": ("unsupported_language", None)}
+
+
+def test_nothing_is_cut_short(spark, settings):
+    region = "далёкая большая северная новая дальняя Московская обл., "
+    org = "ООО «" + "очень " * 40 + "длинное имя»"
+    t = texts(spark, [("a", f"проживает по адресу, {region}г. Химки, ул. Мира, д. 5"), ("v", "машина xta21099043234567 тут"),
+                      ("w", "vin ABCDEFGHJKLMNPRST тут"), ("o", f"это {org} тут"), ("l", "слово " * 20_000)])
+    out = by_session(mask(t, settings).collect())
+    assert out["a"]["masked_text"] == "проживает по адресу, [Адрес 1]"
+    assert out["v"]["entities_found"] == ["VIN"] and "xta21099043234567" not in out["v"]["masked_text"]
+    assert out["w"]["entities_found"] == ["VIN"]
+    assert out["o"]["masked_text"] == "это [Организация 1] тут"
+    assert out["l"]["entities_found"] == []
+
+
+def test_own_type_is_masked_or_refused(spark, settings):
+    from shroud.functions.patterns import REGISTRY, add_recognizer
+    from shroud.operators.sessions import mask_sessions
+    registry = (*REGISTRY, add_recognizer("EMP_ID", "EMP", r"EMP-\d{6}", 0.9))
+    t = texts(spark, [("s", "badge EMP-123456", "en")])
+    own = settings.with_(marker_types=C.MARKER_TYPES + ("EMP_ID",), marker_labels_ru={**C.MARKER_LABELS_RU, "EMP_ID": "Табель"},
+                         marker_labels_en={**C.MARKER_LABELS_EN, "EMP_ID": "Badge"})
+    assert mask(t, own, registry=registry).collect()[0]["masked_text"] == "badge [Badge 1]"
+    assert mask_sessions(t, own, registry=registry).masked.collect()[0]["masked_text"] == "badge [Badge 1]"
+    with pytest.raises(Exception, match="EMP_ID"):
+        mask(t, settings, registry=registry).select("masked_text").collect()
+    with pytest.raises(Exception, match="EMP_ID"):
+        mask_sessions(t, settings, registry=registry).masked.collect()
 
 
 def test_tagger_hook_feeds_masking(spark, settings):

@@ -57,7 +57,7 @@ def test_second_batch_reuses_and_guards(spark, settings, first_batch):
     t = tx(spark, [("a", 10, "Иванов снова, Сидоров"), ("a", 11, "hello", "en"),
                    ("a", 12, "перезвоните [Имя 2]"), ("b", 10, "text", "en"), ("c", 0, "x", "fr")])
     ner = inj(spark, [("a", 10, 0, 6, "PER"), ("a", 10, 14, 21, "PER")])
-    r = mask_sessions(t, settings, mapping=st.mapping(), sessions=st.sessions(), now=now(),
+    r = mask_sessions(t, settings.with_(other_languages=None), mapping=st.mapping(), sessions=st.sessions(), now=now(),
                       ner_spans=ner, detectors=False, ner="none")
     masked = {(x["session_id"], x["seq"]): x["masked_text"] for x in r.masked.collect()}
     assert masked[("a", 10)] == "[Имя 1] снова, [Имя 3]"
@@ -101,3 +101,14 @@ def test_rank_within_large_group(spark):
     rows = r.collect()
     assert all(x["r"] == x["o"] + 1 for x in rows)
     assert len(rows) == 5010
+
+
+def test_expired_entries_stay_expired(spark, settings):
+    from shroud.sources.store import empty_mapping, empty_sessions, merge
+    m, s = empty_mapping(spark), empty_sessions(spark)
+    for hour, name in ((0, "Иванов"), (1, "Петров")):
+        at = F.expr(f"TIMESTAMP '2026-01-01 0{hour}:00:00'")
+        r = mask_sessions(tx(spark, [("a", hour, f"{name} тут")]), settings, mapping=m, sessions=s, now=at,
+                          ner_spans=inj(spark, [("a", hour, 0, 6, "PER")]), detectors=False, ner="none")
+        m, s = merge(m, s, r.entries, r.touched, at, settings.mapping_ttl)
+    assert [(x["out"], x["original"]) for x in m.collect()] == [("[Имя 1]", "Петров")]
