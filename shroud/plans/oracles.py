@@ -187,8 +187,16 @@ ORACLES = {
     "detect_requisites": carriers.expected_entities_sql("customer", "c_custkey"),
     "mask_requisites": mask_requisites(),
     "surrogate_values": surrogate_values(),
-    "roundtrip_documents": "SELECT doc_id, text FROM documents",
-    "roundtrip_pages": "SELECT page_id, html FROM pages",
+    "roundtrip_documents": "SELECT doc_id, text, CAST(0 AS INTEGER) AS still_clear FROM documents",
+    "roundtrip_pages": "SELECT page_id, html, CAST(0 AS INTEGER) AS still_clear FROM pages",
+    "type_counts_requisites": f"""
+SELECT ctype, count(*) AS n FROM ({carriers.expected_entities_sql("customer", "c_custkey")}) GROUP BY ctype""",
+    "language_routing": """
+SELECT doc_id, 'default' AS setting, CAST(NULL AS VARCHAR) AS reason, false AS refused FROM documents
+UNION ALL
+SELECT doc_id, 'strict' AS setting, CASE WHEN lang IS NULL OR lang NOT IN ('ru', 'en') THEN 'unsupported_language' END AS reason,
+       (lang IS NULL OR lang NOT IN ('ru', 'en')) AS refused FROM documents""",
+    "session_expiry": "SELECT CAST(c_custkey AS VARCHAR) AS session_id, '[Имя 1]' AS out, 'Петров П. П.' AS original FROM customer",
     "roundtrip_conversations": "SELECT conv_id, turn, text FROM conversations",
     "unmask_sessions": "SELECT doc_id, text FROM documents",
     "marker_numbering": marker_numbering(),

@@ -35,6 +35,12 @@ def _patterns(*names):
     return tuple(p for p in REGISTRY if p.name in names)
 
 
+def _spread(texts: DataFrame) -> DataFrame:
+    """Deal texts out anew only where the scan has fewer partitions than there are cores (a small file of one row group)."""
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts if texts.rdd.getNumPartitions() >= cores else texts.repartition(cores, "seq")
+
+
 def _docs(spark, sf_dir, lang="en"):
     d = read_table(spark, sf_dir, "documents")
     return texts_from(d, "doc_id", "text", language=F.lit(lang), session=F.col("doc_id").cast("string"))
@@ -99,19 +105,25 @@ def surrogate_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("c_custkey", "ctype", F.get(cands, 0).alias("out"))
 
 
+def _still_clear(masked: DataFrame):
+    """E-mail addresses that the masked text still shows, by a plain expression (surrogates are at example.com): none, if masking did its work."""
+    found = F.regexp_extract_all("masked_text", F.lit(r"(?U)\b[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}\b"), F.lit(0))
+    return F.size(F.filter(found, lambda x: ~x.endswith("@example.com")))
+
+
 def roundtrip_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T3 then T5 per document (each its own session): the original text back."""
-    t = _docs(spark, sf_dir).repartition(32, "seq")
+    t = _spread(_docs(spark, sf_dir))
     m = unmask_with_entries(mask(t, SETTINGS), SETTINGS)
-    return m.select(F.col("seq").alias("doc_id"), F.col("unmasked_text").alias("text"))
+    return m.select(F.col("seq").alias("doc_id"), F.col("unmasked_text").alias("text"), _still_clear(m).alias("still_clear"))
 
 
 def roundtrip_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T3 then T5 over raw HTML pages."""
     p = read_table(spark, sf_dir, "pages")
     t = texts_from(p, "page_id", "html", language=F.lit("en"), session=F.col("page_id").cast("string"))
-    m = unmask_with_entries(mask(t.repartition(16, "seq"), SETTINGS), SETTINGS)
-    return m.select(F.col("seq").alias("page_id"), F.col("unmasked_text").alias("html"))
+    m = unmask_with_entries(mask(_spread(t), SETTINGS), SETTINGS)
+    return m.select(F.col("seq").alias("page_id"), F.col("unmasked_text").alias("html"), _still_clear(m).alias("still_clear"))
 
 
 def unmask_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,11 +219,45 @@ def session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2 + A10: canonical types found in documents, with counts."""
-    p = prepare(_docs(spark, sf_dir).repartition(32, "seq"), SETTINGS)
+    p = prepare(_spread(_docs(spark, sf_dir)), SETTINGS)
     return (explode_rows(p, [], "spans").groupBy(F.col("x.ctype").alias("ctype"))
              .agg(F.count(F.lit(1)).alias("n")))
 
 
+def type_counts_requisites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2 + A10 over the customers' carrier texts, whose entities are known."""
+    p = prepare(_requisite_texts(spark, sf_dir), SETTINGS)
+    return (explode_rows(p, [], "spans").groupBy(F.col("x.ctype").alias("ctype"))
+             .agg(F.count(F.lit(1)).alias("n")))
+
+
+def language_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5 + B6 over ``documents.lang``: every row comes back; a language without detectors of its own takes the English
+    set, or is refused with its reason where the settings say so."""
+    d = read_table(spark, sf_dir, "documents")
+    t = _spread(texts_from(d, "doc_id", "text", language=F.col("lang"), session=F.col("doc_id").cast("string")))
+    m = mask(t, SETTINGS, registry=_patterns("EMAIL"))
+    strict = mask(t, SETTINGS.with_(other_languages=None), registry=_patterns("EMAIL")).select(
+        F.col("seq").alias("doc_id"), F.lit("strict").alias("setting"), "reason", F.col("masked_text").isNull().alias("refused"))
+    return m.select(F.col("seq").alias("doc_id"), F.lit("default").alias("setting"), "reason", F.col("masked_text").isNull().alias("refused")).unionByName(strict)
+
+
+def session_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 + U2: a customer's text, an hour later (past the TTL) another one: the marker is issued anew and only the
+    second original lives under it."""
+    c = read_table(spark, sf_dir, "customer")
+    m, s = S.empty_mapping(spark), S.empty_sessions(spark)
+    for hour, name in ((0, "Иванов И. И."), (1, "Петров П. П.")):
+        now = F.expr(f"{NOW} + INTERVAL {hour} HOURS")
+        t = c.select(F.col("c_custkey").cast("string").alias("session_id"), F.lit(hour).cast("long").alias("seq"),
+                     F.lit(f"пришёл {name} сюда").alias("text"), F.lit("ru").alias("language"))
+        r = mask_sessions(t, SETTINGS, mapping=m, sessions=s, now=now)
+        st = _store(spark, "expiry")
+        st.write(*S.merge(m, s, r.entries, r.touched, now, SETTINGS.mapping_ttl))
+        m, s = st.mapping(), st.sessions()
+    return m.select("session_id", "out", "original")
+
+
 def ner_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F6, F7, F8, F12, J1 with injected NER spans (X4 input shape): an ORG
     span running over a line break is clipped, a single all-caps word and a
@@ -240,7 +286,7 @@ def stream_unmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     original document."""
     ensure_checkpoint_dir(spark)
     base = scratch_path(spark, f"streams/{uuid.uuid4().hex}")
-    t = _docs(spark, sf_dir).repartition(32, "seq")
+    t = _spread(_docs(spark, sf_dir))
     m = mask(t, SETTINGS)
     m = m.checkpoint()
     entries_view(m).select("session_id", "out", "original").write.parquet(os.path.join(base, "mapping"))
@@ -325,6 +371,9 @@ QUERIES = {
     "session_delete": session_delete,
     "session_stats": session_stats,
     "type_counts": type_counts,
+    "type_counts_requisites": type_counts_requisites,
+    "language_routing": language_routing,
+    "session_expiry": session_expiry,
     "ner_clip": ner_clip,
     "stream_unmask": stream_unmask,
     "detect_phone_number": detect_phone_number,
