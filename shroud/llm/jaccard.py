@@ -15,10 +15,11 @@ its part of every document only, counts what it can, and the counts are summed.
    sets can only reach the threshold if they meet in their prefixes (the first
    ``n - ceil(0.8 n) + 1`` n-grams).  Candidate pairs go from a set to one hub
    of a prefix n-gram, not from all to all; sets that have become one component
-   need no further pair.  What is left between different components after the
-   hub rounds is paired in full, so no link between components is lost.
-3. *Overlaps.*  For each candidate pair and fragment the overlap is counted on
-   the parts alone; the sums decide.
+   need no further pair.  Sets that still share a prefix n-gram across
+   components after the hub rounds are compared in full, block by block, so no
+   link between components is lost.
+3. *Overlaps.*  For each candidate pair (or pair of blocks) and fragment the
+   overlaps are counted on the parts alone; the sums decide.
 
 The result is the components over all links, not the links themselves.
 
@@ -42,13 +43,17 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .graph import components
-from .wire import groups, packed, unpacked
+from .near import forest
+from .wire import groups, in_batches, packed, unpacked
+from .wire import rows as _rows
 from .words import shingle_sets
 
 BLOCK_BYTES = 8 << 20
 BLOCK_ROWS = (1 << 16) - 1
 SHIFT = np.uint64(16)           # of 64 hash bits, 48 are kept
 BITS = 48
+FRAGMENTS = 4                   # of the comparison; the count of shared n-grams has its own
+BLOCK_SETS = 512
 
 
 def shared_ngrams(df: DataFrame, *, key: str, text: str, words: int, percent: int, fragment_bits: int) -> DataFrame:
@@ -197,34 +202,124 @@ def shared_ngrams(df: DataFrame, *, key: str, text: str, words: int, percent: in
             .repartition(parts, "block").sortWithinPartitions("block", "part").mapInArrow(documents, f"id long, `{key}` {kind}, n long, set binary, shared binary, frequency binary"))
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame, fragments: int = 4) -> DataFrame:
-    """``a, b, overlap``: partial overlaps of each pair counted fragment by fragment and summed."""
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(sets: DataFrame, fragments: int, *more: str) -> DataFrame:
+    """``id, fragment, part`` and the columns ``more``: each set's n-grams by range of the hash."""
+    schema = "id long, fragment int, part binary" + "".join(f", {c} long" for c in more)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = (np.arange(1, fragments, dtype=np.uint64) << np.uint64(BITS)) // np.uint64(fragments)
         for b in batches:
-            ids, numbers, parts = [], [], []
-            for i, data in zip(b.column(0).to_pylist(), b.column(1)):
+            rows, numbers, parts = [], [], []
+            for i, data in enumerate(b.column(1)):
                 g = np.sort(np.frombuffer(data.as_buffer(), "<u8"))
                 for f, part in enumerate(np.split(g, np.searchsorted(g, bounds))):
                     if len(part):
-                        ids.append(i)
+                        rows.append(i)
                         numbers.append(f)
                         parts.append(packed(part))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(parts, pa.binary())], ["id", "fragment", "part"])
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(numbers, pa.int32()), pa.array(parts, pa.binary()), *(c.take(take) for c in b.columns[2:])],
+                                             ["id", "fragment", "part", *more])
+
+    return sets.select("id", "shared", *more).mapInArrow(run, schema)
 
+
+def overlaps(pairs: DataFrame, sets: DataFrame, fragments: int = FRAGMENTS) -> DataFrame:
+    """``a, b, overlap``: partial overlaps of each pair counted fragment by fragment and summed."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             both = [len(np.intersect1d(unpacked(x), unpacked(y), assume_unique=True)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both, pa.int64())], ["a", "b", "overlap"])
 
     used = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    parts = sets.join(used, "id", "left_semi").select("id", "shared").mapInArrow(cut, "id long, fragment int, part binary")
+    parts = _cut(sets.join(used, "id", "left_semi"), fragments)
     left = pairs.select("a", "b").join(parts.select(F.col("id").alias("a"), "fragment", F.col("part").alias("x")), "a")
     matched = left.join(parts.select(F.col("id").alias("b"), "fragment", F.col("part").alias("y")), ["b", "fragment"])
     return matched.select("a", "b", "x", "y").mapInArrow(count, "a long, b long, overlap long").groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
 
 
-def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, fragment_bits: int = 8, hub_rounds: int = 2) -> DataFrame:
+def _partial(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each set of the first list shares with each of the second."""
+    grams, others = np.concatenate(first), np.concatenate(second)
+    order = np.argsort(others, kind="stable")
+    others, place = others[order], np.repeat(np.arange(len(second)), [len(x) for x in second])[order]
+    rows = np.repeat(np.arange(len(first)), [len(x) for x in first])
+    out = np.zeros(len(first) * len(second), np.int64)
+    for i in range(0, len(grams), 1 << 14):
+        g, r = grams[i:i + (1 << 14)], rows[i:i + (1 << 14)]
+        a, z = np.searchsorted(others, g, "left"), np.searchsorted(others, g, "right")
+        n = z - a
+        at = np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n)
+        out += np.bincount(np.repeat(r, n) * len(second) + place[at], minlength=len(out))
+    return out.reshape(len(first), len(second))
+
+
+def open_links(postings: DataFrame, nodes: DataFrame, percent: int, fragments: int = FRAGMENTS, block: int = BLOCK_SETS) -> DataFrame:
+    """All links between different components among sets that share a prefix n-gram, as a forest.
+
+    ``postings``: ``gram, id, n, component``.  Sets that prefix n-grams connect
+    form a neighbourhood.  Its sets stand in blocks, a large component in
+    blocks of its own; two blocks meet unless both are of one component.  Each
+    fragment counts the partial overlaps of two blocks in a table, the tables
+    are summed: no row per pair arises, however large the neighbourhood.
+    """
+    parts = max(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    hub = postings.groupBy("gram").agg(F.min("id").alias("b"))
+    near = components(postings.join(hub, "gram").where("id != b").select(F.col("id").alias("a"), "b").distinct()).toDF("id", "place")
+    sets = written(postings.select("id", "component").distinct().join(near, "id"), "open")
+    sizes = sets.groupBy("place", "component").agg(F.count(F.lit(1)).alias("k"))
+    small = sizes.where(F.col("k") < block).groupBy("place").agg(F.ceil(F.sum("k") / block).alias("small"))
+    blocks = F.when(F.col("k") >= block, F.concat_ws(":", F.lit("own"), "component", F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / block)))).otherwise(
+        F.concat_ws(":", F.lit("shared"), F.pmod(F.xxhash64("component"), "small")))
+    sets = written(sets.join(sizes, ["place", "component"]).join(small, "place", "left").select("id", "place", "component", blocks.alias("block"), (F.col("k") >= block).alias("own")), "blocks")
+    every = sets.select("place", "block", F.when(F.col("own"), F.col("component")).alias("c")).distinct()
+    x, y = every.select("place", F.col("block").alias("x"), F.col("c").alias("cx")), every.select("place", F.col("block").alias("y"), F.col("c").alias("cy"))
+    shared = x.where("cx is null").join(y, "place").where("cy is not null or x <= y")
+    large = every.where("c is not null").select("place", "c").distinct()
+    large = large.withColumnRenamed("c", "cx").join(large.withColumnRenamed("c", "cy"), "place").where("cx < cy")
+    large = large.join(x, ["place", "cx"]).join(y, ["place", "cy"])
+    pairs = shared.select("place", "x", "y").unionByName(large.select("place", "x", "y")).withColumn("pair", F.concat_ws("|", "place", "x", "y"))
+    sides = pairs.select("place", F.col("x").alias("block"), "pair", F.lit(0).alias("side")).unionByName(
+        pairs.where("x != y").select("place", F.col("y").alias("block"), "pair", F.lit(1).alias("side")))
+    cut = _cut(nodes.join(sets.select("id", F.col("component")), "id"), fragments, "n", "component")
+    rows = sets.select("id", "place", "block").join(sides, ["place", "block"]).select("id", "pair", "side").join(cut, "id")
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per pair of blocks and fragment: the sets of both sides (id, n, component) and the table of their overlaps."""
+        def out() -> Iterator[tuple]:
+            for (pair, _), held in groups(_rows(batches), 2):
+                sides = [[r for r in held if r[2] == k] for k in (0, 1)]
+                both = sides[0] and sides[1] or "|shared:" in pair and pair.split("|")[1] == pair.split("|")[2]
+                if both:
+                    first, second = sides[0], sides[1] or sides[0]
+                    table = _partial([unpacked(r[4]) for r in first], [unpacked(r[4]) for r in second])
+                    yield (pair, *(np.array([(r[3], r[5], r[6]) for r in z], "<i8").tobytes() for z in (first, second)), table.astype("<u4").tobytes())
+        yield from in_batches(out(), ["pair", "x", "y", "counts"], [pa.string(), pa.binary(), pa.binary(), pa.binary()])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[tuple]:
+            for _, held in groups(_rows(batches), 1):
+                sides = [[np.frombuffer(r[k], "<i8").reshape(-1, 3) for r in held] for k in (1, 2)]
+                names, places = zip(*(np.unique(np.concatenate(z), axis=0, return_inverse=True) for z in sides))
+                total = np.zeros((len(names[0]), len(names[1])), np.int64)
+                at = [0, 0]
+                for r, a, b in zip(held, *sides):
+                    i, j = (places[k].ravel()[at[k]:at[k] + len(z)] for k, z in ((0, a), (1, b)))
+                    at = [at[0] + len(a), at[1] + len(b)]
+                    total[np.ix_(i, j)] += np.frombuffer(r[3], "<u4").reshape(len(a), len(b))
+                n = names[0][:, 1][:, None] + names[1][:, 1][None]
+                linked = (100 * total >= percent * (n - total)) & (names[0][:, 2][:, None] != names[1][:, 2][None])
+                node, root = forest(*np.nonzero(linked), *linked.shape)
+                both = np.concatenate([names[0][:, 0], names[1][:, 0]])
+                yield from ((int(a), int(b)) for a, b in zip(both[node], both[root]) if a != b)
+        yield from in_batches(out(), ["a", "b"], [pa.int64(), pa.int64()])
+
+    counted = (rows.select("pair", "fragment", "side", "id", "part", "n", "component").repartition(parts, "pair", "fragment")
+               .sortWithinPartitions("pair", "fragment", "side").mapInArrow(tables, "pair string, x binary, y binary, counts binary"))
+    return counted.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(summed, "a long, b long")
+
+
+def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, fragment_bits: int = 8, hub_rounds: int = 1) -> DataFrame:
     """``key, n_shingles, component_id`` of each row: components under Jaccard similarity >= percent / 100."""
     bare = df.select(F.col(key).alias("k"), F.col(text).alias("t"))         # no name of the input meets one of ours
     rows = written(shared_ngrams(bare, key="k", text="t", words=words, percent=percent, fragment_bits=fragment_bits), "ngrams")
@@ -247,35 +342,28 @@ def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int =
     several = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("gram")
     postings = written(postings.join(several, "gram"), "postings")
 
-    links = checked = None
-    label = None
-    for turn in range(1 << 30):
+    links = label = None
+    for turn in range(hub_rounds + 1):
         if label is not None:
             postings = postings.drop("component").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
             open_grams = postings.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("gram")
             postings = written(postings.join(open_grams, "gram").select("gram", "id", "n", "component"), "postings")
         else:
             postings = postings.withColumn("component", F.col("id"))
-        near = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-        if turn < hub_rounds:
-            # Each n-gram's hub is its first member in an order that changes with the round; a set takes one hub only.
-            order = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id"), F.col("n").alias("m"), F.col("component").alias("k"))
-            hubs = postings.groupBy("gram").agg(F.min(order).alias("hub")).select("gram", "hub.*").withColumnRenamed("id", "b")
-            pairs = postings.join(hubs, "gram").where((F.col("component") != F.col("k")) & near)
-            pairs = pairs.groupBy("id").agg(F.min(F.struct("h", "b")).alias("x")).select(F.least("id", "x.b").alias("a"), F.greatest("id", "x.b").alias("b")).distinct()
-        else:
-            other = postings.select("gram", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("k"))
-            pairs = postings.join(other, "gram").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("k")) & near).select(F.col("id").alias("a"), "b").distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
+        if turn == hub_rounds:
+            found = written(open_links(postings, nodes, percent), "found")
+            links = found if links is None else links.unionByName(found)
+            break
+        # Each n-gram's hub is its first member in an order that changes with the round; a set takes one hub only.
+        order = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id"), F.col("n").alias("m"), F.col("component").alias("k"))
+        hubs = postings.groupBy("gram").agg(F.min(order).alias("hub")).select("gram", "hub.*").withColumnRenamed("id", "b")
+        pairs = postings.join(hubs, "gram").where((F.col("component") != F.col("k")) & F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)"))
+        pairs = pairs.groupBy("id").agg(F.min(F.struct("h", "b")).alias("x")).select(F.least("id", "x.b").alias("a"), F.greatest("id", "x.b").alias("b")).distinct()
         pairs = written(pairs, "pairs")
         size = nodes.select(F.col("id"), F.col("n"))
         total = overlaps(pairs, nodes).join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
         found = written(total.where(f"100 * overlap >= {percent} * (na + nb - overlap)").select("a", "b"), "found")
         links = found if links is None else links.unionByName(found)
-        if turn >= hub_rounds:
-            break
-        checked = pairs if checked is None else checked.unionByName(pairs)
         label = written(components(links), "labels")
     label = components(links).toDF("node", "component")
     placed = rows.select("id", "k", "n", "set").join(equal, "set", "left").join(label, "node", "left")
