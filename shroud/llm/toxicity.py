@@ -30,12 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .common import written
 
 PREFIXES = (4, 5, 6)
 MAX_ROWS = 20_000
 MAX_CANDIDATES = 1 << 16
 MAX_FEATURES = 4096
 FOLDS = 3
+#: A feature must be twice as frequent in positive rows; common words tell little and cost much.
+MIN_SURPLUS = float(np.log(2))
 
 # Seed words that name the kind of abuse in rows labelled toxic.
 SEEDS = {
@@ -142,8 +145,9 @@ def train(labelled: DataFrame, categories: Sequence[str], *, key: str = "doc_id"
           max_features: int = MAX_FEATURES, folds: int = FOLDS) -> Chain:
     """Fit a chain on rows with 0/1 columns ``categories``; at most ``max_rows`` rows may be given (see :func:`sample`)."""
     names, last = list(categories), categories[-1]
+    parts = max(int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = labelled.select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(text).cast("string").alias("t"), *[F.col(c).cast("int") for c in names])
-    rows = rows.where(F.col(last).isNotNull())
+    rows = written(rows.where(F.col(last).isNotNull()).limit(max_rows), "labelled")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,18 +155,52 @@ def train(labelled: DataFrame, categories: Sequence[str], *, key: str = "doc_id"
             code, n = np.unique(distinct(np.concatenate(rows), np.concatenate(codes))[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n, pa.int64())], ["code", "n"])
 
-    top = (rows.where(F.col(last) == 1).select("t").mapInArrow(counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    top = (rows.where(F.col(last) == 1).repartition(parts).select("t").mapInArrow(counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
            .where("n >= 3").orderBy(F.desc("n"), "code").limit(MAX_CANDIDATES).toPandas())
     known = np.sort(top["code"].to_numpy(np.int64).view(np.uint64))
 
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows per feature and level: all, and positive ones of each category."""
+        table = np.zeros((3 * len(known), 1 + len(names)), np.int64)
+        for b in batches:
+            row, at, _ = features([(x or "").encode("utf-8") for x in b.column(0).to_pylist()], known)
+            table[:, 0] += np.bincount(at, minlength=len(table))
+            for j, y in enumerate(b.columns[1:], 1):
+                table[:, j] += np.bincount(at[y.fill_null(0).to_numpy()[row] == 1], minlength=len(table))
+        at = np.flatnonzero(table[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(np.ascontiguousarray(c)) for c in table[at].T)], ["at", *(f"n{j}" for j in range(table.shape[1]))])
+
+    columns = [f"n{j}" for j in range(1 + len(names))]
+    tallied = rows.repartition(parts).select("t", *names).mapInArrow(tally, "at long, " + ", ".join(f"{c} long" for c in columns))
+    counted = tallied.groupBy("at").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()   # 3 * MAX_CANDIDATES rows at most
+    totals = rows.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(c), F.lit(0)) for c in names]).first()
+
+    # Features by how much more often they stand in positive rows of any category.
+    score = np.zeros(3 * len(known))
+    for j in range(1, 1 + len(names)):
+        pos, every = (counted[c].to_numpy(float) for c in (f"n{j}", "n0"))
+        p, q = (pos + 0.5) / (totals[j] + 1), (every - pos + 0.5) / (totals[0] - totals[j] + 1)
+        at = counted["at"].to_numpy()
+        surplus = np.log(p / q)
+        z = surplus / np.sqrt(1 / (pos + 0.5) + 1 / (every - pos + 0.5))
+        score[at] = np.maximum(score[at], np.where(surplus >= MIN_SURPLUS, z, 0))
+    chosen = np.sort(np.argsort(-score, kind="stable")[:max_features])
+    chosen = chosen[score[chosen] > 3]
+    base, k = np.unique(chosen // 3), len(chosen)
+    place = np.full(3 * len(base) + 1, -1)
+    place[3 * np.searchsorted(base, chosen // 3) + chosen % 3] = np.arange(k)
+    used = known[base]
+
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, at, length = features([(x or "").encode("utf-8") for x in b.column(1).to_pylist()], known)
+            row, at, length = features([(x or "").encode("utf-8") for x in b.column(1).to_pylist()], used)
+            row, at = row[place[at] >= 0], place[at][place[at] >= 0]
             cut = np.searchsorted(row, np.arange(1, len(b)))
             lists = [x.astype(np.uint32).tobytes() for x in np.split(at, cut)] if len(b) else []
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.binary()), pa.array(length), *b.columns[2:]], ["h", "at", "length", *names])
 
-    got = rows.mapInArrow(present, "h long, at binary, length double, " + ", ".join(f"`{c}` int" for c in names)).limit(max_rows).toPandas().sort_values(["h", "at"], ignore_index=True)
+    got = rows.repartition(parts).mapInArrow(present, "h long, at binary, length double, " + ", ".join(f"`{c}` int" for c in names)).toPandas()   # max_rows rows of at most max_features numbers
+    got = got.sort_values(["h", "at"], ignore_index=True)
     n, J = len(got), len(names)
     if not n:
         return Chain(names, known[:0], np.zeros((0, J)), np.zeros(J), np.zeros((J, J)), np.full(J, -20.0), 0.5)
@@ -170,20 +208,6 @@ def train(labelled: DataFrame, categories: Sequence[str], *, key: str = "doc_id"
     lists = [np.frombuffer(x, np.uint32) for x in got["at"]]
     row, at = np.repeat(np.arange(n), [len(x) for x in lists]), np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64)
 
-    # Features by how much more often they stand in positive rows of any category.
-    score = np.zeros(3 * len(known))
-    for j in range(J):
-        pos = np.bincount(at, ys[row, j], len(score))
-        rest = np.bincount(at, minlength=len(score)) - pos
-        p, q = (pos + 0.5) / (ys[:, j].sum() + 1), (rest + 0.5) / (n - ys[:, j].sum() + 1)
-        score = np.maximum(score, np.log(p / q) / np.sqrt(1 / (pos + 0.5) + 1 / (rest + 0.5)))
-    chosen = np.sort(np.argsort(-score, kind="stable")[:max_features])
-    chosen = chosen[score[chosen] > 3]
-    place = np.full(len(score) + 1, -1)
-    place[chosen] = np.arange(len(chosen))
-    keep = place[at] >= 0
-    row, at, k = row[keep], place[at[keep]], len(chosen)
-
     fold = (got["h"].to_numpy() >> 3) % folds
     length, oof = got["length"].to_numpy()[:, None] / 10, np.zeros((n, J))
     weights, lengths, links, bias = np.zeros((k, J)), np.zeros(J), np.zeros((J, J)), np.zeros(J)
@@ -198,9 +222,8 @@ def train(labelled: DataFrame, categories: Sequence[str], *, key: str = "doc_id"
             oof[test, j] = _sigmoid(z[test])
         weights[:, j], v, bias[j] = fit(row, at, k, more, ys[:, j])
         lengths[j], links[:j, j] = v[0] / 10, v[1:]
-    base = np.unique(chosen // 3)
     spread = np.zeros((3 * len(base), J))
-    spread[3 * np.searchsorted(base, chosen // 3) + chosen % 3] = weights
+    spread[np.flatnonzero(place >= 0)] = weights
     order = np.argsort(-oof[:, -1], kind="stable")
     p, y = oof[order, -1], ys[order, -1]
     hits = np.cumsum(y)
@@ -209,7 +232,7 @@ def train(labelled: DataFrame, categories: Sequence[str], *, key: str = "doc_id"
     best = np.flatnonzero(f1 >= f1.max() - 1e-12)
     i = best[len(best) // 2]
     threshold = float((p[i] + (p[i + 1] if i + 1 < n else 0)) / 2) if y.sum() else 2.0
-    return Chain(names, known[base], spread, lengths, links, bias, threshold)
+    return Chain(names, used, spread, lengths, links, bias, threshold)
 
 
 def sample(labels: DataFrame, key: str = "doc_id", label: str = "toxic", max_rows: int = MAX_ROWS) -> DataFrame:
