@@ -100,11 +100,11 @@ def test_components_of_chains_and_stars(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("length, hot, bits", [(200, 2000, 8), (200, 0, 4), (64, 2, 2)])
-def test_repeated_passages(spark, corpus, length, hot, bits, monkeypatch):
+@pytest.mark.parametrize("length, hot, bits, size", [(200, 2000, 8, 1 << 21), (200, 0, 4, 1 << 21), (64, 2, 2, 3000), (200, 2000, 0, 250)])
+def test_repeated_passages(spark, corpus, length, hot, bits, size, monkeypatch):
     monkeypatch.setattr(suffix, "BLOCK_BYTES", 30_000)
     want = brute.repeated_bytes(corpus, length)
-    got = {r.doc_id: r for r in suffix.dedup(docs(spark, corpus), length=length, hot_blocks=hot, fragment_bits=bits).collect()}
+    got = {r.doc_id: r for r in suffix.dedup(docs(spark, corpus), length=length, hot_blocks=hot, fragment_bits=bits, sort_bytes=size).collect()}
     for i, (n, removed, spans, kept) in enumerate(want):
         r = got[i]
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept), r.kept_sha256) == (n, removed, spans, kept, hashlib.sha256(kept).hexdigest())
