@@ -9,7 +9,9 @@ documents), and only runs whose gram is repeated go on: what is unique is
 never sorted.  The text of each run is dealt out by its gram, equal texts of a
 block once with their number, so that copies cost nothing.
 
-Each task then sorts the suffixes of its texts by the difference-cover
+Each task then sorts the suffixes of its texts, at most ``sort_bytes`` at a
+time (more texts of one gram are divided by the bytes that equal strings must
+share), by the difference-cover
 algorithm: the positions 1 and 2 modulo 3 are the sample; their triples are
 sorted and named; the names form a string that is sorted the same way; the
 remaining suffixes are sorted by their first letter and the rank after it, and
@@ -84,7 +86,7 @@ def _triple(a: np.ndarray, b: np.ndarray, c: np.ndarray, small: bool) -> np.ndar
 
 def _named(keys: np.ndarray) -> tuple[np.ndarray, int]:
     """Names 1, 2, ... of the keys in their order."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     sorted_keys = keys[order]
     names = np.empty(len(keys), np.int64)
     names[order] = np.cumsum(np.append(True, sorted_keys[1:] != sorted_keys[:-1]))
@@ -120,15 +122,19 @@ def suffix_ranks(letters: np.ndarray, cover: int, step: int, depth: int, wide: n
     # The other suffixes by first letter and the rank after it, merged with either part of the sample.
     zero = np.arange(0, n, 3)
     one = one[one < n]
-    zero_one, one_one = _pair(s[zero], rank[zero + 1]), np.sort(_pair(s[one], rank[one + 1]))
+    zero_one, one_zero = _pair(s[zero], rank[zero + 1]), _pair(s[one], rank[one + 1])
     both = _triple(np.concatenate([s[zero], s[two]]), np.concatenate([s[zero + 1], s[two + 1]]), np.concatenate([rank[zero + 2], rank[two + 2]]), small)
-    zero_two, two_two = both[:len(zero)], np.sort(both[len(zero):])
+    zero_two, two_zero = both[:len(zero)], both[len(zero):]
+    # Searches run in the searched order: neighbouring searches end near by.
+    by_zero, by_one, by_two = np.argsort(zero_one), np.argsort(rank[one]), np.argsort(rank[two])
     ranks = np.empty(n, np.int64)
-    zero_sorted = np.sort(zero_one)
-    ranks[zero] = np.searchsorted(zero_sorted, zero_one) + np.searchsorted(one_one, zero_one) + np.searchsorted(two_two, zero_two)
-    sampled = np.sort(rank[np.concatenate([one, two])])
-    ranks[one] = np.searchsorted(sampled, rank[one]) + np.searchsorted(zero_sorted, _pair(s[one], rank[one + 1]))
-    ranks[two] = np.searchsorted(sampled, rank[two]) + np.searchsorted(np.sort(zero_two), both[len(zero):])
+    first = np.append(True, np.diff(zero_one[by_zero]) != 0) if len(zero) else np.zeros(0, bool)
+    ranks[zero[by_zero]] = (np.maximum.accumulate(np.where(first, np.arange(len(zero)), 0))
+                            + np.searchsorted(np.sort(one_zero), zero_one[by_zero]) + np.searchsorted(np.sort(two_zero), zero_two[by_zero]))
+    count = np.bincount(rank[np.concatenate([one, two])])
+    less = np.cumsum(count) - count
+    ranks[one[by_one]] = less[rank[one[by_one]]] + np.searchsorted(zero_one[by_zero], one_zero[by_one])
+    ranks[two[by_two]] = less[rank[two[by_two]]] + np.searchsorted(np.sort(zero_two), two_zero[by_two])
     return ranks
 
 
@@ -252,7 +258,7 @@ def _blocks(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def repeated(df: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, fragment_bits: int = FRAGMENT_BITS,
-             hot_blocks: int = HOT_BLOCKS) -> tuple[DataFrame, DataFrame]:
+             hot_blocks: int = HOT_BLOCKS, sort_bytes: int = SORT_BYTES) -> tuple[DataFrame, DataFrame]:
     """Blocks of documents, and for each block the starts (in its bytes) of strings that occur elsewhere too."""
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -300,16 +306,20 @@ def repeated(df: DataFrame, *, key: str = "doc_id", text: str = "text", length:
                 found[found == len(twice)] = 0
                 use = np.flatnonzero(twice[found] == gram)
                 raw = data.tobytes()
-                yield from cut(own[1], raw, first[use], last[use], gram[use], np.isin(gram[use], hot))
+                yield from cut(own[1], raw, at[use], first[use], last[use], gram[use], np.isin(gram[use], hot))
         yield from in_batches(sent(), NAMES, TYPES)
 
-    def cut(block: int, raw: bytes, first: np.ndarray, last: np.ndarray, gram: np.ndarray, hot: np.ndarray) -> Iterator[tuple]:
+    def cut(block: int, raw: bytes, at: np.ndarray, first: np.ndarray, last: np.ndarray, gram: np.ndarray, hot: np.ndarray) -> Iterator[tuple]:
         fragment = (gram >> low).astype(np.int64)
         order = np.argsort(fragment, kind="stable")
         lists: dict[tuple, dict[bytes, list[int]]] = {}
-        for f, a, z, g, h in zip(fragment[order].tolist(), first[order].tolist(), last[order].tolist(), gram[order].tolist(), hot[order].tolist()):
+        anchors_of: dict[tuple, list[tuple[int, int]]] = {}      # of each new text: its gram and where it stands
+        for f, o, a, z, g, h in zip(*(x[order].tolist() for x in (fragment, at, first, last, gram, hot))):
             if not h:
-                lists.setdefault((f, 0), {}).setdefault(raw[a:z + length], []).append(a)
+                mine = lists.setdefault((f, 0), {}).setdefault(raw[a:z + length], [])
+                if not mine:
+                    anchors_of.setdefault((f, 0), []).append((g, o - a))
+                mine.append(a)
                 continue
             for i in range(a, z + 1):
                 name = hashlib.blake2b(raw[i:i + length], digest_size=16).digest()
@@ -318,7 +328,8 @@ def repeated(df: DataFrame, *, key: str = "doc_id", text: str = "text", length:
             n = np.array([len(x) for x in found.values()], "<u4")
             sizes = np.array([len(x) for x in found], "<u4")
             # part: 2 * fragment for texts, one more for single strings; below zero for what the block keeps
-            yield f, block, 2 * f + is_hot, sizes.tobytes() + np.minimum(n, 2).astype("<u4").tobytes(), b"".join(found), None
+            yield (f, block, 2 * f + is_hot, sizes.tobytes() + np.minimum(n, 2).astype("<u4").tobytes(), b"".join(found),
+                   np.array(anchors_of.get((f, is_hot), ()), "<u8").tobytes())
             yield OWN + block, block, -2 - (2 * f + is_hot), n.tobytes(), np.array([x for v in found.values() for x in v], "<u4").tobytes(), sizes.tobytes()
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,51 +342,94 @@ def repeated(df: DataFrame, *, key: str = "doc_id", text: str = "text", length:
                     continue
                 number: dict[bytes, int] = {}
                 weight: list[int] = []
+                anchor: list[tuple[int, int]] = []
                 sent_by = []
                 for r in held:
                     sizes, n = np.frombuffer(r[3], "<u4").reshape(2, -1).tolist()
                     mine, place = [], 0
-                    for size, times in zip(sizes, n):
+                    grams = np.frombuffer(r[5], "<u8").reshape(-1, 2).tolist() if r[5] else [(0, 0)] * len(n)
+                    for size, times, where in zip(sizes, n, grams):
                         i = number.setdefault(r[4][place:place + size], len(number))
                         place += size
                         if i == len(weight):
                             weight.append(0)
+                            anchor.append(where)
                         weight[i] += times
                         mine.append(i)
                     sent_by.append(mine)
-                marks = [bytes([w > 1]) for w in weight] if part % 2 else sorted_marks(list(number), weight)
+                marks = [bytes([w > 1]) for w in weight] if part % 2 else sorted_marks(list(number), weight, anchor)
                 for r, mine in zip(held, sent_by):
                     yield OWN + r[1], r[1], part, None, None, b"".join([marks[i] for i in mine])
         yield from in_batches(sent(), NAMES, TYPES)
 
-    def sorted_marks(found: list[bytes], weight: list[int]) -> list[bytes]:
-        """A byte per start of each text.  Texts are sorted together with all others of their gram."""
-        gram = [int(gram_of(x)) for x in found]
-        order = sorted(range(len(found)), key=gram.__getitem__)
-        marks: list[bytes] = [b""] * len(found)
-        i = 0
-        while i < len(order):
-            j, size = i, 0
-            while j < len(order) and (size < SORT_BYTES - (1 << 16) or gram[order[j]] == gram[order[j - 1]]):
-                size += len(found[order[j]])
-                j += 1
-            some = order[i:j]
-            data = np.frombuffer(b"".join(found[k] for k in some), np.uint8)
-            sizes = np.array([len(found[k]) for k in some])
+    def sorted_marks(found: list[bytes], weight: list[int], where: list[tuple[int, int]]) -> list[bytes]:
+        """A byte per start of each text."""
+        marks = [bytearray(len(x) - length + 1) for x in found]
+        by_gram: dict[int, list[int]] = {}
+        anchor = [o for _, o in where]
+        for k, (gram, _) in enumerate(where):
+            by_gram.setdefault(gram, []).append(k)
+        batch: list[tuple[int, int, int]] = []
+        size = 0
+
+        def sort_batch(pieces: list[tuple[int, int, int]]) -> None:
+            """Pieces: text, first and last start.  One suffix array over all of them."""
+            texts = [found[k][a:z + length] for k, a, z in pieces]
+            sizes = np.array([len(x) for x in texts])
             n = sizes - length + 1
             begins = np.cumsum(sizes) - sizes
             starts = np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            mark = repeated_starts(data, starts, np.repeat(np.array([weight[k] for k in some]), n), length).astype("u1").tobytes()
-            place = 0
-            for k, m in zip(some, n.tolist()):
-                marks[k] = mark[place:place + m]
-                place += m
-            i = j
-        return marks
-
-    def gram_of(x: bytes) -> np.uint64:
-        h = gram_hashes(np.frombuffer(x, np.uint8)[:length])[:length - GRAM + 1]
-        return h.min()
+            copies = np.repeat(np.array([weight[k] for k, _, _ in pieces]), n)
+            mark, at = repeated_starts(np.frombuffer(b"".join(texts), np.uint8), starts, copies, length).astype("u1").tobytes(), 0
+            for (k, a, z), m in zip(pieces, n.tolist()):
+                marks[k][a:z + 1] = mark[at:at + m]
+                at += m
+
+        def by_core(pieces: list[tuple[int, int, int]], low: int, high: int) -> Iterator[list[tuple[int, int, int]]]:
+            """The parts of pieces whose starts lie ``low`` to ``high`` bytes before the anchor, by the bytes that all these strings share."""
+            cores: dict[bytes, list[tuple[int, int, int]]] = {}
+            for k, a, z in pieces:
+                o = anchor[k]
+                a, z = max(a, o - high), min(z, o - low)
+                if a <= z:
+                    cores.setdefault(found[k][o - low:o - high + length], []).append((k, a, z))
+            return iter(cores.values())
+
+        def settle(pieces: list[tuple[int, int, int]], low: int, high: int) -> None:
+            """Pieces of one gram and core whose starts lie ``low`` to ``high`` bytes before the anchor.
+
+            Equal strings have the same distance, so all that is common to a
+            range of distances must be equal: too many pieces are divided by it.
+            """
+            nonlocal batch, size
+            total = sum(z - a + length for _, a, z in pieces)
+            if all(weight[k] > 1 for k, _, _ in pieces):             # copies of every text settle it
+                for k, a, z in pieces:
+                    marks[k][a:z + 1] = b"\1" * (z + 1 - a)
+            elif len(pieces) == 1:                                   # alone with its core, a text is unique
+                return
+            elif total <= sort_bytes:
+                if size + total > sort_bytes:
+                    sort_batch(batch)
+                    batch, size = [], 0
+                batch += pieces
+                size += total
+            elif low == high:                                        # the core is the string itself
+                for k, a, _ in pieces:
+                    marks[k][a] = 1
+            else:
+                divide(pieces, low, high)
+
+        def divide(pieces: list[tuple[int, int, int]], low: int, high: int) -> None:
+            for c, d in ((low, (low + high) // 2), ((low + high) // 2 + 1, high)):
+                for some in by_core(pieces, c, d):
+                    settle(some, c, d)
+
+        for some in by_gram.values():
+            divide([(k, 0, len(found[k]) - length) for k in some], 0, length - GRAM)
+        if batch:
+            sort_batch(batch)
+        return [bytes(m) for m in marks]
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Starts of repeated strings of each block, from the marks and from where its texts stand."""
@@ -409,13 +463,13 @@ def repeated(df: DataFrame, *, key: str = "doc_id", text: str = "text", length:
 
 
 def dedup(df: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, fragment_bits: int = FRAGMENT_BITS,
-          hot_blocks: int = HOT_BLOCKS, keep_bytes: bool = True) -> DataFrame:
+          hot_blocks: int = HOT_BLOCKS, sort_bytes: int = SORT_BYTES, keep_bytes: bool = True) -> DataFrame:
     """``key, n_bytes, n_removed, n_spans, kept_sha256`` and, with ``keep_bytes``, ``kept binary`` of each row."""
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     schema = StructType().add(key, df.schema[key].dataType)
     for name, kind in (("n_bytes", LongType()), ("n_removed", LongType()), ("n_spans", LongType()), ("kept_sha256", StringType()), ("kept", BinaryType())):
         schema = schema.add(name, kind) if name != "kept" or keep_bytes else schema
-    blocks, marks = repeated(df, key=key, text=text, length=length, fragment_bits=fragment_bits, hot_blocks=hot_blocks)
+    blocks, marks = repeated(df, key=key, text=text, length=length, fragment_bits=fragment_bits, hot_blocks=hot_blocks, sort_bytes=sort_bytes)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one() -> Iterator[tuple]:
