@@ -52,7 +52,7 @@ GRAM = 32
 BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 1 << 16
 SEGMENT = 1 << 20
-SORT_BYTES = 1 << 21
+SORT_BYTES = 1 << 19
 FRAGMENT_BITS = 8
 HOT_BLOCKS = 2000
 WIRE = "to long, block long, part int, a binary, b binary, c binary"
@@ -382,7 +382,8 @@ def repeated(df: DataFrame, *, key: str = "doc_id", text: str = "text", length:
             copies = np.repeat(np.array([weight[k] for k, _, _ in pieces]), n)
             mark, at = repeated_starts(np.frombuffer(b"".join(texts), np.uint8), starts, copies, length).astype("u1").tobytes(), 0
             for (k, a, z), m in zip(pieces, n.tolist()):
-                marks[k][a:z + 1] = mark[at:at + m]
+                before = marks[k][a:z + 1]
+                marks[k][a:z + 1] = bytes(map(max, before, mark[at:at + m])) if any(before) else mark[at:at + m]
                 at += m
 
         def by_core(pieces: list[tuple[int, int, int]], low: int, high: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -418,7 +419,21 @@ def repeated(df: DataFrame, *, key: str = "doc_id", text: str = "text", length:
                 for k, a, _ in pieces:
                     marks[k][a] = 1
             else:
-                divide(pieces, low, high)
+                # Equal pieces are copies of each other: one of them goes on, for the others to meet.
+                equal: dict[bytes, list[tuple[int, int, int]]] = {}
+                for k, a, z in pieces:
+                    equal.setdefault(found[k][a:z + length], []).append((k, a, z))
+                for some in equal.values():
+                    if len(some) > 1:
+                        for k, a, z in some:
+                            marks[k][a:z + 1] = b"\1" * (z + 1 - a)
+                left = [some[0] for some in equal.values()]
+                del equal
+                if len(left) < len(pieces):
+                    if len(left) > 1:
+                        settle(left, low, high)
+                else:
+                    divide(left, low, high)
 
         def divide(pieces: list[tuple[int, int, int]], low: int, high: int) -> None:
             for c, d in ((low, (low + high) // 2), ((low + high) // 2 + 1, high)):
