@@ -245,6 +245,32 @@ def test_language_model_learns(spark):
     assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows) + 3 * len(rows)
 
 
+def test_language_model_rounds_see_every_training_text(spark):
+    """Scores are those of full rounds until the likelihood settles, however the rows are dealt out."""
+    rng = random.Random(2)
+    kinds = [["the", "of", "ing", "shore", "thin"], ["les", "eau", "que", "entre", "ment"], ["und", "zwei", "ich", "baum", "kraft"]]
+    texts = [" ".join(rng.choice(kinds[i % 3]) for _ in range(900 if i % 50 == 0 else 20)) for i in range(600)]
+    classes, states = 64, 3
+    first, distinct, kind, number = hmm.numbered([t.encode() for t in texts], classes)
+    train = np.array([zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))])
+    at, seen = hmm._texts(first, kind[number], train)
+    known = np.unique(number[np.repeat(train, np.diff(first))])
+    total = np.bincount(seen, minlength=classes + 1) + np.bincount(kind[known], minlength=classes + 1)
+    share = (total + 1.0) / (total.sum() + classes + 1)
+    model, likely = hmm.Model.first(share, states), -np.inf
+    while (now := model.forward(at, seen).sum()) - likely >= 1e-4 * -now:
+        likely, model = now, hmm.Model.of(*model.expected(at, seen), share)
+    path = model.forward(first, kind[number])
+    for parts in (1, 5):
+        got = {r.doc_id: r for r in hmm.score(docs(spark, texts, parts=parts), classes=classes, states=states).collect()}
+        want = []
+        for i in range(len(texts)):
+            n = number[first[i]:first[i + 1]]
+            c = np.bincount(number[np.repeat(train, np.diff(first))], minlength=len(distinct))
+            want.append(path[i] + np.log10(c[n] + 1.0).sum() - np.log10(total[kind[n]] + 1.0).sum())
+        np.testing.assert_allclose([got[i].score for i in range(len(texts))], want, rtol=1e-6)
+
+
 def toxic_rows(n=400):
     rng = random.Random(2)
     texts, toxic = [], []
