@@ -13,8 +13,11 @@ Components are integers (``floor(scale * x)``), so scores are exact.
 Defined results: vectors that are null, empty, or hold nulls or non-finite
 numbers, and rows without an id, take no part; vectors of different lengths
 are not compared; equal scores rank by smaller id; rows with the query's id
-are not its candidates; fewer candidates than k give them all; an empty table
-gives no rows; other columns are passed by.
+are not its candidates; query rows of one id and equal components are one
+query, answered once, and those of one id and different components are queries
+of their own, each with its ranks; repeated candidates are rows of their own;
+fewer candidates than k give them all; an empty table gives no rows; other
+columns are passed by.
 """
 
 from __future__ import annotations
@@ -177,16 +180,18 @@ def top_k(df: DataFrame, is_query: Column, *, key: str = "vec_id", vector: str =
     dealt = rows.mapInArrow(deal, row + ", cell long")
     sizes = dealt.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("salts"))
     shards = written(dealt.join(sizes, "cell").select("id", "q", "data", (F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("id"), "salts")).alias("shard")), "shards")
-    query_blocks = max(1, -(-shards.where("q").count() // query_rows))
+    # A query is a distinct (id, components); ``row`` is its number.
+    asked = written(shards.where("q").select("id", "data", "shard").distinct().withColumn("row", F.monotonically_increasing_id()), "queries")
+    query_blocks = max(1, -(-asked.count() // query_rows))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a shard and block: candidates first, then queries with their floors."""
         def run(held: dict) -> Iterator[pa.RecordBatch]:
             if held[False] and held[True]:
-                (ids, x, _), (q_ids, q, floor) = ([np.concatenate(c) for c in zip(*held[r])] for r in (False, True))
+                (ids, x, *_), (q_ids, q, floor, numbers) = ([np.concatenate(c) for c in zip(*held[r])] for r in (False, True))
                 s = DualSearch(x, ids, q, q_ids, floor, k)
                 at, place = np.nonzero(np.isfinite(s.score))
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(s.found[at, place]), pa.array(s.score[at, place].astype(np.int64))], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(s.found[at, place]), pa.array(s.score[at, place].astype(np.int64)), pa.array(numbers[at])], ["query_id", "vec_id", "score", "row"])
 
         now, held = None, {False: [], True: []}
         for b in batches:
@@ -199,25 +204,24 @@ def top_k(df: DataFrame, is_query: Column, *, key: str = "vec_id", vector: str =
                     now, held = (shard[s], block[s]), {False: [], True: []}
                 part = b.slice(s, e - s)
                 held[bool(role[s])].append((part.column(3).to_numpy(), np.array([np.frombuffer(v.as_buffer(), "<f8") for v in part.column(4)]),
-                                            part.column(5).fill_null(-np.inf).to_numpy()))
+                                            part.column(5).fill_null(-np.inf).to_numpy(), part.column(6).fill_null(-1).to_numpy()))
         yield from run(held)
 
-    block = F.pmod(F.xxhash64("id"), F.lit(query_blocks))
-    candidates = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>")).alias("block"), F.lit(False).alias("role"), "id", "data", F.lit(None).cast("double").alias("floor"))
-    result = "query_id long, vec_id long, score long"
+    block = F.pmod(F.xxhash64("row"), F.lit(query_blocks))
+    candidates = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>")).alias("block"), F.lit(False).alias("role"), "id", "data", F.lit(None).cast("double").alias("floor"), F.lit(None).cast("long").alias("row"))
+    result = "query_id long, vec_id long, score long, row long"
 
     def found(queries: DataFrame, name: str) -> DataFrame:
         met = candidates.unionByName(queries).repartition(parts, "shard", "block").sortWithinPartitions("shard", "block", "role")
         return written(met.mapInArrow(search, result), name)
 
-    asked = shards.where("q")
-    first = found(asked.select("shard", block.alias("block"), F.lit(True).alias("role"), "id", "data", F.lit(None).cast("double").alias("floor")), "first")
-    floors = first.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("floor"))
+    first = found(asked.select("shard", block.alias("block"), F.lit(True).alias("role"), "id", "data", F.lit(None).cast("double").alias("floor"), "row"), "first")
+    floors = first.groupBy("row").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("floor"))
     every = shards.groupBy("shard").agg(F.length(F.first("data")).alias("size")).withColumnRenamed("shard", "to")
-    lengths = asked.withColumn("size", F.length("data")).join(floors, "id", "left")
+    lengths = asked.withColumn("size", F.length("data")).join(floors, "row", "left")
     # The stated queries against all rows, in shards: a query goes to every other shard of its vector length.
     spread = lengths.join(every.groupBy("size").agg(F.collect_list("to").alias("shards")), "size").withColumn("to", F.explode("shards")).where("`to` != shard")
-    rest = found(spread.select(F.col("to").alias("shard"), block.alias("block"), F.lit(True).alias("role"), "id", "data", "floor"), "rest")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    rest = found(spread.select(F.col("to").alias("shard"), block.alias("block"), F.lit(True).alias("role"), "id", "data", "floor", "row"), "rest")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return (first.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

@@ -183,6 +183,25 @@ def test_exact_search(spark):
     assert search.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_search_with_repeated_rows(spark):
+    """Copies of a query are one query, other vectors under its id are another; copies of a candidate are rows."""
+    rng = np.random.default_rng(12)
+    x = [list(map(float, v)) for v in rng.normal(size=(120, 4))]
+    rows = list(enumerate(x)) + [(0, x[0])] * 2 + [(20, x[33])] + [(7, x[7])] * 3 + [(40, x[40])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    ok = [(i, tuple(np.floor(64 * np.array(v)).astype(int).tolist())) for i, v in rows]
+    for shard_rows, query_rows in ((16, 2), (10 ** 6, 10 ** 6)):
+        got = {}
+        for r in search.top_k(df, F.expr("vec_id % 20 = 0"), k=10, shard_rows=shard_rows, query_rows=query_rows).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], -r.score, r.vec_id))
+        want = {}
+        for i, v in sorted(set(ok)):
+            if i % 20 == 0:
+                best = sorted((-int(np.dot(v, w)), j) for j, w in ok if j != i)[:10]
+                want.setdefault(i, []).extend((rank, s, j) for rank, (s, j) in enumerate(best, 1))
+        assert {i: sorted(g) for i, g in got.items()} == {i: sorted(w) for i, w in want.items()}
+
+
 def test_dual_search_prunes():
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(20, 6)) * 400
