@@ -29,12 +29,16 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: of each group of near-duplicates the document with the smallest doc_id stays (repeated rows once)."""
+    """Operator 7: of each group of near-duplicates one row stays, that of the smallest doc_id (null last; among
+    rows of one id, of the least digest).  Rows equal in all columns are one; other rows go by themselves, whatever their ids.
+    """
     small_batches(spark)
-    found = jaccard.join(docs)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    digest = F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), {"ignoreNullFields": "false"}), 256))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", digest.alias("digest")).alias("_row")
+    found = jaccard.join(docs.select(row, "text"), key="_row")
+    gone = found.where(F.col("_row") != F.col("component_id")).select(F.col("_row.digest").alias("_digest")).distinct()
+    kept = docs.withColumn("_digest", digest).join(gone, "_digest", "left_anti")
+    return kept.dropDuplicates(["_digest"]).select(*docs.columns)
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -366,6 +366,22 @@ def test_pipeline_stages(spark, corpus, tmp_path):
     assert whole.columns == packed.columns and whole.count() > 100
 
 
+def test_near_duplicates_go_by_row(spark):
+    """Rows without an id and rows that share one: of a component one row stays, every other row stays."""
+    rng = random.Random(21)
+    a, b, c, d, alone = (prose(rng, 60) for _ in range(5))
+    near = lambda t: t + " end"
+    rows = [(None, a, "s"), (None, near(a), "s"), (1, b, "s"), (5, near(b), "s"), (5, alone, "s"), (6, c, "s"), (6, near(c), "s"),
+            (3, d, "s"), (None, near(d), "s"), (None, None, "s"), (None, None, "t"), (8, "", "s"), (8, "", "t"), (9, "x y z", "s"), (9, "x y z", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    kept = corpus_pipeline.distinct_documents(spark, df, "")
+    got = collections.Counter(map(tuple, kept.collect()))
+    assert kept.columns == df.columns and max(got.values()) == 1
+    for group in ({rows[0], rows[1]}, {rows[5], rows[6]}):
+        assert len(group & set(got)) == 1
+    assert set(got) - {*rows[:2], *rows[5:7]} == {rows[2], rows[4], rows[7], *rows[9:14]}
+
+
 def test_words_beyond_a_segment():
     long = b"q" * (words.LONG_WORD + 5)
     h, first = word_hashes([long + b" a " + b"w " * (words.SEGMENT // 2 + 10) + long, b"a"])
