@@ -15,10 +15,11 @@ whole session.  Here a batch of texts is masked as if its texts arrived in
 4. new markers are numbered by a distributed rank in first-occurrence order,
    after the session's highest stored number (A1), skipping numbers whose
    marker text appears in any text of the batch (W1);
-5. new surrogates take the first salt whose candidate is not in any text of
-   the session's batch and not related by containment to a stored out; if
-   candidates of different new entities of one session are related, those
-   entities (and only those) are settled in first-occurrence order by a fold;
+5. new surrogates are placed in rounds of joins: each unplaced entity offers
+   its next candidate that is not in any text of the session's batch and not
+   related by containment to a stored or placed out; of related offers the
+   first in first-occurrence order is placed, the others go on with the next
+   salts, until all are placed or a type's values are used up (an error);
 6. spans get their outs back by an equi-join and each text is rewritten.
 
 Checking candidates against all texts of the batch (not only the text that
@@ -43,6 +44,9 @@ from .ranks import rank_within
 from .unmask import token_hits
 
 MIN_SURROGATE_LEN = 9
+#: Types of which a session can use up all values: their form and number.  Others have over 10^8.
+SPACES = {"PHONE": (r"^\+7 9[0-9]{2} 555-[0-9]{2}-[0-9]{2}$", 10 ** 6), "BIK": ("^04[0-9]{7}$", 10 ** 7),
+          "KPP": ("^[1-9][0-9]{3}0[1-5][0-9]{3}$", 45 * 10 ** 6)}
 
 
 @dataclass
@@ -103,57 +107,63 @@ def _markers(new: DataFrame, taken: DataFrame, maxidx: DataFrame, s: C.Settings)
                     out.alias("out"), F.lit("marker").alias("kind"), idx.alias("index"))
 
 
+def _unused(df: DataFrame, batch_tokens: DataFrame, outs: DataFrame) -> DataFrame:
+    """Rows of ``session_id, cand`` whose candidate is in no text of the batch and not related to an out."""
+    df = df.join(batch_tokens.withColumnRenamed("tok", "cand"), ["session_id", "cand"], "left_anti")
+    # not equal to / inside an out
+    sub = outs.select("session_id", F.explode(substrings_min(F.col("out"), MIN_SURROGATE_LEN)).alias("cand")).distinct()
+    df = df.join(sub, ["session_id", "cand"], "left_anti")
+    # no out inside the candidate
+    inner = (df.select("session_id", "cand", F.explode(substrings_min(F.col("cand"), MIN_SURROGATE_LEN)).alias("out"))
+             .join(outs.select("session_id", "out"), ["session_id", "out"], "left_semi").select("session_id", "cand").distinct())
+    return df.join(inner, ["session_id", "cand"], "left_anti")
+
+
+def _check_space(waiting: DataFrame, batch_tokens: DataFrame, outs: DataFrame) -> None:
+    """Raise if a waiting entity's type has no value left in its session."""
+    used = (outs.select("session_id", F.explode(substrings_min(F.col("out"), MIN_SURROGATE_LEN)).alias("tok"))
+            .unionByName(batch_tokens).distinct())
+    for ctype, (form, size) in SPACES.items():
+        asking = waiting.filter(F.col("ctype") == ctype).select("session_id").distinct()
+        full = (used.filter(F.col("tok").rlike(form)).join(asking, "session_id", "left_semi")
+                .groupBy("session_id").count().filter(F.col("count") >= size))
+        if full.limit(1).count():
+            raise ValueError(f"no free surrogate for type {ctype}: a session uses all {size} values")
+
+
 def _surrogates(new: DataFrame, batch_tokens: DataFrame, stored_outs: DataFrame, s: C.Settings) -> DataFrame:
     ent = ["session_id", "ctype", "original"]
-    ns = new.filter(F.col("ctype").isin(*s.surrogate_types))
-
-    def candidates(lo: int, hi: int, src: DataFrame) -> DataFrame:
-        c = src.select(*ent, "first_seq", "first_ord", "lang", F.posexplode(F.expr(
-            G.candidates_sql(s, "session_id", "ctype", "original", lo, hi))).alias("salt", "cand"))
-        c = c.withColumn("salt", F.col("salt") + lo)
-        # not in any text of the session's batch
-        c = c.join(batch_tokens.withColumnRenamed("tok", "cand"), ["session_id", "cand"], "left_anti")
-        # not equal to / inside a stored out
-        sub = (stored_outs.select("session_id", F.explode(substrings_min(F.col("out"), MIN_SURROGATE_LEN)).alias("cand"))
-               .distinct())
-        c = c.join(sub, ["session_id", "cand"], "left_anti")
-        # no stored out inside the candidate
-        inner = (c.select(*ent, "salt", F.explode(substrings_min(F.col("cand"), MIN_SURROGATE_LEN)).alias("out"))
-                 .join(stored_outs.select("session_id", "out"), ["session_id", "out"], "left_semi")
-                 .select(*ent, "salt").distinct())
-        return c.join(inner, ent + ["salt"], "left_anti")
-
-    k, f = s.surrogate_candidates, s.surrogate_fallback_candidates
-    valid = _materialize(candidates(0, k, ns))
-    starved = ns.join(valid.select(*ent).distinct(), ent, "left_anti")
-    valid = _materialize(valid.unionByName(candidates(k, k + f, starved)))
-    # relations between candidates of different new entities of one session
-    subs = valid.select("session_id", F.col("ctype").alias("c1"), F.col("original").alias("o1"),
-                        F.explode(substrings_min(F.col("cand"), MIN_SURROGATE_LEN)).alias("cand"))
-    rel = (subs.join(valid.select("session_id", "cand", F.col("ctype").alias("c2"), F.col("original").alias("o2")),
-                     ["session_id", "cand"])
-           .filter((F.col("c1") != F.col("c2")) | (F.col("o1") != F.col("o2"))))
-    contested = (rel.select("session_id", F.col("c1").alias("ctype"), F.col("o1").alias("original"))
-                 .unionByName(rel.select("session_id", F.col("c2").alias("ctype"), F.col("o2").alias("original")))
-                 .distinct())
-    first = (valid.groupBy(*ent, "first_seq", "first_ord", "lang")
-             .agg(F.min_by("cand", "salt").alias("out")))
-    free = first.join(contested, ent, "left_anti")
-    # contested entities: settle in first-occurrence order, per session
-    cont = (valid.join(contested, ent, "left_semi")
-            .groupBy(*ent, "first_seq", "first_ord", "lang")
-            .agg(F.array_sort(F.collect_list(F.struct("salt", "cand"))).alias("_c")))
-    folded = (cont.groupBy("session_id").agg(F.array_sort(F.collect_list(
-        F.struct("first_seq", "first_ord", "ctype", "original", "lang", "_c"))).alias("_e"))
-        .select("session_id", F.expr(
-            "aggregate(_e, CAST(array() AS ARRAY<STRUCT<ctype:STRING,original:STRING,first_seq:BIGINT,first_ord:INT,"
-            "lang:STRING,out:STRING>>), (acc, x) -> concat(acc, array(named_struct('ctype', x.ctype, "
-            "'original', x.original, 'first_seq', x.first_seq, 'first_ord', x.first_ord, 'lang', x.lang, 'out', "
-            "coalesce(get(filter(transform(x._c, y -> y.cand), c -> NOT exists(acc, e -> e.out = c OR "
-            "contains(e.out, c) OR contains(c, e.out))), 0), raise_error(concat('no free surrogate for type ', "
-            "x.ctype)))))))").alias("_r"))
-        .select("session_id", F.explode("_r").alias("r")).select("session_id", "r.*"))
-    both = free.unionByName(folded.select(*ent, "first_seq", "first_ord", "lang", "out"))
+    cols = [*ent, "first_seq", "first_ord", "lang"]
+    turn = F.struct("first_seq", "first_ord", "ctype", "original")
+    waiting = _materialize(new.filter(F.col("ctype").isin(*s.surrogate_types)).select(*cols))
+    outs, placed, lo, step = stored_outs.select("session_id", "out"), None, 0, s.surrogate_candidates
+    while True:
+        c = waiting.select(*cols, F.posexplode(F.expr(G.candidates_sql(s, "session_id", "ctype", "original", lo, lo + step))).alias("salt", "cand"))
+        # each entity's next candidate; an entity that loses it goes on with those after it
+        left = _materialize(_unused(c, batch_tokens, outs))
+        while True:
+            offers = _materialize(left.groupBy(*cols).agg(F.min(F.struct("salt", "cand")).alias("x")).select(*cols, "x.salt", "x.cand", turn.alias("turn")))
+            if not offers.limit(1).count():
+                break
+            # of equal offers the first is placed, and of offers that contain one another
+            first = offers.groupBy("session_id", "cand").agg(F.min("turn").alias("turn"))
+            inside = (first.select("session_id", F.col("cand").alias("long"), F.col("turn").alias("t"), F.explode(substrings_min(F.col("cand"), MIN_SURROGATE_LEN)).alias("cand"))
+                      .filter(F.col("cand") != F.col("long")).join(first, ["session_id", "cand"]))
+            lost = inside.select("session_id", F.when(F.col("t") > F.col("turn"), F.col("long")).otherwise(F.col("cand")).alias("cand")).distinct()
+            won = first.join(lost, ["session_id", "cand"], "left_anti")
+            now = _materialize(offers.join(won, ["session_id", "cand", "turn"], "left_semi").select(*cols, F.col("cand").alias("out")))
+            placed = now if placed is None else placed.unionByName(now)
+            outs = outs.unionByName(now.select("session_id", "out"))
+            tried = offers.select(*ent, F.col("salt").alias("_tried"))
+            left = (left.join(now.select(*ent), ent, "left_anti").join(tried, ent).filter(F.col("salt") > F.col("_tried")).drop("_tried"))
+            left = _materialize(_unused(left, batch_tokens, now.select("session_id", "out")))
+        if placed is not None:
+            waiting = _materialize(waiting.join(placed.select(*ent), ent, "left_anti"))
+        if not waiting.limit(1).count():
+            break
+        lo, step = lo + step, min(2 * step, s.surrogate_fallback_candidates)
+        _check_space(waiting, batch_tokens, outs)
+    both = placed if placed is not None else waiting.withColumn("out", F.lit(None).cast("string"))
     return both.withColumn("kind", F.lit("surrogate")).withColumn("index", F.lit(None).cast("int"))
 
 

@@ -112,3 +112,27 @@ def test_expired_entries_stay_expired(spark, settings):
                           ner_spans=inj(spark, [("a", hour, 0, 6, "PER")]), detectors=False, ner="none")
         m, s = merge(m, s, r.entries, r.touched, at, settings.mapping_ttl)
     assert [(x["out"], x["original"]) for x in m.collect()] == [("[Имя 1]", "Петров")]
+
+
+def test_surrogates_go_on_while_values_are_left(spark, settings):
+    """All of a session's first salts are taken: entities go on with the next ones, each gets its own out."""
+    from shroud.functions import surrogates as G
+    from shroud.operators.sessions import _surrogates
+    schema = "session_id string, ctype string, original string, first_seq long, first_ord int, lang string"
+    new = spark.createDataFrame([("a", "PHONE", f"+7 912 000-00-{i:02d}", i, 0, "ru") for i in range(3)], schema)
+    first = new.select("session_id", F.explode(F.expr(G.candidates_sql(settings, "session_id", "ctype", "original", 0, 264))).alias("out"))
+    none = spark.createDataFrame([], "session_id string, tok string")
+    got = _surrogates(new, none, first, settings).collect()
+    assert len(got) == len({r["out"] for r in got}) == 3
+    assert not {r["out"] for r in got} & {r["out"] for r in first.collect()}
+
+
+def test_a_type_without_values_left_fails(spark, settings, monkeypatch):
+    from shroud.functions import surrogates as G
+    from shroud.operators import sessions
+    schema = "session_id string, ctype string, original string, first_seq long, first_ord int, lang string"
+    new = spark.createDataFrame([("a", "PHONE", "+7 912 000-00-00", 0, 0, "ru")], schema)
+    first = new.select("session_id", F.explode(F.expr(G.candidates_sql(settings, "session_id", "ctype", "original", 0, 8))).alias("out"))
+    monkeypatch.setitem(sessions.SPACES, "PHONE", (sessions.SPACES["PHONE"][0], first.distinct().count()))
+    with pytest.raises(ValueError, match="no free surrogate"):
+        sessions._surrogates(new, spark.createDataFrame([], "session_id string, tok string"), first, settings)
