@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hmm, jaccard, near, packing, search, secrets, suffix, toxicity, warc
+from . import bpe, hmm, jaccard, language, near, negatives, packing, phrases, search, secrets, suffix, toxicity, warc
 from .common import scratch, small_batches, table
 
 #: Place of the vocabulary; executors have the same installation.
@@ -70,6 +70,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train_on(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return language.identify(table(spark, sf_dir, "documents"), fold=5, rest=0)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return phrases.mine(table(spark, sf_dir, "documents"), least=30, share=80, top=2000)
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    rows = table(spark, sf_dir, "embeddings")
+    other = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", other), F.col("vec_id") % 100 == 0, scale=256.0, positives=5, negatives=10, low=30, high=90)
+
+
 QUERIES = {"op1_packing": op1_packing, "op2_warc": op2_warc, "op3_bpe": op3_bpe, "op4_suffix": op4_suffix, "op5_hmm": op5_hmm, "op6_embeddings": op6_embeddings, "op7_jaccard": op7_jaccard,
            "op8_search": op8_search, "op9_secrets": op9_secrets,
-           "op10_toxicity": op10_toxicity}
+           "op10_toxicity": op10_toxicity, "op11_language": op11_language, "op12_phrases": op12_phrases, "op13_negatives": op13_negatives}
