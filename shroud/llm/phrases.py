@@ -405,18 +405,24 @@ def mine(df: DataFrame, *, lang: str = "lang", text: str = "text", least: int =
     kept = phrases.select("lang", "n", "key", "a", "words").join(around, ["lang", "key"], "left").where(F.col("b").isNull() | (100 * F.col("b").cast("decimal(19,0)") < share * F.col("a").cast("decimal(19,0)")))
 
     # hashes to words
+    shared = df.sparkSession.sparkContext.broadcast(filters[0])
+
     def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kinds, text_ in rows(batches):
-            k, w = unpacked(kinds), text_.split(b" ")
-            for a in range(0, len(w), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(k[a:a + (1 << 16)].view(np.int64)), pa.array([x.decode("utf-8", "replace") for x in w[a:a + (1 << 16)]])], ["word", "spelling"])
+        """The words that may be frequent."""
+        for own, kinds, spellings in rows(batches):
+            k, w = unpacked(kinds), spellings.split(b" ")
+            a, b = places(k, own, filter_bits)
+            some = np.flatnonzero((shared.value[a] > 0) & (shared.value[b] > 0))
+            for c in range(0, len(some), 1 << 16):
+                at = some[c:c + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(k[at].view(np.int64)), pa.array([w[i].decode("utf-8", "replace") for i in at])], ["word", "spelling"])
 
     asked = kept.select("lang", "n", "key", F.posexplode("words").alias("i", "word"))
-    spelling = corpus.select("kinds", "words").mapInArrow(spelt, "word long, spelling string").join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.first("spelling").alias("spelling"))
+    spelling = corpus.select("lang", "kinds", "words").mapInArrow(spelt, "word long, spelling string").join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.first("spelling").alias("spelling"))
     phrase = asked.join(spelling, "word").groupBy("lang", "n", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "spelling"))), lambda x: x["spelling"]), " ").alias("phrase"))
     out = kept.select("lang", "n", "key", "a").join(cuts, ["lang", "n", "key"]).join(phrase, ["lang", "n", "key"])
     out = out.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
-    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long"))
-    if top is not None:
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")))
+    if top is not None:                                      # each task ranks its own rows first, and sends as many
         out = out.where(F.col("rank") <= top)
-    return out.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
+    return out.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
