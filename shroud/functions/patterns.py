@@ -5,10 +5,9 @@ JVM, so every pattern is compiled with ``(?iU)`` (Unicode classes and
 Unicode case folding, as Python does for ``str`` patterns), with two
 documented departures:
 
-* the region run of the address pattern is bounded (``{0,4}`` words instead
-  of ``*``): the unbounded form overflows the JVM stack on long unpunctuated
-  texts;
-* VIN is matched case-sensitively and must contain a digit, otherwise every
+* the region run of the address pattern is written without a repeated group, which
+  overflows the JVM stack on long unpunctuated texts;
+* a VIN must contain a digit or stand after a VIN context word, otherwise every
   17-letter word without i/o/q would be a VIN.
 
 EMAIL_ADDRESS, PHONE_NUMBER, CREDIT_CARD and English PERSON come from a
@@ -20,6 +19,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from .phones import RUN as PHONE_RUN
+from .phones import plan_length
+
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference): regexes, base scores, context words
 # ---------------------------------------------------------------------------
@@ -38,7 +40,6 @@ SNILS = r"\b\d{3}-\d{3}-\d{3}\s\d{2}\b"
 SNILS_NOSPACE = r"\b\d{11}\b"
 PHONE_7PLUS = r"(?<!\d)(\+7|8)[\s\-]?\(?\d{3}\)?[\s\-]?\d{3}[\s\-]?\d{2}[\s\-]?\d{2}(?!\d)"
 PHONE_SHORT = r"\b\d{3}[\s\-]\d{2}[\s\-]\d{2}\b"
-ADDR_GEO_REGION = r"(?:[\w\-]+(?:\s+[\w\-]+)*\s+(?:обл\.|кр\.|р-на?),\s*)?"
 ADDR_GEO_CITY = r"(?:г\.|город|пос\.|с\.)\s+[\w\-]+,\s*"
 ADDR_ST_ABBR = r"(?:ул\.|пр\.|пр-т|просп\.|пер\.|ш\.|наб\.|бул\.|пл\.|мкр\.)"
 ADDR_ST_FULL = r"(?:проспект|улица|переулок|шоссе|набережная|бульвар|площадь)"
@@ -84,12 +85,13 @@ PERSON_EN_RE = (
 
 SCORE_EMAIL = 0.5
 SCORE_PHONE_INTL = 0.4
+SCORE_PHONE_PLAN = 0.75     # a calling code and an allowed length
 SCORE_CREDIT_CARD = 0.3
 SCORE_PERSON_EN = 0.85
 
 
 def _address_full() -> str:
-    # The same run of words as ADDR_GEO_REGION, without a repeated group (which overflows the
+    # The region: a run of words, written without a repeated group (which overflows the
     # JVM stack); the look-behinds let it start only where a run of words starts.
     region = r"(?:(?<![\w\-])(?<![\w\-]\s)[\w\-][\w\-\s]*\s(?:обл\.|кр\.|р-на?),\s*)?"
     geo = region + ADDR_GEO_CITY
@@ -128,6 +130,7 @@ class PatternDef:
     validator: object = None           # 'card' -> digits 13..19 + Luhn; or a function of the hit column (X2)
     context_required: bool = False     # F1 (BIK/KPP)
     gate: str = GATE_DIGIT
+    refine: object = None              # a function of the hit column: how many of its characters count (null: no hit)
 
     @property
     def custom(self) -> bool:
@@ -174,6 +177,7 @@ REGISTRY: tuple[PatternDef, ...] = (
     PatternDef("EMAIL_ADDRESS", "EMAIL", _iu(EMAIL_RE), SCORE_EMAIL, gate=GATE_AT),
     PatternDef("CREDIT_CARD", "CREDIT_CARD", _iu(CREDIT_CARD_RE), SCORE_CREDIT_CARD, validator="card"),
     PatternDef("PHONE_NUMBER", "PHONE_NUMBER", _iu(PHONE_INTL_RE), SCORE_PHONE_INTL),
+    PatternDef("PHONE_NUMBER", "PHONE_PLAN", PHONE_RUN, SCORE_PHONE_PLAN, refine=plan_length),
     PatternDef("PERSON", "PERSON_EN", "(?U)" + PERSON_EN_RE, SCORE_PERSON_EN, gate=GATE_NONE),
 )
 

@@ -8,6 +8,8 @@ used: it counts UTF-16 units, not code points.)
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,101 +21,166 @@ SPAN_FIELDS = "start:int,end:int,etype:string,score:double,custom:boolean,prio:i
 SPAN_TYPE = f"array<struct<{SPAN_FIELDS}>>"
 
 
-def extract_spans(text: Column, regex: str) -> Column:
-    """All non-overlapping matches of ``regex``: array<struct<start,end,hit>>."""
-    text = F.coalesce(text, F.lit(""))
-    gaps = F.split(text, regex, -1)
-    hits = F.regexp_extract_all(text, F.lit(regex), 0)
+CHUNK = 64
+
+
+def appended(acc: Column, more: Column) -> Column:
+    """``acc`` (struct of ``full``: arrays of CHUNK items and more, ``part``) with the items of ``more`` at its end.
+
+    Appending to one array copies it each time; here only ``part`` is copied, and ``full`` once in CHUNK items."""
+    grown = F.concat(acc["part"], more)
+    return F.when(F.size(grown) < CHUNK, F.struct(acc["full"].alias("full"), grown.alias("part"))).otherwise(
+        F.struct(F.concat(acc["full"], F.array(grown)).alias("full"), F.filter(grown, lambda x: F.lit(False)).alias("part")))
+
+
+def nothing(array_type: str) -> Column:
+    return F.struct(F.array().cast(f"array<{array_type}>").alias("full"), F.array().cast(array_type).alias("part"))
+
+
+def items(acc: Column) -> Column:
+    return F.concat(F.flatten(acc["full"]), acc["part"])
+
+
+def located(gaps: Column, hits: Column) -> Column:
+    """array<struct<start,end,hit>> from the gaps and hits of one regex."""
     pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("g"), h.alias("h")))
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast(HIT_TYPE).alias("spans"))
+    init = F.struct(F.lit(0).alias("pos"), nothing(HIT_TYPE).alias("spans"))
 
     def step(acc, x):
         s = acc["pos"] + x["g"]
         e = s + F.length(x["h"])
-        grown = F.struct(e.alias("pos"), F.concat(
-            acc["spans"], F.array(F.struct(s.alias("start"), e.alias("end"), x["h"].alias("hit")))).alias("spans"))
+        grown = F.struct(e.alias("pos"), appended(acc["spans"], F.array(F.struct(s.alias("start"), e.alias("end"), x["h"].alias("hit")))).alias("spans"))
         return F.when(x["h"].isNull(), acc).otherwise(grown)
 
-    return F.aggregate(pairs, init, step, lambda acc: acc["spans"])
+    return F.aggregate(pairs, init, step, lambda acc: items(acc["spans"]))
 
 
-def luhn_ok(hit: Column) -> Column:
-    """digits only, 13..19 of them, Luhn-valid."""
-    return _card_valid(hit)
+def extract_spans(text: Column, regex: str) -> Column:
+    """All non-overlapping matches of ``regex``: array<struct<start,end,hit>>."""
+    text = F.coalesce(text, F.lit(""))
+    return located(F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), 0))
 
 
 def _luhn(d: Column) -> Column:
     return F.call_function("luhn_check", d)
 
 
-def left_context_ok(text: Column, start: Column, terms) -> Column:
-    """a context word in the 30 characters left of the hit, and no run of
+def left_context_ok(text: Column, start: Column, terms: Column) -> Column:
+    """one of ``terms`` (an array) in the 30 characters left of the hit, and no run of
     4+ digits between the right-most end of such a word and the hit."""
-    if not terms:
-        return F.lit(True)
     ws = F.greatest(start - C.CONTEXT_LEFT_WINDOW, F.lit(0))
-    window = F.lower(F.substring(text, ws + 1, start - ws))
-    rwin = F.reverse(window)
-    ends = []
-    for t in terms:
-        p = F.locate(t.lower()[::-1], rwin)
+    rwin = F.reverse(F.lower(F.substring(text, ws + 1, start - ws)))
+
+    def end(t):
         # right-most occurrence ends at (start - p + 1) in text offsets
-        ends.append(F.when(p > 0, start - p + 1).otherwise(F.lit(-1)))
-    best = F.greatest(*ends) if len(ends) > 1 else ends[0]
-    between = F.substring(text, best + 1, start - best)
-    noise = between.rlike(r"(?U)\d{%d,}" % C.CONTEXT_NOISE_DIGITS)
-    return (best >= 0) & ~noise
-
-
-def context_boost(text: Column, start: Column, score: Column, terms, s: C.Settings) -> Column:
-    """F2: raise the score when a context word is part of one of the last
-    ``context_prefix_words`` words left of the hit."""
-    if not terms:
-        return score
+        p = F.call_function("locate", F.reverse(t), rwin)
+        return F.when(p > 0, start - p + 1).otherwise(F.lit(-1))
+
+    def clear(best):
+        return (best >= 0) & ~F.substring(text, best + 1, start - best).rlike(r"(?U)\d{%d,}" % C.CONTEXT_NOISE_DIGITS)
+    return F.transform(F.array(F.array_max(F.transform(terms, end))), clear)[0]
+
+
+# Endings that inflection adds (our choice); a stem keeps at least four letters.
+RU_ENDINGS = "иями|ями|ами|ого|его|ому|ему|ыми|ими|иях|ией|ой|ей|ий|ый|ая|яя|ое|ее|ые|ие|ов|ев|ам|ям|ах|ях|ом|ем|ою|ею|ую|юю|а|я|о|е|у|ю|ы|и|ь|й"
+EN_ENDINGS = "ing|ed|es|s"
+STEM = (r"^(\p{IsCyrillic}{4,}?)(?:%s)$" % RU_ENDINGS, r"^([a-z]{4,}?)(?:%s)$" % EN_ENDINGS)
+
+
+def stem(word: Column) -> Column:
+    """A word without its inflectional ending, lower-cased, ё as е."""
+    word = F.translate(F.lower(word), "ё", "е")
+    for rule in STEM:
+        word = F.regexp_replace(word, rule, "$1")
+    return word
+
+
+def stemmed(term: str) -> str:
+    """The same for the words of a context term."""
+    out = []
+    for w in re.findall(r"[\w/]+", term.lower().replace("ё", "е")):
+        for rule in STEM:
+            w = re.sub(rule.replace(r"\p{IsCyrillic}", "[а-я]"), r"\1", w)
+        out.append(w)
+    return " ".join(out)
+
+
+def context_boost(text: Column, start: Column, score: Column, terms: Column, forms: Column, s: C.Settings) -> Column:
+    """F2: raise the score when one of ``terms`` is part of one of the last
+    ``context_prefix_words`` words left of the hit, or one of ``forms`` (the terms'
+    stems between spaces) stands there by the words' stems, a term of several words as these in a row."""
     n = s.context_prefix_words
 
     def words_from(lo):
         return F.filter(F.split(F.lower(F.substring(text, lo + 1, start - lo)), r"(?U)[^\w/]+", -1),
                         lambda w: w != "")
 
-    # Enough words near by (the first of them may be cut), or all words before the hit.
-    near = words_from(F.greatest(start - 200, F.lit(0)))
-    words = F.when((F.size(near) > n) | (start <= 200), near).otherwise(words_from(F.lit(0)))
-    last = F.slice(words, F.greatest(F.size(words) - n + 1, F.lit(1)), F.lit(n))
-    found = F.exists(last, lambda w: _any_contains(w, terms))
+    def near_by(near):
+        # Enough words near by (the first of them may be cut), or all words before the hit.
+        words = F.when((F.size(near) > n) | (start <= 200), near).otherwise(words_from(F.lit(0)))
+        return F.slice(words, F.greatest(F.size(words) - n + 1, F.lit(1)), F.lit(n))
+
+    def found(ws):
+        listed = F.exists(ws, lambda w: F.exists(terms, lambda t: F.call_function("contains", w, t)))
+        joined = F.concat(F.lit(" "), F.array_join(F.transform(ws, stem), " "), F.lit(" "))
+        return listed | F.transform(F.array(joined), lambda j: F.exists(forms, lambda f: F.call_function("contains", j, f)))[0]
+
+    last = F.transform(F.array(words_from(F.greatest(start - 200, F.lit(0)))), near_by)
     boosted = F.least(F.lit(1.0), F.greatest(score + s.context_boost, F.lit(s.context_min_score)))
-    return F.when(found, boosted).otherwise(score)
-
-
-def _any_contains(w: Column, terms) -> Column:
-    cond = None
-    for t in terms:
-        c = F.call_function("contains", w, F.lit(t.lower()))
-        cond = c if cond is None else (cond | c)
-    return cond
-
-
-def pattern_spans(text: Column, p: PatternDef, s: C.Settings) -> Column:
-    """Hits of one registry pattern after its validator, required context
-    and score boost: array<struct<start,end,etype,score,custom,prio,pattern>>."""
-    hits = extract_spans(text, p.regex)
-    if p.validator == "card":
-        hits = F.filter(hits, lambda x: _card_valid(x["hit"]))
-    elif callable(p.validator):
-        hits = F.filter(hits, lambda x: p.validator(x["hit"]))
-    elif p.validator is not None:
-        raise C.ConfigError(f"unknown validator {p.validator!r} of pattern {p.name}")
-    if p.context_required:
-        hits = F.filter(hits, lambda x: left_context_ok(text, x["start"], p.context))
-    base = F.lit(1.0 if p.validator == "card" else p.score)
-
-    def mk(x):
-        score = context_boost(text, x["start"], base, p.context, s) if p.context else base
-        return F.struct(
-            x["start"].alias("start"), x["end"].alias("end"), F.lit(p.entity_type).alias("etype"),
-            score.cast("double").alias("score"), F.lit(p.custom).alias("custom"),
-            F.lit(PRIORITY_RANK.get(p.name, 999)).alias("prio"), F.lit(p.name).alias("pattern"))
-    return F.transform(hits, mk)
+    return F.when(F.transform(last, found)[0], boosted).otherwise(score)
+
+
+def sql_text(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def rules_sql(patterns) -> str:
+    """What is the same for all hits of a pattern, an array with one struct per pattern (folds to a literal)."""
+    def strings(xs):
+        return "array(" + ", ".join(map(sql_text, xs)) + ")" if xs else "CAST(array() AS ARRAY<STRING>)"
+
+    rows = []
+    for p in patterns:
+        if not (p.validator in (None, "card") or callable(p.validator)):
+            raise C.ConfigError(f"unknown validator {p.validator!r} of pattern {p.name}")
+        card = p.validator == "card"
+        rows.append(f"named_struct('etype', {sql_text(p.entity_type)}, 'score', {float(1.0 if card else p.score)}D, 'custom', {str(p.custom).lower()}, 'prio', {PRIORITY_RANK.get(p.name, 999)}, "
+                    f"'pattern', {sql_text(p.name)}, 'card', {str(card).lower()}, 'required', {str(bool(p.context_required and p.context)).lower()}, "
+                    f"'terms', {strings([t.lower() for t in p.context])}, 'forms', {strings(sorted({f' {stemmed(t)} ' for t in p.context}))})")
+    return "array(" + ", ".join(rows) + ")"
+
+
+def raw_hits(text: Column, p: PatternDef, place: int) -> Column:
+    """Gaps and hits of one pattern, those that a function of the user's lets pass, and its place among the rules."""
+    hits = F.regexp_extract_all(text, F.lit(p.regex), 0)
+    at = located(F.split(text, p.regex, -1), hits) if p.refine is not None or callable(p.validator) else F.array().cast(HIT_TYPE)
+    if p.refine is not None:
+        sized = F.transform(at, lambda x: F.struct(x.alias("x"), p.refine(x["hit"]).alias("n")))
+        at = F.transform(F.filter(sized, lambda y: y["n"].isNotNull()), lambda y: F.struct(
+            y["x"]["start"].alias("start"), (y["x"]["start"] + y["n"]).alias("end"), F.substring(y["x"]["hit"], F.lit(1), y["n"]).alias("hit")))
+    if callable(p.validator):
+        at = F.filter(at, lambda x: p.validator(x["hit"]))
+    plain = p.refine is None and not callable(p.validator)
+    gaps = F.split(text, p.regex, -1) if plain else F.array().cast("array<string>")
+    return F.struct(gaps.alias("gaps"), (hits if plain else F.array().cast("array<string>")).alias("hits"), at.alias("at"), F.lit(place).alias("place"))
+
+
+def checked_hits(text: Column, raw: Column, rules: Column, s: C.Settings) -> Column:
+    """The hits in ``raw`` (an array of raw_hits, with nulls) after validator, required context and score
+    boost: array<struct<start,end,etype,score,custom,prio,pattern>>.  One expression for the hits of all patterns."""
+    def of_pattern(r):
+        return F.transform(F.concat(located(r["gaps"], r["hits"]), r["at"]), lambda x: F.struct(
+            x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), F.get(rules, r["place"]).alias("r")))
+
+    hits = F.flatten(F.transform(F.filter(raw, lambda r: r.isNotNull()), of_pattern))
+    hits = F.filter(hits, lambda x: (~x["r"]["card"] | _card_valid(x["hit"])) & (~x["r"]["required"] | left_context_ok(text, x["start"], x["r"]["terms"])))
+
+    def scored(x):
+        r = x["r"]
+        score = F.when(F.size(r["terms"]) > 0, context_boost(text, x["start"], r["score"], r["terms"], r["forms"], s)).otherwise(r["score"])
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), r["etype"].alias("etype"), score.cast("double").alias("score"), r["custom"].alias("custom"),
+                        r["prio"].alias("prio"), r["pattern"].alias("pattern"))
+    return F.transform(hits, scored)
 
 
 def _card_valid(hit: Column) -> Column:

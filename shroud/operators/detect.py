@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.patterns import GATE_NONE, GATE_REGEX, REGISTRY, PatternDef, patterns_for
-from ..functions.spans import empty_spans, explode_rows, pattern_spans
+from ..functions.spans import checked_hits, empty_spans, explode_rows, raw_hits, rules_sql
 
 
 def _gate_cols(text: Column, registry) -> dict[str, Column]:
@@ -26,29 +26,27 @@ def _gate_cols(text: Column, registry) -> dict[str, Column]:
     return gates
 
 
-def _branch(text: Column, language: str, gates, s: C.Settings, registry, entity_types) -> Column:
-    parts = []
-    for p in registry:
-        if not C.detector_runs_for(p.entity_type, language):
-            continue
-        if entity_types is not None and p.entity_type not in entity_types:
-            continue
-        expr = pattern_spans(text, p, s)
-        if p.gate != GATE_NONE:
-            expr = F.when(gates[p.gate], expr).otherwise(empty_spans())
-        parts.append(expr)
-    if not parts:
-        return empty_spans()
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
-
-
 def pattern_hits(text: Column, language: Column, s: C.Settings,
                  registry: tuple[PatternDef, ...] = REGISTRY, entity_types=None) -> Column:
-    """Union of the allowed detectors' hits for each row."""
+    """Union of the allowed detectors' hits for each row.
+
+    Each pattern adds its two regex calls to an array; offsets, checks and scores are
+    one expression over this array, whatever the number of patterns."""
+    registry = [p for p in registry if entity_types is None or p.entity_type in entity_types]
+    if not registry:
+        return empty_spans()
     gates = _gate_cols(text, registry)
-    ru = _branch(text, "ru", gates, s, registry, entity_types)
-    other = _branch(text, "en", gates, s, registry, entity_types)
-    return F.when(language == "ru", ru).otherwise(other)
+    whole = F.coalesce(text, F.lit(""))
+    raw = {p.name: raw_hits(whole, p, i) for i, p in enumerate(registry)}
+
+    def run(lang: str) -> Column:
+        mine = [p for p in registry if C.detector_runs_for(p.entity_type, lang)]
+        none = F.array(F.when(F.lit(False), raw[registry[0].name]))
+        return F.array(*[F.when(gates[p.gate], raw[p.name]) if p.gate != GATE_NONE else raw[p.name] for p in mine]) if mine else none
+
+    both = F.when(language == "ru", run("ru")).otherwise(run("en"))
+    bound = F.struct(both.alias("raw"), F.expr(rules_sql(registry)).alias("rules"), whole.alias("text"))
+    return F.transform(F.array(bound), lambda z: checked_hits(z["text"], z["raw"], z["rules"], s))[0]
 
 
 def detect(df: DataFrame, s: C.Settings, text: str = "text", language: str = "language",
@@ -69,6 +67,11 @@ def detect_spans(df: DataFrame, s: C.Settings, keys=("session_id", "seq"), text=
                      F.expr(f"substring({text}, h.start + 1, h.end - h.start)").alias("original")))
 
 
+def type_counts_by(hits: DataFrame, *by: str) -> DataFrame:
+    """A10: hits counted by ``by`` and by each of its leading parts (grouping sets); ``level`` tells how many columns are totalled."""
+    return hits.rollup(*by).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("int").alias("level"))
+
+
 def patterns_table(spark, language: str | None = None):
     """The pattern registry as a DataFrame (X1): one row per pattern."""
     rows = []
@@ -83,4 +86,4 @@ def patterns_table(spark, language: str | None = None):
               "validator string, context_required boolean, languages array<string>")
 
 
-__all__ = ["detect", "detect_spans", "pattern_hits", "patterns_for", "patterns_table"]
+__all__ = ["detect", "detect_spans", "pattern_hits", "patterns_for", "patterns_table", "type_counts_by"]

@@ -28,7 +28,7 @@ from ..functions import surrogates as G
 from ..functions.patterns import REGISTRY
 from ..functions.spans import SPAN_TYPE, empty_spans, explode_rows
 from .detect import pattern_hits
-from .ner import NER_TYPE, clip_and_filter, collect_injected, rule_ner, sort_by_start
+from .ner import NER_TYPE, clip_and_filter, collect_injected, resolve_ner_overlaps, rule_ner, sort_by_start
 from .resolve import ordered_spans
 
 ENTRY_FIELDS = "ctype:string,original:string,out:string,kind:string,idx:int,ord:int,new:boolean"
@@ -140,7 +140,9 @@ def injected_pattern_array(df: DataFrame, spans: DataFrame, keys) -> DataFrame:
 def prepare(texts: DataFrame, s: C.Settings, *, ner_spans: DataFrame | None = None,
             pattern_spans: DataFrame | None = None, detectors: bool = True, ner: str = "rule",
             keys=("session_id", "seq"), registry=REGISTRY) -> DataFrame:
-    """Detection + resolution: adds ``spans`` (ordered, with ctype/original/ord)."""
+    """Detection + resolution: adds ``spans`` (ordered, with ctype/original/ord).
+
+    NER spans are ``ner_spans`` if given, else the rules' (``ner="rule"``); with ``ner="both"`` these and those, the longest first."""
     df = texts
     if "prepend_hint" not in df.columns:
         df = df.withColumn("prepend_hint", F.lit(False))
@@ -151,6 +153,8 @@ def prepare(texts: DataFrame, s: C.Settings, *, ner_spans: DataFrame | None = No
     if ner_spans is not None:
         df = collect_injected(df, ner_spans, "_ner_in", keys)
         ner_raw = F.coalesce(F.col("_ner_in"), empty_ner)
+        if ner == "both":
+            ner_raw = resolve_ner_overlaps(F.concat(ner_raw, rule_ner(text)))
     elif ner == "rule":
         ner_raw = rule_ner(text)
     else:

@@ -3,7 +3,7 @@
 J2 is not a join: a dropped hit must not block others, so it is a per-text
 fold over the hits sorted by priority (custom detector first, then score,
 then length, all descending; ties by start and registration order so the
-result does not depend on engine sort stability).  J1 drops any pattern hit
+result does not depend on engine sort stability), cluster by cluster of hits that touch.  J1 drops any pattern hit
 that overlaps a NER span, whatever its score.  Both run inside the row.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.spans import SPAN_TYPE
+from ..functions.spans import SPAN_TYPE, appended, items, nothing
 
 ORDERED_TYPE = "array<struct<start:int,end:int,ctype:string,original:string,ord:int,src:string>>"
 
@@ -40,11 +40,28 @@ def overlaps(x: Column, k: Column) -> Column:
     return (x["start"] < k["end"]) & (x["end"] > k["start"])
 
 
+def _settled(cluster: Column) -> Column:
+    """The hits of one cluster that overlap nothing kept before them in priority order."""
+    kept = F.aggregate(priority_sort(cluster), F.array().cast(SPAN_TYPE),
+                       lambda kept, x: F.when(F.exists(kept, lambda k: overlaps(x, k)), kept).otherwise(F.concat(kept, F.array(x))))
+    return F.when(F.size(cluster) < 2, cluster).otherwise(kept)
+
+
 def greedy_resolve(arr: Column) -> Column:
-    """Keep a hit if it overlaps nothing kept so far, in priority order."""
-    return F.aggregate(priority_sort(arr), F.array().cast(SPAN_TYPE),
-                       lambda kept, x: F.when(F.exists(kept, lambda k: overlaps(x, k)), kept)
-                       .otherwise(F.concat(kept, F.array(x))))
+    """Keep a hit if it overlaps nothing kept so far, in priority order.
+
+    Hits in order of start fall into clusters: one begins where the running maximum of
+    ``end`` is not past the hit's start.  Hits of different clusters do not overlap, so each
+    cluster is settled by itself and a text with very many hits costs no more than these."""
+    by_start = F.array_sort(arr, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
+    none = F.array().cast(SPAN_TYPE)
+    init = F.struct(nothing(SPAN_TYPE).alias("out"), none.alias("cluster"), F.lit(0).alias("reach"))
+
+    def step(acc, x):
+        apart = F.struct(appended(acc["out"], _settled(acc["cluster"])).alias("out"), F.array(x).alias("cluster"), x["end"].alias("reach"))
+        touching = F.struct(acc["out"].alias("out"), F.concat(acc["cluster"], F.array(x)).alias("cluster"), F.greatest(acc["reach"], x["end"]).alias("reach"))
+        return F.when(x["start"] >= acc["reach"], apart).otherwise(touching)
+    return priority_sort(F.aggregate(by_start, init, step, lambda acc: F.concat(items(acc["out"]), _settled(acc["cluster"]))))
 
 
 def drop_overlapping_ner(arr: Column, ner: Column) -> Column:

@@ -92,3 +92,54 @@ def hint_text_sql(key: str) -> str:
     """Carrier for hints: even keys name a person, odd keys only an INN."""
     return (f"CASE WHEN {key} % 2 = 0 THEN 'Сотрудник ' || {surname(key)} || ' П. П. пришёл' "
             f"ELSE 'ИНН ' || {_inn(key, 7919)} END")
+
+
+
+# A text that names a supplier twice (once in capitals), a nation and a customer; a longer word that starts like the supplier is no name.
+NAME_SEGMENTS = [
+    ("lit", "'Groupage 😀 from '"),
+    ("ORG", "s_name"),
+    ("lit", "' ('"),
+    ("LOC", "lower(n_name)"),
+    ("lit", "'), again '"),
+    ("ORG", "upper(s_name)"),
+    ("lit", "', not ' || s_name || 'X; signed '"),
+    ("PER", "c_name"),
+    ("lit", "'.'"),
+]
+
+#: Ten calling codes with their own ways of writing; by key.
+PHONE_FORMS = [
+    "('+44 20 ' || {a4} || ' ' || {b4})", "('+33 1 ' || {a2} || ' ' || {b2} || ' ' || {c2} || ' ' || {d2})", "('+49 30 1' || {a2} || {b4} || {d2})",
+    "('+34 912 ' || {a2} || ' ' || {b2} || ' ' || {c2})", "('+1 (202) 555-' || {a4})", "('+39 06 ' || {a4} || {b4})", "('+420 60' || {d1} || ' ' || {a3} || ' ' || {b3})",
+    "('+351 21' || {d1} || '-' || {a3} || '-' || {b3})", "('0041 44 ' || {a3} || ' ' || {b2} || ' ' || {c2})", "('+353 1 ' || {a3} || ' ' || {b4})",
+]
+
+
+def phone_sql(key: str) -> str:
+    parts = {"a4": _lp(f"{key} * 17 % 10000", 4), "b4": _lp(f"{key} * 29 % 10000", 4), "a3": _lp(f"{key} * 13 % 1000", 3), "b3": _lp(f"{key} * 31 % 1000", 3),
+             "a2": _lp(f"{key} * 7 % 100", 2), "b2": _lp(f"{key} * 11 % 100", 2), "c2": _lp(f"{key} * 3 % 100", 2), "d2": _lp(f"{key} * 19 % 100", 2), "d1": _s(f"{key} % 10")}
+    return "(CASE " + f"CAST({key} % 10 AS INTEGER)" + " " + " ".join(f"WHEN {i} THEN {f.format(**parts)}" for i, f in enumerate(PHONE_FORMS)) + " END)"
+
+
+# A number of the plan, with other digits after it; an unknown calling code; one digit short.
+PLAN_SEGMENTS = [
+    ("lit", "'Call '"),
+    ("PHONE", phone_sql("c_custkey")),
+    ("lit", "' 24 hours, not +999 ' || " + _lp("c_custkey", 9) + " || ' nor +47 ' || " + _lp("c_custkey % 10000000", 7) + " || ' or +45 12 34 56 7'"),
+]
+
+# The same VIN shape after an inflected context word, after a term of two words, and after none.
+FORM_SEGMENTS = [
+    ("lit", "'В свидетельствах '"),
+    ("VIN_A", f"('XTA' || {_lp('c_custkey * 7', 14)})"),
+    ("lit", "' и без пометки раз два три четыре пять '"),
+    ("VIN_B", f"('XTB' || {_lp('c_custkey * 11', 14)})"),
+    ("lit", "'; транспортного средства '"),
+    ("VIN_C", f"('XTC' || {_lp('c_custkey * 13', 14)})"),
+]
+
+
+def turn_text_sql() -> str:
+    """A turn of a conversation (null: empty) with an address that all its turns share."""
+    return f"(coalesce(text, '') || ' mail conv' || {_s('conv_id')} || '@mail.ru')"

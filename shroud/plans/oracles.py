@@ -161,14 +161,13 @@ def _masked_pieces():
 
 def masked_spans() -> str:
     pieces = _masked_pieces()
+    columns = ", ".join(f"{expr} AS p{i}" for i, (_, expr) in enumerate(pieces))
     rows = []
-    for i, (kind, expr) in enumerate(pieces):
-        if kind == "lit":
-            continue
-        before = " || ".join(e for _, e in pieces[:i])
-        rows.append(f"SELECT c_custkey, '{kind}' AS type, CAST(length({before}) AS INTEGER) AS start, "
-                    f"CAST(length({before}) + length({expr}) AS INTEGER) AS \"end\" FROM customer")
-    return "\nUNION ALL\n".join(rows)
+    for i, (kind, _) in enumerate(pieces):
+        if kind != "lit":
+            before = " + ".join(f"length(p{j})" for j in range(i))
+            rows.append(f"SELECT c_custkey, '{kind}' AS type, CAST({before} AS INTEGER) AS start, CAST({before} + length(p{i}) AS INTEGER) AS \"end\" FROM pieces")
+    return f"WITH pieces AS MATERIALIZED (SELECT c_custkey, {columns} FROM customer) " + " UNION ALL ".join(rows)
 
 
 def mask_hint() -> str:
@@ -181,7 +180,33 @@ SELECT c_custkey,
 FROM customer"""
 
 
+_NAMED = """(SELECT o_orderkey, s_name, n_name, c_name FROM orders JOIN customer ON o_custkey = c_custkey
+  JOIN supplier ON s_suppkey = o_orderkey % (SELECT max(s_suppkey) + 1 FROM supplier) JOIN nation ON s_nationkey = n_nationkey)"""
+
+
+def mask_gazetteer() -> str:
+    # a single word in capitals is no name to the masker
+    outs = iter(("'[Организация 1]'", "lower(n_name)", "upper(s_name)", "'[Имя 1]'"))
+    return f"SELECT o_orderkey, {' || '.join(e if k == 'lit' else next(outs) for k, e in carriers.NAME_SEGMENTS)} AS masked_text FROM {_NAMED}"
+
+
+def context_forms() -> str:
+    segs = carriers.FORM_SEGMENTS
+    return " UNION ALL ".join(f"SELECT c_custkey, CAST(length({' || '.join(e for _, e in segs[:i])}) AS INTEGER) AS start, CAST({0.7 if k == 'VIN_B' else 1.0} AS DOUBLE) AS score FROM customer"
+                              for i, (k, _) in enumerate(segs) if k != "lit")
+
+
+def type_rollup() -> str:
+    hits = f"""SELECT doc_id, 'EMAIL' AS ctype FROM ({_hits_sql("documents", "doc_id", "text", EMAIL_RE_DUCK)}) UNION ALL SELECT doc_id, 'CARD' AS ctype FROM ({detect_card_luhn()})"""
+    return f"SELECT lang, ctype, count(*) AS n, CAST(grouping(lang, ctype) AS INTEGER) AS level FROM ({hits}) JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, ctype)"
+
+
 ORACLES = {
+    "gazetteer_hits": carriers.expected_entities_sql(_NAMED, "o_orderkey", carriers.NAME_SEGMENTS),
+    "mask_gazetteer": mask_gazetteer(),
+    "detect_phone_plan": f'SELECT c_custkey, start, "end", original FROM ({carriers.expected_entities_sql("customer", "c_custkey", carriers.PLAN_SEGMENTS)})',
+    "context_forms": context_forms(),
+    "type_rollup": type_rollup(),
     "detect_email": _hits_sql("documents", "doc_id", "text", EMAIL_RE_DUCK),
     "detect_card_luhn": detect_card_luhn(),
     "detect_requisites": carriers.expected_entities_sql("customer", "c_custkey"),
@@ -197,8 +222,8 @@ UNION ALL
 SELECT doc_id, 'strict' AS setting, CASE WHEN lang IS NULL OR lang NOT IN ('ru', 'en') THEN 'unsupported_language' END AS reason,
        (lang IS NULL OR lang NOT IN ('ru', 'en')) AS refused FROM documents""",
     "session_expiry": "SELECT CAST(c_custkey AS VARCHAR) AS session_id, '[Имя 1]' AS out, 'Петров П. П.' AS original FROM customer",
-    "roundtrip_conversations": "SELECT conv_id, turn, text FROM conversations",
-    "unmask_sessions": "SELECT doc_id, text FROM documents",
+    "roundtrip_conversations": f"SELECT conv_id, turn, {carriers.turn_text_sql()} AS text, CAST(0 AS INTEGER) AS still_clear, CAST(1 AS INTEGER) AS tokens_replaced FROM conversations",
+    "unmask_sessions": "SELECT doc_id, text, CAST(0 AS INTEGER) AS still_clear FROM documents",
     "marker_numbering": marker_numbering(),
     "guard_rejections": f"""
 SELECT CAST(c_nationkey AS STRING) AS session_id, c_custkey,

@@ -14,8 +14,10 @@ from .. import config as C
 from ..functions import surrogates as G
 from ..functions.patterns import REGISTRY
 from ..functions.spans import explode_rows
-from ..operators.detect import detect_spans
+from ..operators.detect import detect_spans, type_counts_by
+from ..operators.gazetteer import gazetteer_spans
 from ..operators.mask import entries_view, mask, prepare
+from ..operators.resolve import canonical
 from ..operators.sessions import mask_sessions
 from ..operators.unmask import unmask, unmask_with_entries
 from ..session import ensure_checkpoint_dir, scratch_path, tune
@@ -134,20 +136,20 @@ def unmask_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.lit("en").alias("language"))
     r = mask_sessions(t, SETTINGS, now=F.expr(NOW))
     masked = r.masked.select("session_id", "seq", F.col("masked_text").alias("text"))
-    u = unmask(masked, r.entries, SETTINGS)
-    return u.select(F.col("seq").alias("doc_id"), F.col("unmasked_text").alias("text"))
+    u = unmask(masked, r.entries, SETTINGS).join(r.masked.select("session_id", "seq", _still_clear(r.masked).alias("still_clear")), ["session_id", "seq"])
+    return u.select(F.col("seq").alias("doc_id"), F.col("unmasked_text").alias("text"), "still_clear")
 
 
 def roundtrip_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions with natural (conv_id, turn) keys: mask then unmask."""
+    """Sessions with natural (conv_id, turn) keys: mask then unmask.  Each turn ends with an address of its conversation's own."""
     c = read_table(spark, sf_dir, "conversations")
-    t = c.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), "text",
+    t = c.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), F.expr(carriers.turn_text_sql()).alias("text"),
                  F.lit("en").alias("language"))
     r = mask_sessions(t, SETTINGS, now=F.expr(NOW))
     masked = r.masked.select("session_id", "seq", F.col("masked_text").alias("text"))
-    u = unmask(masked, r.entries, SETTINGS)
+    u = unmask(masked, r.entries, SETTINGS).join(r.masked.select("session_id", "seq", _still_clear(r.masked).alias("still_clear")), ["session_id", "seq"])
     return u.select(F.col("session_id").cast("long").alias("conv_id"), F.col("seq").alias("turn"),
-                    F.col("unmasked_text").alias("text"))
+                    F.col("unmasked_text").alias("text"), "still_clear", "tokens_replaced")
 
 
 def _person_texts(spark, sf_dir):
@@ -347,6 +349,62 @@ def mask_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
                     first["start"].alias("first_start"))
 
 
+def _named_texts(spark, sf_dir, language="ru"):
+    """A text per order: its customer, a supplier and this one's nation."""
+    sup = read_table(spark, sf_dir, "supplier").join(read_table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    n = read_table(spark, sf_dir, "supplier").agg(F.max("s_suppkey") + 1).first()[0]
+    rows = (read_table(spark, sf_dir, "orders").withColumn("s_suppkey", F.col("o_orderkey") % n).join(sup, "s_suppkey")
+            .join(read_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")))
+    return rows.select(F.col("o_orderkey").cast("string").alias("session_id"), F.col("o_orderkey").alias("seq"), F.expr(carriers.text_sql(carriers.NAME_SEGMENTS)).alias("text"),
+                       F.lit(language).alias("language"))
+
+
+def _names(spark, sf_dir):
+    """The gazetteer: suppliers, customers and nations."""
+    parts = [read_table(spark, sf_dir, t).select(F.col(c).alias("name"), F.lit(kind).alias("entity_type"))
+             for t, c, kind in (("supplier", "s_name", "ORG"), ("customer", "c_name", "PER"), ("nation", "n_name", "LOC"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def gazetteer_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of suppliers, customers and nations in texts, by joins on first words and on names."""
+    hits = gazetteer_spans(_named_texts(spark, sf_dir), _names(spark, sf_dir))
+    return hits.select(F.col("seq").alias("o_orderkey"), F.col("entity_type").alias("ctype"), "original", "start", "end")
+
+
+def mask_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J9 + D15 + D16 + F12: the gazetteer's spans go through masking as NER spans; LOC is not masked."""
+    t = _named_texts(spark, sf_dir)
+    m = mask(t, SETTINGS, ner_spans=gazetteer_spans(t, _names(spark, sf_dir)), ner="both")
+    return m.select(F.col("seq").alias("o_orderkey"), "masked_text")
+
+
+def detect_phone_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of ten calling codes found by the numbering plan, without the digits after them; unknown codes and wrong lengths are none."""
+    c = read_table(spark, sf_dir, "customer")
+    t = c.select(F.col("c_custkey").cast("string").alias("session_id"), F.col("c_custkey").alias("seq"), F.expr(carriers.text_sql(carriers.PLAN_SEGMENTS)).alias("text"),
+                 F.lit("en").alias("language"))
+    d = detect_spans(t, SETTINGS, registry=_patterns("PHONE_PLAN"))
+    return d.select(F.col("seq").alias("c_custkey"), "start", "end", "original")
+
+
+def context_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2: context words in another form, and terms of several words, raise a hit's score as the listed form does."""
+    c = read_table(spark, sf_dir, "customer")
+    t = c.select(F.col("c_custkey").cast("string").alias("session_id"), F.col("c_custkey").alias("seq"), F.expr(carriers.text_sql(carriers.FORM_SEGMENTS)).alias("text"),
+                 F.lit("ru").alias("language"))
+    d = detect_spans(t, SETTINGS, registry=_patterns("VIN"))
+    return d.select(F.col("seq").alias("c_custkey"), "start", F.col("score").cast("double").alias("score"))
+
+
+def type_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: e-mail and card hits in documents by language and type, by language and in all (grouping sets)."""
+    d = read_table(spark, sf_dir, "documents")
+    t = _spread(texts_from(d, "doc_id", "text", language=F.lit("en"), session=F.col("lang")))
+    hits = detect_spans(t, SETTINGS, registry=_patterns("EMAIL", "CARD_SPACED", "CARD_AMEX", "CARD_PLAIN"))
+    return type_counts_by(hits.select(F.col("session_id").alias("lang"), canonical(F.col("entity_type")).alias("ctype")), "lang", "ctype")
+
+
 def _tuned(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         tune(spark)
@@ -381,5 +439,10 @@ QUERIES = {
     "masked_spans": masked_spans,
     "unmask_counts": unmask_counts,
     "mask_hint": mask_hint,
+    "gazetteer_hits": gazetteer_hits,
+    "mask_gazetteer": mask_gazetteer,
+    "detect_phone_plan": detect_phone_plan,
+    "context_forms": context_forms,
+    "type_rollup": type_rollup,
 }
 QUERIES = {k: _tuned(v) for k, v in QUERIES.items()}
