@@ -55,6 +55,24 @@ def located(gaps: Column, hits: Column) -> Column:
     return F.aggregate(pairs, init, step, lambda acc: items(acc["spans"]))
 
 
+WINDOW_CHARS = 1000
+
+
+def windows(text: Column, ahead: Column) -> Column:
+    """array<struct<base, p, n, t>>: a text cut into pieces of ``n`` characters from ``base`` on; ``t`` is the piece with the
+    ``p`` characters before it (0 or 1) and ``ahead`` characters after it.  A long text is read once, not once per position."""
+    size = F.greatest(ahead, F.lit(WINDOW_CHARS))
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.concat(F.lit("(?s).{1,"), size.cast("string"), F.lit("}")), 0)
+
+    def of(all_: Column):
+        def one(w: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.right(F.get(all_, i - 1), F.lit(1))).otherwise(F.lit(""))
+            after = F.coalesce(F.substring(F.get(all_, i + 1), F.lit(1), ahead), F.lit(""))
+            return F.struct((i * size).alias("base"), F.length(before).alias("p"), F.length(w).alias("n"), F.concat(before, w, after).alias("t"))
+        return F.transform(all_, one)
+    return F.transform(F.array(pieces), of)[0]
+
+
 def extract_spans(text: Column, regex: str) -> Column:
     """All non-overlapping matches of ``regex``: array<struct<start,end,hit>>."""
     text = F.coalesce(text, F.lit(""))

@@ -107,14 +107,14 @@ def _markers(new: DataFrame, taken: DataFrame, maxidx: DataFrame, s: C.Settings)
                     out.alias("out"), F.lit("marker").alias("kind"), idx.alias("index"))
 
 
-def _unused(df: DataFrame, batch_tokens: DataFrame, outs: DataFrame) -> DataFrame:
-    """Rows of ``session_id, cand`` whose candidate is in no text of the batch and not related to an out."""
+def _unused(df: DataFrame, batch_tokens: DataFrame, outs: DataFrame, shortest: int = MIN_SURROGATE_LEN) -> DataFrame:
+    """Rows of ``session_id, cand`` whose candidate is in no text of the batch and not related to an out (of ``shortest`` characters at least)."""
     df = df.join(batch_tokens.withColumnRenamed("tok", "cand"), ["session_id", "cand"], "left_anti")
     # not equal to / inside an out
     sub = outs.select("session_id", F.explode(substrings_min(F.col("out"), MIN_SURROGATE_LEN)).alias("cand")).distinct()
     df = df.join(sub, ["session_id", "cand"], "left_anti")
     # no out inside the candidate
-    inner = (df.select("session_id", "cand", F.explode(substrings_min(F.col("cand"), MIN_SURROGATE_LEN)).alias("out"))
+    inner = (df.select("session_id", "cand", F.explode(substrings_min(F.col("cand"), shortest)).alias("out"))
              .join(outs.select("session_id", "out"), ["session_id", "out"], "left_semi").select("session_id", "cand").distinct())
     return df.join(inner, ["session_id", "cand"], "left_anti")
 
@@ -136,11 +136,13 @@ def _surrogates(new: DataFrame, batch_tokens: DataFrame, stored_outs: DataFrame,
     cols = [*ent, "first_seq", "first_ord", "lang"]
     turn = F.struct("first_seq", "first_ord", "ctype", "original")
     waiting = _materialize(new.filter(F.col("ctype").isin(*s.surrogate_types)).select(*cols))
-    outs, placed, lo, step = stored_outs.select("session_id", "out"), None, 0, s.surrogate_candidates
+    outs, placed, lo, step = stored_outs.select("session_id", "out").where("out <> ''"), None, 0, s.surrogate_candidates
+    # outs that came from elsewhere may be shorter than any that is issued here
+    shortest = min(outs.agg(F.min(F.length("out"))).first()[0] or MIN_SURROGATE_LEN, MIN_SURROGATE_LEN)
     while True:
         c = waiting.select(*cols, F.posexplode(F.expr(G.candidates_sql(s, "session_id", "ctype", "original", lo, lo + step))).alias("salt", "cand"))
         # each entity's next candidate; an entity that loses it goes on with those after it
-        left = _materialize(_unused(c, batch_tokens, outs))
+        left = _materialize(_unused(c, batch_tokens, outs, shortest))
         while True:
             offers = _materialize(left.groupBy(*cols).agg(F.min(F.struct("salt", "cand")).alias("x")).select(*cols, "x.salt", "x.cand", turn.alias("turn")))
             if not offers.limit(1).count():

@@ -143,3 +143,17 @@ FORM_SEGMENTS = [
 def turn_text_sql() -> str:
     """A turn of a conversation (null: empty) with an address that all its turns share."""
     return f"(coalesce(text, '') || ' mail conv' || {_s('conv_id')} || '@mail.ru')"
+
+
+# A session as another system stores it: an out of eight digits, one of free text, a marker with another label.
+def imported_json_sql(key: str) -> str:
+    def entry(out, original, kind):
+        return f"concat('{{\"out\":\"', {out}, '\",\"original\":\"', {original}, '\",\"type\":\"INN\",\"kind\":\"{kind}\"}}')"
+    k = _s(key)
+    outs = (("lpad(" + k + ", 8, '7')", f"concat('INN-', {k})", "surrogate"), (f"concat('клиент №', {k}, '!')", f"concat('Client ', {k})", "surrogate"), ("'<Person 1>'", f"concat('P', {k})", "marker"))
+    return "concat('{\"language\":\"en\",\"entries\":[', " + ", ',', ".join(entry(*o) for o in outs) + ", ']}')"
+
+
+def imported_reply_sql(key: str) -> str:
+    k = _s(key)
+    return f"concat('😀 ', lpad({k}, 8, '7'), ' and клиент №', {k}, '!, <Person 1><Person 1> <Person 2>')"

@@ -249,7 +249,23 @@ UNION ALL
 SELECT s_suppkey, 'BIK' AS ctype, '04' || lpad(CAST(s_suppkey AS STRING), 7, '0') AS original,
        CAST(length('ООО ' || s_name || ' \n БИК ') AS INTEGER) AS start,
        CAST(length('ООО ' || s_name || ' \n БИК ') + 9 AS INTEGER) AS "end" FROM supplier""",
-    "stream_unmask": "SELECT doc_id, text FROM documents",
+    "stream_unmask": "SELECT doc_id, coalesce(text, '') AS text, CAST(0 AS INTEGER) AS still_clear, CAST(0 AS BIGINT) AS open_replies FROM documents",
+    "stream_sessions": f"""
+SELECT c_custkey, seq, CASE WHEN seq = 0 THEN 'Договор с ' WHEN c_custkey % 3 = 2 THEN {carriers.surname('c_custkey')} || ' готов' ELSE 'я 1] готов' END AS unmasked_text,
+       CASE WHEN seq = 1 AND c_custkey % 3 <> 2 THEN 'no_session' END AS reason, CAST(0 AS BIGINT) AS open_replies
+FROM customer, (SELECT unnest([0, 1])::BIGINT AS seq)""",
+    "stream_mask": f"SELECT conv_id, CAST(turn AS BIGINT) AS turn, {carriers.turn_text_sql()} AS text, CAST(0 AS INTEGER) AS still_clear, CAST(1 AS BIGINT) AS outs FROM conversations",
+    "unmask_imported": """
+SELECT c_custkey, '😀 INN-' || c_custkey || ' and Client ' || c_custkey || ', P' || c_custkey || 'P' || c_custkey || ' <Person 2>' AS text, CAST(4 AS INTEGER) AS tokens_replaced,
+       CASE WHEN c_custkey % 2 = 0 THEN 'contains_issued_token' END AS reason FROM customer""",
+    "store_log": """
+WITH n AS (SELECT DISTINCT c_nationkey AS k, CAST(c_nationkey AS VARCHAR) AS session_id FROM customer
+           UNION SELECT n_nationkey, CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey = 1),
+     g AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 1),
+     e AS (SELECT c_nationkey AS k, c_custkey % 2 AS odd, count(*) AS c FROM customer GROUP BY ALL),
+     s AS (SELECT n.k, session_id, n.k IN (SELECT k FROM g) AS back, session_id < '2' AS renewed FROM n)
+SELECT session_id, CASE WHEN back THEN 'en' ELSE 'ru' END AS language, t AS tokens_total, t AS outs
+FROM (SELECT *, CAST(coalesce((SELECT sum(c) FROM e WHERE e.k = s.k AND (odd = 1 OR NOT back)), 0) AS BIGINT) AS t FROM s) WHERE back OR renewed""",
     "detect_phone_number": detect_phone_number(),
     "context_boost": context_boost(),
     "masked_spans": masked_spans(),

@@ -4,7 +4,6 @@ exercise.  Oracles for the same keys are in :mod:`shroud.plans.oracles`."""
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +23,7 @@ from ..session import ensure_checkpoint_dir, scratch_path, tune
 from ..sources import store as S
 from ..sources.texts import read_table, texts_from
 from ..streaming.chunks import assemble, cut_chunks, run_stream_unmask
+from ..streaming.masking import run_stream_mask
 from . import carriers
 
 # Fixed secret for reproducible query results (tests and the oracle use the same).
@@ -282,23 +282,104 @@ def ner_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("x.start").alias("start"), F.col("x.end").alias("end")))
 
 
-def stream_unmask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S5, ST1-ST4, T6: masked documents cut into chunks and streamed through
-    the stateful unmask; the chunks of each session concatenate to the
-    original document."""
+def _scratch(spark, name):
     ensure_checkpoint_dir(spark)
-    base = scratch_path(spark, f"streams/{uuid.uuid4().hex}")
-    t = _spread(_docs(spark, sf_dir))
-    m = mask(t, SETTINGS)
-    m = m.checkpoint()
-    entries_view(m).select("session_id", "out", "original").write.parquet(os.path.join(base, "mapping"))
-    m.select("session_id").write.parquet(os.path.join(base, "sessions"))
-    cut_chunks(m.select("session_id", F.col("masked_text").alias("text"))).write.parquet(os.path.join(base, "chunks"))
-    run_stream_unmask(spark, os.path.join(base, "chunks"), os.path.join(base, "mapping"),
-                      os.path.join(base, "sessions"), os.path.join(base, "out"), os.path.join(base, "ckpt"),
-                      SETTINGS.mapping_ttl)
-    out = spark.read.parquet(os.path.join(base, "out"))
-    return assemble(out).select(F.col("session_id").cast("long").alias("doc_id"), F.col("unmasked_text").alias("text"))
+    return scratch_path(spark, f"{name}/{uuid.uuid4().hex}")
+
+
+def stream_unmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5, S6, ST1-ST4, T6: masked documents cut into chunks and streamed through
+    the chunk unmask; the chunks of each session concatenate to the original document, and no reply is left open."""
+    base, store = _scratch(spark, "streams"), _store(spark, "stream")
+    m = mask(_spread(_docs(spark, sf_dir)), SETTINGS).checkpoint()
+    now = F.expr(NOW)
+    store.add(entries_view(m), m.select("session_id", "language"), now, SETTINGS.mapping_ttl)
+    cut_chunks(m.select("session_id", F.col("masked_text").alias("text"))).write.parquet(f"{base}/chunks")
+    run_stream_unmask(spark, f"{base}/chunks", store, f"{base}/out", f"{base}/ckpt", SETTINGS, now=lambda epoch: F.expr(NOW))
+    out = assemble(spark.read.parquet(f"{base}/out"))
+    return out.join(m.select("session_id", _still_clear(m).alias("still_clear")), "session_id").crossJoin(F.broadcast(store.replies().agg(F.count("*").alias("open_replies")))).select(
+        F.col("session_id").cast("long").alias("doc_id"), F.col("unmasked_text").alias("text"), "still_clear", "open_replies")
+
+
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7, S8, ST3, ST6, F11: a reply per customer in two chunks that cut a marker.  Between them a third of the sessions
+    are deleted by delete events and another third expire: their second chunk comes back with a reason, and nothing stays held."""
+    base, store = _scratch(spark, "streams"), _store(spark, "stream-sessions")
+    c = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("session_id"), F.col("c_custkey").alias("k"))
+    entries = c.select("session_id", F.lit("ru").alias("language"), F.lit("[Имя 1]").alias("out"), F.expr(carriers.surname("k")).alias("original"), F.lit("PERSON").alias("type"),
+                       F.lit("marker").alias("kind"), F.lit(1).alias("index"), F.lit(0).cast("long").alias("seq"), F.lit(0).alias("ord"))
+    for third, age in ((0, 0), (1, 10), (2, 0)):             # the second third was written earlier and expires first
+        mine = c.where(F.col("k") % 3 == third).select("session_id", F.lit("ru").alias("language"))
+        store.add(entries.join(mine.select("session_id"), "session_id", "left_semi"), mine, F.expr(f"{NOW} - INTERVAL {age} SECONDS"), SETTINGS.mapping_ttl)
+    for seq, text in ((0, "Договор с [Им"), (1, "я 1] готов")):
+        c.select("session_id", F.lit("r").alias("reply_id"), F.lit(seq).cast("long").alias("seq"), F.lit(text).alias("text"), F.lit(seq == 1).alias("is_final")).coalesce(1).write.parquet(f"{base}/chunks/{seq}")
+        c.where((F.col("k") % 3 == 0) & F.lit(seq == 1)).select("session_id").coalesce(1).write.parquet(f"{base}/deletes/{seq}")
+    run_stream_unmask(spark, f"{base}/chunks/*", store, f"{base}/out", f"{base}/ckpt", SETTINGS, deletes_path=f"{base}/deletes/*", files_per_trigger=1,
+                      now=lambda epoch: F.expr(f"{NOW} + INTERVAL {epoch and SETTINGS.mapping_ttl - 5} SECONDS") if epoch < 2 else F.expr(f"{NOW} + INTERVAL 1 DAY"))
+    out = spark.read.schema("session_id string, reply_id string, seq long, unmasked_text string, reason string, epoch int").parquet(f"{base}/out")
+    return out.crossJoin(F.broadcast(store.replies().agg(F.count("*").alias("open_replies")))).select(
+        F.col("session_id").cast("long").alias("c_custkey"), "seq", "unmasked_text", "reason", "open_replies")
+
+
+def stream_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST5, S2, S3: turns of conversations masked in two micro-batches (session = conversation): the second continues the first's
+    entries; unmasked against the store, and the number of outs of each session."""
+    base, store = _scratch(spark, "streams"), _store(spark, "stream-mask")
+    c = read_table(spark, sf_dir, "conversations")
+    t = c.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("long").alias("seq"), F.expr(carriers.turn_text_sql()).alias("text"), F.lit("en").alias("language"),
+                 F.lit(False).alias("prepend_hint"))
+    half = t.groupBy("session_id").agg(F.min("seq").alias("first"))
+    t = t.join(half, "session_id")
+    for i in (0, 1):                                         # each conversation's first turn, then the others
+        t.where((F.col("seq") == F.col("first")) == F.lit(i == 0)).drop("first").coalesce(1).write.parquet(f"{base}/texts/{i}")
+    run_stream_mask(spark, f"{base}/texts/*", store, f"{base}/out", f"{base}/ckpt", SETTINGS, files_per_trigger=1, now=lambda epoch: F.expr(NOW))
+    masked = spark.read.parquet(f"{base}/out/masked")
+    mapping = store.mapping(F.expr(NOW)).checkpoint()
+    u = unmask(masked.select("session_id", "seq", F.col("masked_text").alias("text")), mapping, SETTINGS)
+    u = u.join(masked.select("session_id", "seq", _still_clear(masked).alias("still_clear")), ["session_id", "seq"]).join(
+        mapping.groupBy("session_id").agg(F.count(F.lit(1)).alias("outs")), "session_id")
+    return u.select(F.col("session_id").cast("long").alias("conv_id"), F.col("seq").alias("turn"), F.col("unmasked_text").alias("text"), "still_clear", "outs")
+
+
+def unmask_imported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions imported from JSON with outs of other shapes (eight digits, free text, a marker under another label);
+    replies are restored, and a text that holds such an out is refused."""
+    c = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_custkey").cast("string").alias("session_id"))
+    docs = c.select("session_id", F.expr(carriers.imported_json_sql("k")).alias("json"))
+    store = _store(spark, "import")
+    store.write(*S.import_json(docs, F.expr(NOW), SETTINGS.mapping_ttl))
+    now = F.expr(NOW)
+    replies = c.select("session_id", F.lit(0).cast("long").alias("seq"), F.expr(carriers.imported_reply_sql("k")).alias("text"))
+    u = unmask(replies, store.mapping(now), SETTINGS)
+    again = c.select("session_id", F.col("k").alias("seq"), F.expr("CASE WHEN k % 2 = 0 THEN concat('see ', lpad(CAST(k AS STRING), 8, '7')) ELSE 'nothing' END").alias("text"), F.lit("en").alias("language"))
+    refused = mask_sessions(again, SETTINGS, mapping=store.mapping(now), sessions=store.sessions(now), now=now).rejected
+    return u.join(refused.select("session_id", "reason"), "session_id", "left").select(F.col("session_id").cast("long").alias("c_custkey"), F.col("unmasked_text").alias("text"), "tokens_replaced", "reason")
+
+
+def store_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store after two appends, an append that is run again, a delete, a renewed life and a compaction."""
+    st = _store(spark, "log")
+    n = read_table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("session_id"), F.col("c_custkey").alias("k"))
+    touched = n.select("session_id", F.lit("ru").alias("language")).distinct()
+
+    def entries(of, rest):
+        return of.where(F.col("k") % 2 == rest).select("session_id", F.lit("ru").alias("language"), F.concat(F.lit("out-"), F.col("k").cast("string")).alias("out"), F.col("k").cast("string").alias("original"),
+                                                       F.lit("INN").alias("type"), F.lit("surrogate").alias("kind"), F.lit(None).cast("int").alias("index"), F.col("k").alias("seq"), F.lit(0).alias("ord"))
+
+    def at(seconds):
+        return F.expr(f"{NOW} + INTERVAL {seconds} SECONDS")
+
+    st.add(entries(n, 0), touched, at(0), SETTINGS.mapping_ttl, key="first")
+    for _ in range(2):                                       # run again: the same rows
+        st.add(entries(n, 1), touched.where("session_id < '2'"), at(100), SETTINGS.mapping_ttl, key="second")
+    gone = read_table(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").cast("string").alias("session_id"))
+    st.delete(gone, at(100))
+    back = gone.select("session_id", F.lit("en").alias("language"))
+    st.add(entries(n.join(gone, "session_id", "left_semi"), 1), back, at(150), SETTINGS.mapping_ttl)
+    st.compact(at(150))
+    summary = S.session_summary(st.mapping(at(350)))
+    return st.sessions(at(350)).join(summary, "session_id", "left").select("session_id", "language", F.coalesce("tokens_total", F.lit(0)).cast("long").alias("tokens_total"),
+                                                                          F.coalesce("outs", F.lit(0)).cast("long").alias("outs"))
 
 
 def detect_phone_number(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -444,5 +525,9 @@ QUERIES = {
     "detect_phone_plan": detect_phone_plan,
     "context_forms": context_forms,
     "type_rollup": type_rollup,
+    "stream_sessions": stream_sessions,
+    "stream_mask": stream_mask,
+    "unmask_imported": unmask_imported,
+    "store_log": store_log,
 }
 QUERIES = {k: _tuned(v) for k, v in QUERIES.items()}

@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from shroud.functions import spans
 from shroud.functions.phones import PLAN
 from shroud.functions.spans import SPAN_TYPE, stem, stemmed
 from shroud.operators import gazetteer as Z
@@ -47,7 +48,7 @@ NAMES = [("Acme", "ORG"), ("Acme Trading Ltd.", "ORG"), ("Trading Ltd", "ORG"),
 
 @pytest.mark.parametrize("limit", [Z.BROADCAST_BYTES, 0])
 def test_names(spark, monkeypatch, limit):
-    monkeypatch.setattr(Z, "WINDOW_CHARS", 24)
+    monkeypatch.setattr(spans, "WINDOW_CHARS", 24)
     texts = ["acme trading ltd and Acme, acmes", "😀 😀 Acme Trading Ltd; Trading Ltd", "Jean-Luc O'Neil met ЖАН ВАЛЬЖАН.", "New York New  York", "", None, "日本 日本語", "x" * 100 + " Acme " + "word " * 40 + "Acme Trading Ltd"]
     got = found(spark, texts, NAMES, broadcast_bytes=limit)
     assert got == plain(texts, NAMES)
@@ -55,7 +56,7 @@ def test_names(spark, monkeypatch, limit):
 
 
 def test_random_names(spark, monkeypatch):
-    monkeypatch.setattr(Z, "WINDOW_CHARS", 16)
+    monkeypatch.setattr(spans, "WINDOW_CHARS", 16)
     rng = random.Random(5)
     words = ["a", "b", "ab", "ba", "aé"]
     names = [(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))), rng.choice("XY")) for _ in range(12)]
