@@ -308,11 +308,68 @@ def test_toxicity_on_held_out_rows(spark):
     texts, toxic = toxic_rows()
     df = docs(spark, texts + [None, "", "idiot " * 5000], list(range(400)) + [400, 401, 402])
     labels = spark.createDataFrame([(i, 1, y) for i, y in enumerate(toxic) if i % 2] + [(1, 0, 0), (None, 0, 1), (3, 0, None), (9999, 0, 1)], "doc_id long, quality int, toxic int")
-    out = {r.doc_id: r for r in toxicity.score(df, toxicity.train_on(df, labels)).collect()}
+    chain = toxicity.train_on(df, labels)
+    assert chain.names == ["poor", "group_1", "group_2", "group_3", "toxic"]
+    out = {r.doc_id: r for r in toxicity.score(df, chain).collect()}
     wrong = [i for i in range(0, 400, 2) if out[i].toxic != bool(toxic[i])]
     assert len(wrong) <= 4 and len(out) == 403
     assert not out[400].toxic and not out[401].toxic and out[402].toxic
-    assert all(0 <= out[i][f"p_{c}"] <= 1 for i in out for c in (*toxicity.SEEDS, "unlisted", "toxic"))
+    assert all(0 <= out[i][f"p_{c}"] <= 1 for i in out for c in chain.names)
+
+
+def test_chain_against_plain(spark):
+    """Counts, weights, summaries and out-of-fold inputs once more, word by word."""
+    texts, toxic = toxic_rows(150)
+    texts[7] = ""
+    rows = spark.createDataFrame([(i, t, y, int(i % 4 == 0)) for i, (t, y) in enumerate(zip(texts, toxic))], "doc_id long, text string, toxic int, poor int")
+    chain = toxicity.train(rows, "toxic", earlier=("poor",), n_groups=0)
+    hashes = {r.doc_id: r.h for r in rows.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).collect()}
+    order = sorted(range(150), key=lambda i: hashes[i])
+    fold = {i: (hashes[i] >> 3) % 3 for i in order}
+    place = {}
+
+    def places(i):
+        found = set()
+        for w in brute.words(texts[i]):
+            for piece in {w, *(w.encode()[:p] + bytes([p]) for p in (4, 5, 6) if len(w.encode()) > p)}:
+                if piece not in place:
+                    _, codes, _ = toxicity.word_codes([(w if isinstance(piece, str) else w).encode()])
+                    kind = 0 if isinstance(piece, str) else piece[-1] - 3
+                    place[piece] = int(words.mix(codes[kind].copy())[0] % np.uint64(toxicity.SPACE))
+                found.add(place[piece])
+        return found
+
+    own, ys = {i: places(i) for i in order}, {"poor": {i: int(i % 4 == 0) for i in order}, "toxic": dict(enumerate(toxic))}
+
+    def weigh(inside, y):
+        n, total = len(inside), sum(y[i] for i in inside)
+        every, pos = collections.Counter(p for i in inside for p in own[i]), collections.Counter(p for i in inside if y[i] for p in own[i])
+
+        def of(p):
+            a, b = pos[p] + 0.5, every[p] - pos[p] + 0.5
+            return math.log(a / (total + 1) / (b / (n - total + 1))) / math.sqrt(1 / a + 1 / b)
+        return of
+
+    def summary(i, of):
+        w = sorted((of(p) for p in own[i]), reverse=True)
+        strong = [x for x in w if x > 1]
+        return [sum(strong[:k]) / k for k in (1, 2, 4, 8)] + [math.log1p(sum(x > t for x in strong)) for t in (1, 2, 3, 5)] + [sum(x for x in w if x < 0) / max(len(w), 1), math.log1p(len(w)) / 5]
+
+    before = np.zeros((150, 0))
+    for j, name in enumerate(("poor", "toxic")):
+        y = np.array([ys[name][i] for i in order], float)
+        parts = [weigh([i for i in order if fold[i] != f], ys[name]) for f in range(3)]
+        x = np.array([summary(i, parts[fold[i]]) for i in order])
+        np.testing.assert_allclose(chain.mean[j], x.mean(0), rtol=1e-4, atol=1e-5)
+        more = np.hstack([(x - x.mean(0)) / (x.std(0) + 1e-6), before])
+        f, oof = np.array([fold[i] for i in order]), np.zeros(150)
+        for k in range(3):
+            _, v, c = toxicity.fit(np.zeros(0, int), np.zeros(0, int), 0, more[f != k], y[f != k], steps=600)
+            oof[f == k] = 1 / (1 + np.exp(-(more[f == k] @ v + c)))
+        _, v, c = toxicity.fit(np.zeros(0, int), np.zeros(0, int), 0, more, y, steps=600)
+        np.testing.assert_allclose([*chain.linear[j], *chain.links[:j, j], chain.bias[j]], [*v, c], rtol=1e-2, atol=1e-3)
+        before = np.hstack([before, oof[:, None]])
+    assert abs(chain.threshold - toxicity.best_threshold(before[:, 1], y)) < 1e-2
 
 
 def test_toxicity_without_labels(spark):
