@@ -15,7 +15,8 @@ comparisons but not a row per pair.
 
 Defined results: vectors that are null, empty, zero, or hold nulls or
 non-finite numbers have no links and are components of their own; vectors of
-different lengths do not link; repeated rows are copies that link; null ids
+different lengths do not link; huge and tiny finite components are compared as any (all of a
+vector are scaled by one power of two first); repeated rows are copies that link; null ids
 name a component only if it has no other; other columns are passed by; an
 empty table gives no rows.
 """
@@ -88,7 +89,9 @@ def link(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", least
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             usable, rows = matrix(b.column(1))
-            data = [x.astype("<f8").tobytes() if x is not None and x.any() else None for x in rows]
+            # a power of two on all components changes no cosine, and keeps norms of huge and tiny ones in range
+            rows = [np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])) if x is not None and x.any() else None for x in rows]
+            data = [x.astype("<f8").tobytes() if x is not None else None for x in rows]
             node = [hashlib.blake2b(x, digest_size=16).hexdigest() if x else None for x in data]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.string()), pa.array(data, pa.binary())], ["k", "node", "data"])
 

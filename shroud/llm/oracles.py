@@ -52,7 +52,54 @@ SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, n, score FROM kept JO
 WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
 QUALIFY row_number() OVER o <= 2000"""
 
+_WARC = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS b, sha256(coalesce(html, '')) AS s FROM pages),
+     f AS (SELECT s, min(page_id) AS m FROM p WHERE b >= 100 GROUP BY s)
+SELECT page_id, b AS payload_bytes, s AS payload_digest, CASE WHEN m <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN m <> page_id THEN m END AS refers_to, CAST(NULL AS VARCHAR) AS error
+FROM p LEFT JOIN f USING (s)"""
+
+_SEARCH = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20"""
+
+#: Least reachable id: ids and links spread until nothing changes (a plain closure, for small tables).
+_REACH = """reach AS (
+  SELECT id AS a, id AS b FROM ids UNION SELECT reach.a, l.b FROM reach JOIN links l ON l.a = reach.b
+), least AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
+
+_NEAR = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), n AS (SELECT id, e, sqrt(list_dot_product(e, e)) AS size FROM v WHERE list_dot_product(e, e) > 0),
+links AS (SELECT x.id AS a, y.id AS b FROM n x JOIN n y ON x.id <> y.id AND list_dot_product(x.e, y.e) / (x.size * y.size) >= 0.95),
+ids AS (SELECT vec_id AS id FROM embeddings), {_REACH}
+SELECT id AS vec_id, (SELECT count(*) FROM links WHERE links.a = least.id) AS n_links, component_id, id = component_id AS kept FROM least"""
+
+_JACCARD = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s FROM w
+), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+ids AS (SELECT doc_id AS id FROM documents),
+common AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM s x JOIN s y USING (s) WHERE x.id <> y.id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * c >= 80 * (x.n + y.n - c)), {_REACH}
+SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id FROM least LEFT JOIN n USING (id)"""
+
 ORACLES: dict[str, str] = {
+    "op2_warc": _WARC,
+    "op6_embeddings": _NEAR,
+    "op7_jaccard": _JACCARD,
+    "op8_search": _SEARCH,
     "op12_phrases": _PHRASES,
     "op13_negatives": _NEGATIVES,
 }

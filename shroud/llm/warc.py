@@ -20,6 +20,7 @@ differs comes back with its ``error`` (of the first kind, the archive ends there
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -161,15 +162,23 @@ class Reader:
 
 
 def parse_headers(data: bytes) -> dict[str, str]:
-    lines = data.decode("utf-8", "replace").split("\r\n")
+    """Header fields by lower-case name; a line that starts with a space or tab goes on with the one before."""
+    lines = data.decode("utf-8", "replace").replace("\r\n ", " ").replace("\r\n\t", " ").split("\r\n")
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
 def _digest_error(said: str | None, data: bytes, what: str) -> str | None:
+    """Digests may be written in hex or in base32, the usual form elsewhere; what cannot be checked is said to be so."""
     if said is None:
         return None
     kind, _, value = said.partition(":")
-    return None if hashlib.new(kind, data).hexdigest() == value.lower() else f"{what} digest differs"
+    try:
+        digest = hashlib.new(kind.strip().lower().replace("-", ""), data).digest()
+    except (ValueError, TypeError):
+        return f"{what} digest not verified: unknown algorithm {kind}"
+    value = value.strip()
+    right = value.lower() == digest.hex() or value.upper().rstrip("=") == base64.b32encode(digest).decode().rstrip("=")
+    return None if right else f"{what} digest differs"
 
 
 def parse(headers: dict[str, str], block: bytes, error: str | None) -> tuple:

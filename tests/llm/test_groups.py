@@ -443,3 +443,16 @@ def test_words_beyond_a_segment():
     long = b"q" * (words.LONG_WORD + 5)
     h, first = word_hashes([long + b" a " + b"w " * (words.SEGMENT // 2 + 10) + long, b"a"])
     assert h[0] == h[-2] and h[1] == h[-1] and first.tolist()[-1] == len(h)
+
+
+def test_huge_and_tiny_components_link_as_any(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e-200, 1e-200]), (3, [1.0, 1.0]), (4, [2.0, 2.0]), (5, [5e-324, -5e-324]), (6, [1.7e308, -1.7e308]), (7, [0.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    text = prose(random.Random(3), 60)
+    df = spark.createDataFrame([(1, text, "a", 7, "x"), (2, text, "b", 8, "y"), (2, text, "b", 8, "y"), (None, "other " + text[::-1], "c", None, None)], "doc_id long, text string, _digest string, of int, row string")
+    got = corpus_pipeline.distinct_documents(spark, df, "")
+    assert got.columns == df.columns and sorted((r.doc_id or 0, r._digest, r.of, r.row) for r in got.collect()) == [(0, "c", None, None), (1, "a", 7, "x")]

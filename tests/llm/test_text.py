@@ -223,3 +223,13 @@ def test_redact_keeps_everything_else(spark):
         if not base_spans(t) and i not in (9, 12):
             assert out[i].text == t
     assert out[11].text == "[SECRET]"
+
+
+def test_digests_of_other_writers():
+    import base64
+    sha1 = base64.b32encode(hashlib.sha1(b"abc").digest()).decode()
+    for said, want in ((None, None), (f"sha1:{sha1}", None), (f"SHA-1:{sha1.lower()}", None), (f"sha1:{hashlib.sha1(b'abc').hexdigest().upper()}", None), (f"sha256:{hashlib.sha256(b'abc').hexdigest()}", None),
+                       ("sha1:AAAA", "block digest differs"), ("whirl:00", "block digest not verified: unknown algorithm whirl"), ("shake_128:00", "block digest not verified: unknown algorithm shake_128"),
+                       ("", "block digest not verified: unknown algorithm ")):
+        assert warc._digest_error(said, b"abc", "block") == want, said
+    assert warc.parse_headers(b"WARC/1.1\r\nA: b\r\n  c\r\nD:e") == {"a": "b  c", "d": "e"}
