@@ -33,12 +33,12 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     rows of one id, of the least digest).  Rows equal in all columns are one; other rows go by themselves, whatever their ids.
     """
     small_batches(spark)
-    digest = F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), {"ignoreNullFields": "false"}), 256))
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", digest.alias("digest")).alias("_row")
-    found = jaccard.join(docs.select(row, "text"), key="_row")
-    gone = found.where(F.col("_row") != F.col("component_id")).select(F.col("_row.digest").alias("_digest")).distinct()
-    kept = docs.withColumn("_digest", digest).join(gone, "_digest", "left_anti")
-    return kept.dropDuplicates(["_digest"]).select(*docs.columns)
+    rows = docs.select(F.struct("doc_id", "text").alias("of"), F.struct("*").alias("row"))    # no column of docs meets one of ours
+    rows = rows.withColumn("digest", F.unhex(F.sha2(F.to_json("row", {"ignoreNullFields": "false"}), 256)))
+    name = F.struct(F.col("of.doc_id").isNull().alias("none"), F.col("of.doc_id"), "digest").alias("name")
+    found = jaccard.join(rows.select(name, F.col("of.text").alias("text")), key="name")
+    gone = found.where(F.col("name") != F.col("component_id")).select(F.col("name.digest").alias("digest")).distinct()
+    return rows.join(gone, "digest", "left_anti").dropDuplicates(["digest"]).select("row.*")
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
