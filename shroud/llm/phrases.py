@@ -44,9 +44,10 @@ from .common import scratch, written
 from .wire import groups, rows
 from .words import BASE, LOWER, hashed, mix
 
-SHARDS = 4
+SHARDS = 2
 FILTER_BITS = 22
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+HELD_KEYS = 1 << 21
 RANGE_WORDS = 2_000_000
 LONGEST = 4
 WHITE = b" \t"
@@ -79,6 +80,21 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(wide(data), dtype=np.uint64)
 
 
+def few(counts: np.ndarray) -> bytes:
+    """Counts, mostly small: a byte each, and the places and values of those that do not fit."""
+    large = np.flatnonzero(counts > 254)
+    body = np.minimum(counts, 255).astype(np.uint8)
+    return len(large).to_bytes(8, "little") + large.astype("<u8").tobytes() + counts[large].astype("<u8").tobytes() + body.tobytes()
+
+
+def counts_of(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    large, values = np.frombuffer(data, "<u8", n, 8), np.frombuffer(data, "<u8", n, 8 + 8 * n)
+    out = np.frombuffer(data, np.uint8, offset=8 + 16 * n).astype(np.int64)
+    out[large.astype(np.int64)] = values.astype(np.int64)
+    return out
+
+
 def segments(data: bytes, size: int) -> Iterator[tuple[bytes, int]]:
     """A text in parts of about ``size`` bytes, and how many words at the start of a part stand in the one before too."""
     a = lead = cut = 0
@@ -211,7 +227,22 @@ def scanned(corpus: DataFrame, scan: int, filters, bits: int, shards: int, range
     """``lang, part, n, since, keys, counts``: words and active phrases of one shard, a row per block, length and range."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, out = filters.value, []
+        table, held, size = filters.value, {}, 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            """What the task has counted so far, a row per language, length and range."""
+            out = []
+            for (lang, n), parts in held.items():
+                keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+                counts = np.bincount(inverse, np.concatenate([c for _, c in parts]).astype(float), len(keys)).astype(np.int64)
+                part = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+                cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
+                for a, z in zip(cuts, [*cuts[1:], len(keys)]):
+                    out.append((lang, int(part[a]), n, scan, packed(keys[a:z]), few(counts[a:z])))
+            held.clear()
+            for a in range(0, len(out), 64):
+                yield sent(out[a:a + 64], COUNTS)
+
         for lang, lead, kinds, numbers in rows(batches):
             kinds, numbers = unpacked(kinds), np.frombuffer(numbers, f"<u{numbers[0]}", offset=1)
             for n, at, keys, since in levels(kinds, numbers, lead, lang, table, bits):
@@ -224,15 +255,12 @@ def scanned(corpus: DataFrame, scan: int, filters, bits: int, shards: int, range
                     keys, counts = kinds[counts > 0], counts[counts > 0]
                 else:
                     keys, counts = np.unique(keys[mine], return_counts=True)
-                part = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-                cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
-                for a, z in zip(cuts, [*cuts[1:], len(keys)]):
-                    out.append((lang, int(part[a]), n, scan, packed(keys[a:z]), thin(counts[a:z])))
-            if len(out) >= 256:
-                yield sent(out, COUNTS)
-                out = []
-        if out:
-            yield sent(out, COUNTS)
+                held.setdefault((lang, n), []).append((keys, counts.astype(np.uint32)))
+                size += len(keys)
+            if size > HELD_KEYS:
+                yield from flushed()
+                size = 0
+        yield from flushed()
 
     return corpus.where(F.col("shard") == (scan - 1) % shards).select("lang", "lead", "kinds", "numbers").mapInArrow(count, schema(COUNTS))
 
@@ -259,13 +287,13 @@ def merged(counts: DataFrame, scan: int, shards: int, least: int, bits: int) ->
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (lang, part, n), held in groups(rows(batches), 3):
             out = []
-            new = [(unpacked(r[4]), wide(r[5])) for r in held if r[3] == scan]
+            new = [(unpacked(r[4]), counts_of(r[5])) for r in held if r[3] == scan]
             keys, total = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             if new:
                 keys, inverse = np.unique(np.concatenate([k for k, _ in new]), return_inverse=True)
                 total = np.bincount(inverse, np.concatenate([c for _, c in new]).astype(float), len(keys)).astype(np.int64)
             fresh = np.ones(len(keys), bool)
-            lots = [(r[3], unpacked(r[4]), wide(r[5]).astype(np.int64)) for r in held if r[3] != scan]
+            lots = [(r[3], unpacked(r[4]), counts_of(r[5])) for r in held if r[3] != scan]
             for since, k, c in [*lots, (scan, None, None)]:
                 if k is None:
                     k, before, c = keys[fresh], np.zeros(int(fresh.sum()), np.int64), total[fresh]
@@ -283,9 +311,9 @@ def merged(counts: DataFrame, scan: int, shards: int, least: int, bits: int) ->
                     out.append((lang, part, n, since, thin(slots.astype(np.uint64)), b"", REACHED))
                 if scan >= (shards if n == 1 else since + shards - 1):
                     if (c >= least).any():
-                        out.append((lang, part, n, since, packed(k[c >= least]), thin(c[c >= least]), DONE))
+                        out.append((lang, part, n, since, packed(k[c >= least]), few(c[c >= least]), DONE))
                 else:
-                    out.append((lang, part, n, since, packed(k), thin(c), STATE))
+                    out.append((lang, part, n, since, packed(k), few(c), STATE))
             if out:
                 yield sent(out, COUNTS + KIND)
 
@@ -323,7 +351,7 @@ def counted(corpus: DataFrame, *, least: int, shards: int, bits: int, ranges: in
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, n, keys, counts in rows(batches):
-            k, c = unpacked(keys), wide(counts).astype(np.int64)
+            k, c = unpacked(keys), counts_of(counts)
             k, c = k[c >= least], c[c >= least]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(np.full(len(k), n, np.int32)), pa.array(k.view(np.int64)), pa.array(c)], ["lang", "n", "key", "f"])
 
@@ -418,7 +446,7 @@ def mine(df: DataFrame, *, lang: str = "lang", text: str = "text", least: int =
                 yield pa.RecordBatch.from_arrays([pa.array(k[at].view(np.int64)), pa.array([w[i].decode("utf-8", "replace") for i in at])], ["word", "spelling"])
 
     asked = kept.select("lang", "n", "key", F.posexplode("words").alias("i", "word"))
-    spelling = corpus.select("lang", "kinds", "words").mapInArrow(spelt, "word long, spelling string").join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.first("spelling").alias("spelling"))
+    spelling = corpus.select("lang", "kinds", "words").mapInArrow(spelt, "word long, spelling string").groupBy("word").agg(F.first("spelling").alias("spelling"))
     phrase = asked.join(spelling, "word").groupBy("lang", "n", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "spelling"))), lambda x: x["spelling"]), " ").alias("phrase"))
     out = kept.select("lang", "n", "key", "a").join(cuts, ["lang", "n", "key"]).join(phrase, ["lang", "n", "key"])
     out = out.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
