@@ -46,6 +46,8 @@ from .words import BASE, LOWER, hashed, mix
 
 SHARDS = 2
 FILTER_BITS = 22
+NAME_BITS = 23
+NAMINGS = 8
 BLOCK_BYTES = 2 << 20
 HELD_KEYS = 1 << 21
 RANGE_WORDS = 2_000_000
@@ -361,35 +363,53 @@ def counted(corpus: DataFrame, *, least: int, shards: int, bits: int, ranges: in
     return functools.reduce(DataFrame.unionByName, tables).mapInArrow(listed, "lang string, n int, key long, f long"), filters
 
 
-def named(corpus: DataFrame, filters: np.ndarray, bits: int) -> DataFrame:
-    """``lang, n, key, words, lefts, rights, inner``: each phrase that may be frequent, with its words' hashes, the keys of
-    both parts of each cut, and the keys of the shorter phrases in it; repeated over blocks."""
-    spark = corpus.sparkSession
-    shared = spark.sparkContext.broadcast(filters)
+def classes(found: DataFrame, bits: int) -> np.ndarray:
+    """A filter of the phrases in ``found``: at both places of each the class of its count (the number of its binary digits)."""
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lang, key, size = np.array(b.column(0).to_pylist(), object), b.column(1).to_numpy().view(np.uint64), np.frexp(b.column(2).to_numpy().astype(float))[1].astype(np.int32)
+            for name in np.unique(lang):
+                own = lang == name
+                two = np.concatenate(places(key[own], name, bits))
+                yield pa.RecordBatch.from_arrays([pa.array(two.astype(np.int32)), pa.array(np.tile(size[own], 2))], ["slot", "size"])
+
+    got = found.select("lang", "key", "f").mapInArrow(slots, "slot int, size int").groupBy("slot").agg(F.max("size").alias("size")).toArrow()   # bounded by the filter's size
+    out = np.zeros(1 << bits, np.uint8)
+    out[got.column("slot").to_numpy()] = got.column("size").to_numpy()
+    return out
+
+
+def named(corpus: DataFrame, filters: np.ndarray, bits: int, asked: np.ndarray, blocks_: int) -> DataFrame:
+    """``lang, n, key, words, lefts, rights, inner``: phrases that may be among those asked for, with their words' hashes, the keys of
+    both parts of each cut, and the keys of the shorter phrases in it.
+
+    A phrase that stands in many blocks is named by some of them, by a hash of phrase and block: about ``NAMINGS`` of as
+    many as its count allows, so that the rows grow with the phrases and not with phrases times blocks."""
+    shared = corpus.sparkSession.sparkContext.broadcast((filters, asked))
+    name_bits = len(asked).bit_length() - 1
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = shared.value, {}
+        table, wanted = shared.value
         for lang, lead, kinds, numbers in rows(batches):
+            seed = np.uint64(zlib.crc32(numbers[:4096]) * 0x9E3779B1 ^ len(numbers))
             kinds, numbers = unpacked(kinds), np.frombuffer(numbers, f"<u{numbers[0]}", offset=1)
-            word = np.zeros(len(numbers), np.uint64)
             key_at: list[np.ndarray] = []
             for n, at, keys, _ in levels(kinds, numbers, lead, lang, table, bits):
                 key_at.append(np.zeros(len(numbers) + LONGEST, np.uint64))
                 key_at[-1][at] = keys
                 if n == 1:
                     continue
-                a, b = places(keys, lang, bits)
-                some = (table[n - 1, a] > 0) & (table[n - 1, b] > 0)
+                a, b = places(keys, lang, name_bits)
+                size = np.minimum(wanted[a], wanted[b])
+                some = np.flatnonzero(size)
                 k, first = np.unique(keys[some], return_index=True)
-                old = seen.get((lang, n), np.zeros(0, np.uint64))
-                new = ~np.isin(k, old)
-                k, at = k[new], at[some][first[new]]
+                at = at[some][first]
+                most = np.minimum(np.exp2(size[some][first].astype(float)), blocks_)
+                mine = (most <= 1) | ((mix(k ^ seed) >> np.uint64(11)).astype(float) / (1 << 53) < NAMINGS / most)
+                k, at = k[mine], at[mine]
                 if not len(k):
                     continue
-                if sum(map(len, seen.values())) > 1 << 21:   # bounded: what was sent is forgotten
-                    seen.clear()
-                    old = k[:0]
-                seen[lang, n] = np.union1d(old, k)
                 signed = [x.view(np.int64) for x in key_at]
 
                 def listed(parts: list[np.ndarray]) -> pa.Array:
@@ -401,8 +421,9 @@ def named(corpus: DataFrame, filters: np.ndarray, bits: int) -> DataFrame:
                      listed([signed[m - 1][at + i] for m in range(2, n) for i in range(n - m + 1)])],
                     ["lang", "n", "key", "words", "lefts", "rights", "inner"])
 
-    return corpus.select("lang", "lead", "kinds", "numbers").mapInArrow(
+    found = corpus.select("lang", "lead", "kinds", "numbers").mapInArrow(
         find, "lang string, n int, key long, words array<long>, lefts array<long>, rights array<long>, inner array<long>")
+    return found.groupBy("lang", "n", "key").agg(*[F.first(c).alias(c) for c in ("words", "lefts", "rights", "inner")])
 
 
 def mine(df: DataFrame, *, lang: str = "lang", text: str = "text", least: int = 30, share: int = 80, top: int | None = 2000, shards: int = SHARDS,
@@ -417,8 +438,12 @@ def mine(df: DataFrame, *, lang: str = "lang", text: str = "text", least: int =
     found, filters = counted(corpus, least=least, shards=shards, bits=filter_bits, ranges=max(1, min(1 << 31, words // range_words)))
     found = written(found, "counts")
     frequent = found.where("n > 1").withColumnRenamed("f", "a")
-    phrases = named(corpus, filters, filter_bits).groupBy("lang", "n", "key").agg(*[F.first(c).alias(c) for c in ("words", "lefts", "rights", "inner")])
-    phrases = written(frequent.join(phrases, ["lang", "n", "key"]), "named")
+    n_blocks = corpus.count()
+    some = named(corpus, filters, filter_bits, classes(found.where("n > 1"), NAME_BITS), n_blocks)
+    some = written(frequent.join(some, ["lang", "n", "key"]), "named")
+    left = written(frequent.join(some.select("lang", "n", "key"), ["lang", "n", "key"], "left_anti"), "unnamed")    # whatever no block has named
+    rest = named(corpus, filters, filter_bits, classes(left.select("lang", "key", F.lit(1).cast("long").alias("f")), NAME_BITS), 1)
+    phrases = written(some.unionByName(left.join(rest, ["lang", "n", "key"]).select(*some.columns)), "phrases")
 
     # the cut with the lowest score
     cuts = phrases.select("lang", "n", "key", "a", F.posexplode(F.arrays_zip("lefts", "rights")).alias("k", "x")).select("lang", "n", "key", "a", "k", F.col("x.lefts").alias("left"), F.col("x.rights").alias("right"))

@@ -155,6 +155,7 @@ def prose():
 @pytest.mark.parametrize("shards, bits, size, ranges, least", [(3, 16, 400, 200, 5), (1, 22, 1 << 20, 10 ** 9, 30), (4, 3, 900, 100, 3)])
 def test_phrases_against_plain(spark, prose, monkeypatch, shards, bits, size, ranges, least):
     monkeypatch.setattr(phrases, "HELD_KEYS", 300)
+    monkeypatch.setattr(phrases, "NAMINGS", 0.5)             # many phrases wait for the second naming
     df = spark.createDataFrame([(i, lang, t, "x", 1) for i, (lang, t) in enumerate(prose)], "n long, lang string, text string, kinds string, shard int").repartition(4)
     got = phrases.mine(df, least=least, share=80, top=40, shards=shards, filter_bits=bits, block_bytes=size, range_words=ranges)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
