@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows a batch sent to a Python worker holds at most; texts are long, so the default of 10 000 is too many."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int | None = None) -> None:
+    """Rows a batch sent to a Python worker holds at most; texts are long, so the default of 10 000 is too many.
+
+    ``size`` bounds its bytes too, for operators whose own tables have rows of megabytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if size is None:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    else:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

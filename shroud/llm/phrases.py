@@ -49,7 +49,7 @@ FILTER_BITS = 22
 NAME_BITS = 23
 NAMINGS = 8
 BLOCK_BYTES = 2 << 20
-HELD_KEYS = 1 << 21
+HELD_KEYS = 1 << 20
 RANGE_WORDS = 2_000_000
 LONGEST = 4
 WHITE = b" \t"

@@ -35,7 +35,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, size=4 << 20)
     return suffix.dedup(table(spark, sf_dir, "documents"), length=200, keep_bytes=False)
 
 
@@ -76,7 +76,7 @@ def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, size=4 << 20)
     return phrases.mine(table(spark, sf_dir, "documents"), least=30, share=80, top=2000)
 
 
