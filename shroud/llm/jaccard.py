@@ -342,7 +342,7 @@ def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int =
     several = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("gram")
     postings = written(postings.join(several, "gram"), "postings")
 
-    links = label = None
+    label = None
     for turn in range(hub_rounds + 1):
         if label is not None:
             postings = postings.drop("component").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -351,8 +351,11 @@ def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int =
         else:
             postings = postings.withColumn("component", F.col("id"))
         if turn == hub_rounds:
-            found = written(open_links(postings, nodes, percent), "found")
-            links = found if links is None else links.unionByName(found)
+            if postings.count():
+                found = written(open_links(postings, nodes, percent), "found")
+                # components so far, as stars, and the links between them
+                links = found if label is None else label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found)
+                label = components(links)
             break
         # Each n-gram's hub is its first member in an order that changes with the round; a set takes one hub only.
         order = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id"), F.col("n").alias("m"), F.col("component").alias("k"))
@@ -363,9 +366,9 @@ def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int =
         size = nodes.select(F.col("id"), F.col("n"))
         total = overlaps(pairs, nodes).join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
         found = written(total.where(f"100 * overlap >= {percent} * (na + nb - overlap)").select("a", "b"), "found")
-        links = found if links is None else links.unionByName(found)
+        links = found if label is None else label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found)
         label = written(components(links), "labels")
-    label = components(links).toDF("node", "component")
+    label = label.toDF("node", "component") if label is not None else equal.select("node", F.col("node").alias("component")).limit(0)
     placed = rows.select("id", "k", "n", "set").join(equal, "set", "left").join(label, "node", "left")
     placed = placed.withColumn("component", F.coalesce("component", "node", "id"))
     names = placed.groupBy("component").agg(F.min("k").alias("component_id"))

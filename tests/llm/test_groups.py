@@ -86,7 +86,9 @@ def test_jaccard_odd_tables(spark):
     assert sorted((r["node"], r.component_id) for r in jaccard.join(named, key="node", text="set").collect()) == [(0, 0), (1, 0)]
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("size", [1 << 18, 16])
+def test_components_of_chains_and_stars(spark, size, monkeypatch):
+    monkeypatch.setattr(graph, "LINKS", size)                # beyond it, rounds of joins
     rng, u, links = random.Random(3), brute.Union(), []
     order = list(range(200))
     rng.shuffle(order)
@@ -98,6 +100,11 @@ def test_components_of_chains_and_stars(spark):
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: u.root(x) for a, b in links if a != b for x in (a, b)}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    named = spark.createDataFrame([(f"x{a:03}" if a % 2 else f"я{a:03}", f"x{b:03}" if b % 2 else f"я{b:03}") for a, b in links], "a string, b string")
+    by_name = {r.id: r.component for r in graph.components(named).collect()}
+    for x, r in by_name.items():
+        group = [y for y in by_name if by_name[y] == r]
+        assert r == min(group, key=str.encode) and {int(y[1:]) for y in group} == {y for y in got if got[y] == got[int(x[1:])]}
 
 
 @pytest.mark.parametrize("length, hot, bits, size", [(200, 2000, 8, 1 << 21), (200, 0, 4, 1 << 21), (64, 2, 2, 3000), (200, 2000, 0, 250)])
