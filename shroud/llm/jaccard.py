@@ -56,7 +56,7 @@ FRAGMENTS = 4                   # of the comparison; the count of shared n-grams
 BLOCK_SETS = 512
 
 
-def shared_ngrams(df: DataFrame, *, key: str, text: str, words: int, percent: int, fragment_bits: int) -> DataFrame:
+def shared_ngrams(df: DataFrame, *, key: str, text: str, words: int, percent: int, fragment_bits: int, block_bytes: int) -> DataFrame:
     """Step 1: ``id, key, n, set, shared, frequency`` of every row.
 
     ``id`` numbers the rows; ``set`` is a digest of the n-gram set (null if
@@ -108,7 +108,7 @@ def shared_ngrams(df: DataFrame, *, key: str, text: str, words: int, percent: in
                 keys.append(k)
                 texts.append(data)
                 size += len(data)
-                if size >= BLOCK_BYTES or len(keys) >= BLOCK_ROWS:
+                if size >= block_bytes or len(keys) >= BLOCK_ROWS:
                     yield from flush()
                     number, keys, texts, size = number + 1, [], [], 0
         if keys:
@@ -319,10 +319,14 @@ def open_links(postings: DataFrame, nodes: DataFrame, percent: int, fragments: i
     return counted.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(summed, "a long, b long")
 
 
-def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, fragment_bits: int = 8, hub_rounds: int = 1) -> DataFrame:
-    """``key, n_shingles, component_id`` of each row: components under Jaccard similarity >= percent / 100."""
+def join(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, fragment_bits: int = 8, hub_rounds: int = 1,
+         block_bytes: int | None = None) -> DataFrame:
+    """``key, n_shingles, component_id`` of each row: components under Jaccard similarity >= percent / 100.
+
+    ``block_bytes``: text that a task holds at a time (``BLOCK_BYTES`` by default); smaller blocks need less memory and shuffle a little more.
+    """
     bare = df.select(F.col(key).alias("k"), F.col(text).alias("t"))         # no name of the input meets one of ours
-    rows = written(shared_ngrams(bare, key="k", text="t", words=words, percent=percent, fragment_bits=fragment_bits), "ngrams")
+    rows = written(shared_ngrams(bare, key="k", text="t", words=words, percent=percent, fragment_bits=fragment_bits, block_bytes=block_bytes or BLOCK_BYTES), "ngrams")
     equal = rows.where("set is not null").groupBy("set").agg(F.min("id").alias("node"))
     nodes = written(rows.where("shared is not null").join(equal, "set").where("id = node").select("id", "n", "shared", "frequency"), "sets")
 
