@@ -24,7 +24,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents that the classifier chain rejects go."""
-    small_batches(spark)
+    small_batches(spark, rows=250, size=1 << 20)
     return toxicity.keep_clean(docs, toxicity.train_on(docs, table(spark, sf_dir, "labels")))
 
 
@@ -32,18 +32,18 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Operator 7: of each group of near-duplicates one row stays, that of the smallest doc_id (null last; among
     rows of one id, of the least digest).  Rows equal in all columns are one; other rows go by themselves, whatever their ids.
     """
-    small_batches(spark)
+    small_batches(spark, rows=500, size=1 << 20)
     rows = docs.select(F.struct("doc_id", "text").alias("of"), F.struct("*").alias("row"))    # no column of docs meets one of ours
     rows = rows.withColumn("digest", F.unhex(F.sha2(F.to_json("row", {"ignoreNullFields": "false"}), 256)))
     name = F.struct(F.col("of.doc_id").isNull().alias("none"), F.col("of.doc_id"), "digest").alias("name")
-    found = jaccard.join(rows.select(name, F.col("of.text").alias("text")), key="name")
+    found = jaccard.join(rows.select(name, F.col("of.text").alias("text")), key="name", block_bytes=2 << 20)
     gone = found.where(F.col("name") != F.col("component_id")).select(F.col("name.digest").alias("digest")).distinct()
     return rows.join(gone, "digest", "left_anti").dropDuplicates(["digest"]).select("row.*")
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: byte strings of 200 bytes that occur more than once are cut out."""
-    small_batches(spark, size=4 << 20)
+    small_batches(spark, rows=500, size=2 << 20)
     return _counted(suffix.without_repeats(docs))
 
 
