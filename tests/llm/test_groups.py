@@ -263,6 +263,25 @@ def test_forward_is_the_sum_over_paths():
         np.testing.assert_allclose(mine, want, rtol=1e-4)
 
 
+def test_long_texts_in_segments(monkeypatch):
+    """Cut into segments or not, in small pieces or one: the same likelihoods and expected counts."""
+    rng = np.random.default_rng(4)
+    S, K = 4, 30
+    norm = lambda m: m / m.sum(-1, keepdims=True)
+    model = hmm.Model(norm(rng.random(S)), norm(rng.random((S, S)) ** 4), norm(rng.random((S, K)) ** 4).T)
+    size = [1, 700, 7, 8, 9, 64, 2, 350, 1, 16]
+    first, kinds = np.append(0, np.cumsum(size)), rng.integers(0, K, sum(size)).astype(np.uint16)
+    likely, counts = model.forward(first, kinds), model.expected(first, kinds)
+    assert counts[0].sum() == pytest.approx(len(size)) and counts[2].sum() == pytest.approx(sum(size))
+    assert counts[1].sum() == pytest.approx(sum(size) - len(size))
+    for cut, words in ((8, 1 << 20), (7, 100), (1, 1 << 20), (64, 1)):
+        monkeypatch.setattr(hmm, "CUT", cut)
+        monkeypatch.setattr(hmm, "PIECE_WORDS", words)
+        np.testing.assert_allclose(model.forward(first, kinds), likely, rtol=1e-10)
+        for mine, want in zip(model.expected(first, kinds), counts):
+            np.testing.assert_allclose(mine, want, rtol=1e-8, atol=1e-12)
+
+
 def test_language_model_learns(spark):
     rng = random.Random(1)
     kinds = [["the", "of", "ing", "shore", "thin"], ["les", "eau", "que", "entre", "ment"]]
