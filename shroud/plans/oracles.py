@@ -204,6 +204,7 @@ def type_rollup() -> str:
 ORACLES = {
     "gazetteer_hits": carriers.expected_entities_sql(_NAMED, "o_orderkey", carriers.NAME_SEGMENTS),
     "mask_gazetteer": mask_gazetteer(),
+    "tagged_names": f"""SELECT o_orderkey, ctype, start, "end" FROM ({carriers.expected_entities_sql(_NAMED, "o_orderkey", carriers.NAME_SEGMENTS)}) WHERE ctype <> 'LOC'""",
     "detect_phone_plan": f'SELECT c_custkey, start, "end", original FROM ({carriers.expected_entities_sql("customer", "c_custkey", carriers.PLAN_SEGMENTS)})',
     "context_forms": context_forms(),
     "type_rollup": type_rollup(),

@@ -18,6 +18,7 @@ from ..operators.gazetteer import gazetteer_spans
 from ..operators.mask import entries_view, mask, prepare
 from ..operators.resolve import canonical
 from ..operators.sessions import mask_sessions
+from ..operators.tagger import tagged_spans, train
 from ..operators.unmask import unmask, unmask_with_entries
 from ..session import ensure_checkpoint_dir, scratch_path, tune
 from ..sources import store as S
@@ -453,6 +454,14 @@ def gazetteer_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select(F.col("seq").alias("o_orderkey"), F.col("entity_type").alias("ctype"), "original", "start", "end")
 
 
+def tagged_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sequence model learnt from the gazetteer's spans in the texts of even customers finds the names in all texts."""
+    t = _named_texts(spark, sf_dir)
+    some = t.join(read_table(spark, sf_dir, "orders").where("o_custkey % 2 = 0").select(F.col("o_orderkey").alias("seq")), "seq", "left_semi")
+    found = tagged_spans(t, train(some, gazetteer_spans(some, _names(spark, sf_dir))))
+    return found.select(F.col("seq").alias("o_orderkey"), F.col("entity_type").alias("ctype"), "start", "end")
+
+
 def mask_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J9 + D15 + D16 + F12: the gazetteer's spans go through masking as NER spans; LOC is not masked."""
     t = _named_texts(spark, sf_dir)
@@ -522,6 +531,7 @@ QUERIES = {
     "mask_hint": mask_hint,
     "gazetteer_hits": gazetteer_hits,
     "mask_gazetteer": mask_gazetteer,
+    "tagged_names": tagged_names,
     "detect_phone_plan": detect_phone_plan,
     "context_forms": context_forms,
     "type_rollup": type_rollup,
