@@ -28,3 +28,11 @@ def test_customer_texts_are_dealt_out(spark, customers, monkeypatch, query):
     plan = Q.QUERIES[query](spark, customers)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [c_custkey" in plan and ", 40" in plan
     assert Q._customers(spark, customers).rdd.getNumPartitions() == 40
+
+
+def test_only_needed_salts_are_computed(spark, settings, monkeypatch):
+    """A value whose first candidate is free computes no other one."""
+    plain = type(G.SPARK).hmac_hex
+    monkeypatch.setattr(type(G.SPARK), "hmac_hex", lambda self, ipad, opad, sid, t, o, salt: f"IF({salt} > 0, CAST(raise_error('salt') AS STRING), {plain(self, ipad, opad, sid, t, o, salt)})")
+    r = mask(texts(spark, [("a", "ИНН 7707083893, почта ivan@company.ru")]), settings).first()
+    assert len(r["entries"]) == 2 and "7707083893" not in r["masked_text"]
