@@ -36,3 +36,15 @@ def test_only_needed_salts_are_computed(spark, settings, monkeypatch):
     monkeypatch.setattr(type(G.SPARK), "hmac_hex", lambda self, ipad, opad, sid, t, o, salt: f"IF({salt} > 0, CAST(raise_error('salt') AS STRING), {plain(self, ipad, opad, sid, t, o, salt)})")
     r = mask(texts(spark, [("a", "ИНН 7707083893, почта ivan@company.ru")]), settings).first()
     assert len(r["entries"]) == 2 and "7707083893" not in r["masked_text"]
+
+
+def test_unmask_with_entries_of_any_shape(spark, settings):
+    """Outs of other shapes, one inside another, with characters of the regex language, over unions of runs of digits."""
+    cases = [("a", "клиент №5!, <P 1><P 1>", {"клиент №5!": "A", "<P 1>": "B"}, "A, BB", 3),
+             ("b", r"x \E[1] y", {r"\E[1]": "q$1"}, "x q$1 y", 1),
+             ("c", "😀12 34 56 78 90 12 34", {"34 56 78 90": "A", "12 34": "B"}, "😀B 56 78 90 B", 2),
+             ("d", "aXbXc", {"Xb": "1", "aXbX": "2", "X": "3"}, "2c", 1),
+             ("e", "plain", {}, "plain", 0), ("f", None, {"X": "1"}, None, 0), ("g", "keep", {"": "1"}, "keep", 0)]
+    df = spark.createDataFrame([(k, t, list(m.items())) for k, t, m, *_ in cases] + [("h", "null", None)], ENTRIES)
+    got = {r["session_id"]: (r["unmasked_text"], r["tokens_replaced"]) for r in unmask_with_entries(df, settings, text="text").collect()}
+    assert got == {k: (t, n) for k, _, _, t, n in cases} | {"h": ("null", 0)}
