@@ -48,3 +48,23 @@ def test_unmask_with_entries_of_any_shape(spark, settings):
     df = spark.createDataFrame([(k, t, list(m.items())) for k, t, m, *_ in cases] + [("h", "null", None)], ENTRIES)
     got = {r["session_id"]: (r["unmasked_text"], r["tokens_replaced"]) for r in unmask_with_entries(df, settings, text="text").collect()}
     assert got == {k: (t, n) for k, _, _, t, n in cases} | {"h": ("null", 0)}
+
+
+def test_estimates_of_compressed_files_broadcast_nothing(spark, customers):
+    """Long texts around the narrow key of a small file are not taken for a small table."""
+    c = Q._customers(spark, customers).select("c_custkey", F.repeat(F.lit("x"), 50000).alias("text"))
+    plan = c.join(c.withColumnRenamed("text", "other"), "c_custkey")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("query, run", [("stream_sessions", "run_stream_unmask"), ("stream_mask", "run_stream_mask")])
+def test_a_micro_batch_is_more_than_one_file(spark, customers, monkeypatch, query, run):
+    class Seen(Exception):
+        pass
+
+    def stop(spark, path, *args, **kw):
+        raise Seen(len(spark.read.parquet(path).inputFiles()))
+    monkeypatch.setattr(Q, run, stop)
+    with pytest.raises(Seen) as seen:
+        Q.QUERIES[query](spark, customers if query == "stream_sessions" else "/root/testdata/sf0.001")
+    assert seen.value.args[0] > 1
