@@ -68,3 +68,13 @@ def test_a_micro_batch_is_more_than_one_file(spark, customers, monkeypatch, quer
     with pytest.raises(Seen) as seen:
         Q.QUERIES[query](spark, customers if query == "stream_sessions" else "/root/testdata/sf0.001")
     assert seen.value.args[0] > 1
+
+
+def test_chunks_are_cut_in_one_pass(spark):
+    """No chunk is read from the beginning of its text; null and empty texts are one chunk."""
+    from shroud.streaming.chunks import cut_chunks
+    df = spark.createDataFrame([("a", "😀bcdefg\nhij"), ("b", ""), ("c", None), ("d", "abcd")], "session_id string, text string")
+    cut = cut_chunks(df, size=F.lit(4))
+    assert "substring(text" not in cut._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, cut.collect()), key=lambda r: r[:2]) == [
+        ("a", 0, "😀bcd", False), ("a", 1, "efg\n", False), ("a", 2, "hij", True), ("b", 0, "", True), ("c", 0, None, True), ("d", 0, "abcd", True)]
