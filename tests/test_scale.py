@@ -78,3 +78,9 @@ def test_chunks_are_cut_in_one_pass(spark):
     assert "substring(text" not in cut._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, cut.collect()), key=lambda r: r[:2]) == [
         ("a", 0, "😀bcd", False), ("a", 1, "efg\n", False), ("a", 2, "hij", True), ("b", 0, "", True), ("c", 0, None, True), ("d", 0, "abcd", True)]
+
+
+def test_order_texts_are_dealt_out(spark, monkeypatch):
+    """The names in texts of orders are looked for in many tasks, whatever the joins before left."""
+    monkeypatch.setattr(Q, "ROWS_PER_TASK", 50)
+    assert Q._named_texts(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 30
