@@ -51,9 +51,10 @@ LENGTH = 200
 GRAM = 32
 BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 1 << 16
-SEGMENT = 1 << 20
-SORT_BYTES = 1 << 19
+SEGMENT = 1 << 18
+SORT_BYTES = 1 << 18
 FRAGMENT_BITS = 8
+FRAGMENT_BLOCKS = 4            # a fragment (of the gram hash) for that many blocks, but 2**FRAGMENT_BITS at least
 HOT_BLOCKS = 2000
 WIRE = "to long, block long, part int, a binary, b binary, c binary"
 NAMES = ["to", "block", "part", "a", "b", "c"]
@@ -88,8 +89,8 @@ def _named(keys: np.ndarray) -> tuple[np.ndarray, int]:
     """Names 1, 2, ... of the keys in their order."""
     order = np.argsort(keys)
     sorted_keys = keys[order]
-    names = np.empty(len(keys), np.int64)
-    names[order] = np.cumsum(np.append(True, sorted_keys[1:] != sorted_keys[:-1]))
+    names = np.empty(len(keys), np.int32)
+    names[order] = np.cumsum(np.append(True, sorted_keys[1:] != sorted_keys[:-1]), dtype=np.int32)
     return names, int(names[order[-1]])
 
 
@@ -114,6 +115,7 @@ def suffix_ranks(letters: np.ndarray, cover: int, step: int, depth: int, wide: n
     else:
         keys, reach = _triple(s[sample], s[sample + 1], s[sample + 2], small), cover + 2 * step
     names, last = _named(keys)
+    del keys
     if last < len(sample) and reach < depth:
         names = suffix_ranks(names, reach, 3 * step, depth) + 1
     rank = np.zeros(n + 3, np.int64)
@@ -143,7 +145,7 @@ def repeated_starts(data: np.ndarray, starts: np.ndarray, weight: np.ndarray, le
     if not len(starts):
         return np.zeros(0, bool)
     wide = eights(data)
-    ranks = suffix_ranks(data.astype(np.int64) + 1, 1, 1, length, wide)
+    ranks = suffix_ranks(data.astype(np.int32) + 1, 1, 1, length, wide)
     order = np.argsort(ranks[starts], kind="stable")
     at = starts[order]
     tail = np.uint64(0xFFFFFFFFFFFFFFFF) << np.uint64(8 * (-length % 8))
@@ -194,7 +196,7 @@ def anchors(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarra
     change = np.zeros(len(data) + 1, np.int8)
     np.add.at(change, begins[long], 1)
     np.add.at(change, ends[long] - length + 1, -1)
-    valid = np.cumsum(change[:-1]).astype(bool)
+    valid = np.cumsum(change[:-1], dtype=np.int8).view(bool)     # 0 or 1: documents do not overlap
     opens = np.zeros(len(data) + 1, bool)
     opens[begins[long]] = True
     out = []
@@ -212,7 +214,8 @@ def anchors(data: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarra
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(starts)) - 1
         anchor = at[starts[first]]
-        out.append((a + anchor, a + starts[first], a + starts[last], h[anchor] >> np.uint64(16)))
+        # mixed once more: the least of many hashes is small, so its upper bits would put half of all anchors into one fragment
+        out.append((a + anchor, a + starts[first], a + starts[last], mix(h[anchor] ^ np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)))
     if not out:
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64)
@@ -224,6 +227,12 @@ def _block(row: tuple) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(zstandard.decompress(row[4], max_output_size=int(sizes.sum()) + 1), np.uint8), sizes
 
 
+def marked(packed_bits: bytes, size: int) -> np.ndarray:
+    """Whether a repeated string starts at each byte of a block, from a bit for each."""
+    bits = np.unpackbits(np.frombuffer(zstandard.decompress(packed_bits), "u1"), count=size)
+    return bits.view(bool)
+
+
 # --- the distributed job -----------------------------------------------------------------------------------------
 
 def _blocks(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -257,12 +266,18 @@ def _blocks(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key), F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
+def bits_for(n_blocks: int, least: int) -> int:
+    """A task holds one fragment at a time: their number follows the input, so that what it holds does not."""
+    return max(least, min((n_blocks // FRAGMENT_BLOCKS).bit_length(), 16))
+
+
 def repeated(df: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, fragment_bits: int = FRAGMENT_BITS,
              hot_blocks: int = HOT_BLOCKS, sort_bytes: int = SORT_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Blocks of documents, and for each block the starts (in its bytes) of strings that occur elsewhere too."""
+    """Blocks of documents, and for each block the starts (in its bytes; see :func:`marked`) of strings that occur elsewhere too."""
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     blocks = written(_blocks(df, key, text), "blocks")
+    fragment_bits = bits_for(blocks.count(), fragment_bits)
     low = np.uint64(48 - fragment_bits)
     bounds = np.arange(1, 1 << fragment_bits, dtype=np.uint64) << low
 
@@ -323,7 +338,7 @@ def repeated(df: DataFrame, *, key: str = "doc_id", text: str = "text", length:
                 continue
             for i in range(a, z + 1):
                 name = hashlib.blake2b(raw[i:i + length], digest_size=16).digest()
-                lists.setdefault((name[0], 1), {}).setdefault(name, []).append(i)
+                lists.setdefault((int.from_bytes(name[:4], "big") >> 32 - fragment_bits, 1), {}).setdefault(name, []).append(i)
         for (f, is_hot), found in lists.items():
             n = np.array([len(x) for x in found.values()], "<u4")
             sizes = np.array([len(x) for x in found], "<u4")
@@ -448,11 +463,13 @@ def repeated(df: DataFrame, *, key: str = "doc_id", text: str = "text", length:
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Starts of repeated strings of each block, from the marks and from where its texts stand."""
+        press = zstandard.ZstdCompressor(level=1)
+
         def sent() -> Iterator[tuple]:
             for (block,), held in groups(((r[1], r) for r in rows(batches)), 1):
                 held = [h[1] for h in held]
-                back = {r[2]: np.frombuffer(r[5], "u1").astype(bool) for r in held if r[2] >= 0}
-                starts = []
+                back = {r[2]: np.frombuffer(r[5], bool) for r in held if r[2] >= 0}
+                starts = np.zeros(0, bool)
                 for r in held:
                     if r[2] < 0:
                         part = -2 - r[2]
@@ -464,10 +481,12 @@ def repeated(df: DataFrame, *, key: str = "doc_id", text: str = "text", length:
                         w = width[text]
                         inner = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
                         hit = back[part][np.repeat(begin[text], w) + inner]
-                        starts.append((np.repeat(at, w) + inner)[hit])
-                starts = np.unique(np.concatenate(starts))
-                if len(starts):
-                    yield OWN, block, 0, packed(starts.astype(np.uint64)), None, None
+                        found = (np.repeat(at, w) + inner)[hit]
+                        if len(found) and found.max() >= len(starts):
+                            starts = np.append(starts, np.zeros(max(int(found.max()) + 1, 2 * len(starts)) - len(starts), bool))
+                        starts[found] = True
+                if starts.any():
+                    yield OWN, block, 0, press.compress(np.packbits(starts).tobytes()), None, None
         yield from in_batches(sent(), NAMES, TYPES)
 
     bare = blocks.drop("keys")
@@ -497,13 +516,14 @@ def dedup(df: DataFrame, *, key: str = "doc_id", text: str = "text", length: int
         for _, held in groups(one(), 1):
             own = next(h[1] for h in held if h[1][2] < 0)
             data, sizes = _block(own)
-            change = np.zeros(len(data) + 1, np.int64)
+            starts = np.zeros(len(data), bool)
             for h in held:
                 if h[1][2] >= 0:
-                    starts = unpacked(h[1][3]).astype(np.int64)
-                    change[starts] += 1
-                    np.subtract.at(change, starts + length, 1)
-            gone = np.cumsum(change[:-1]) > 0
+                    starts |= marked(h[1][3], len(data))
+            so_far = np.cumsum(starts, dtype=np.int32)
+            gone = so_far > 0
+            gone[length:] = so_far[length:] > so_far[:-length]
+            del so_far
             ends = np.cumsum(sizes)
             out = []
             for k, a, z in zip(own[6], (ends - sizes).tolist(), ends.tolist()):

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -148,6 +149,33 @@ def test_suffix_odd_tables(spark):
     assert [out[0].text, out[1].text] == kept
 
 
+def test_suffix_working_sets(spark, monkeypatch):
+    """What a task holds: one sort, the anchors of one block, a fragment whose share of the input is bounded, marks as bits."""
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 123, 4 << 20).astype(np.uint8)
+
+    def peak(f, *args):
+        tracemalloc.start()
+        f(*args)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most / 1e6
+
+    n = suffix.SORT_BYTES
+    assert peak(suffix.repeated_starts, np.concatenate([data[:n // 2]] * 2), np.arange(n - 200), np.ones(n - 200, np.int64), 200) < 32
+    assert peak(suffix.anchors, data, np.full(4096, 1024), 200) < 45
+    grams = suffix.anchors(data, np.full(4096, 1024), 200)[3]
+    assert np.bincount((grams >> np.uint64(40)).astype(int), minlength=256).max() < 2 * len(grams) / 256      # least hashes, evenly dealt
+    monkeypatch.setattr(suffix, "BLOCK_BYTES", 20_000)
+    letters = data[:300_000].tobytes().decode()
+    texts = [letters[i:i + 1000] for i in range(0, 300_000, 1000)]
+    blocks, marks = suffix.repeated(docs(spark, texts + texts), fragment_bits=0)
+    sizes = {r.block: len(r.a) // 8 * 1000 for r in blocks.collect()}
+    starts = {r.block: suffix.marked(r.a, sizes[r.block]) for r in marks.collect()}
+    assert sum(x.sum() for x in starts.values()) == 600 * 801 and max(len(r.a) for r in marks.collect()) < 20_000 / 8 + 200
+    assert [suffix.bits_for(n, 8) for n in (0, 130, 1023, 7500, 75000)] == [8, 8, 8, 11, 15]
+
+
 def test_embedding_links(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(12, 16))
