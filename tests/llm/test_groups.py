@@ -310,6 +310,25 @@ def test_long_texts_in_segments(monkeypatch):
             np.testing.assert_allclose(mine, want, rtol=1e-8, atol=1e-12)
 
 
+def test_rounds_take_few_steps():
+    """Each step of a round costs some calls: pieces are so wide that texts of all lengths share their steps, cut ones too."""
+    rng = np.random.default_rng(5)
+    size = rng.integers(1, 2000, 3000)
+    size[:3] = 20_000, 9000, 9000
+    first, kinds = np.append(0, np.cumsum(size)), rng.integers(0, 30, size.sum()).astype(np.uint16)
+    pieces = [p for _, p in hmm._pieces(first, kinds)]
+    assert sum(len(p.left) for p in pieces) < 1.2 * hmm.CUT and sum(len(p.kinds) for p in pieces) == len(kinds)
+    emit = rng.random((30, 3))
+    model = hmm.Model(np.full(3, 1 / 3), np.full((3, 3), 1 / 3), emit / emit.sum(0))
+    tracemalloc.start()
+    start, move, emits, likely = pieces[0].counts(model)
+    assert tracemalloc.get_traced_memory()[1] < 24 * 1.6 * len(pieces[0].kinds)    # its states and little more
+    tracemalloc.stop()
+    assert likely == pytest.approx(pieces[0].likely(model).sum()) and emits.sum() == pytest.approx(len(pieces[0].kinds))
+    distinct, number = hmm.numbered([b"b a b", b"", b"a c"], 64)[1::2]
+    assert number.tolist()[0] == number[2] and (np.diff(distinct.astype(float)) > 0).all() and distinct[number[3]] == distinct[number[4]] == hmm.END
+
+
 def test_language_model_learns(spark):
     rng = random.Random(1)
     kinds = [["the", "of", "ing", "shore", "thin"], ["les", "eau", "que", "entre", "ment"]]
