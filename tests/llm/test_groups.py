@@ -198,6 +198,22 @@ def test_embedding_links(spark):
     assert near.link(df.limit(0)).count() == 0
 
 
+def test_embedding_links_write_each_vector_once(spark, monkeypatch):
+    """What is written does not grow with the number of cells, also where every vector may have partners in most cells."""
+    x = np.random.default_rng(5).normal(size=(600, 32))
+    x = np.concatenate([x, x[:40] + 0.01])
+    tables = []
+
+    def spied(df, name, of=near.written):
+        tables.append(of(df, name))
+        return tables[-1]
+    monkeypatch.setattr(near, "written", spied)
+    got = near.link(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), cell_rows=20, block_rows=32)
+    assert got.where("n_links = 1").count() == 80 and got.where("n_links = 0").count() == 560
+    vectors = [t.agg(F.sum(F.octet_length("data"))).first()[0] for t in tables if "data" in t.columns]
+    assert vectors and sum(vectors) <= 2 * x.nbytes
+
+
 def test_exact_search(spark):
     rng = np.random.default_rng(6)
     x = [list(map(float, v)) for v in rng.normal(size=(700, 8)) * rng.choice([0.2, 1, 3], (700, 1))]
