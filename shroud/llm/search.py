@@ -4,9 +4,14 @@ Candidates are dealt into shards of bounded size around pivots; each task
 builds a cover tree on its shard and one on its queries.  The two are descended
 together: a pair of nodes with centres ``p``, ``r`` and covering radii ``a``,
 ``b`` cannot hold an inner product above ``p.r + |p| b + |r| a + a b``, and is
-dropped if that is below the worst k-th score of the node's queries.  The
+dropped if that is below the worst k-th score of the node's queries.  Points that lie too evenly for a cover
+of half the radius (about as many centres as points) stay together as a leaf: leaves are compared as products of matrices, of which only scores
+that beat a query's k-th are looked at.  The
 search goes first to each query's own shard; the k-th scores found there are
-the floor for all other shards.
+the floor for the search over all shards.
+
+A shard is one row, and so is a block of queries; both tables are written once, and meet as a product: a task takes a
+block of queries through some of the shards with the k best so far, so a query leaves k rows per such task and not per shard.
 
 Components are integers (``floor(scale * x)``), so scores are exact.
 
@@ -22,7 +27,6 @@ columns are passed by.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +35,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .vectors import matrix
+from .vectors import matrix, product
 
 SHARD_ROWS = 4096
 QUERY_ROWS = 8192
 PIVOTS = 64
 LEAF = 48
 QUERY_LEAF = 8
+POINTS = 2048               # of a leaf compared at a time
+SHARD = ["shard", "size", "ids", "data"]
+ASKED = ["block", "size", "ids", "data", "floors", "rows"]
 
 
 class CoverTree:
@@ -63,17 +70,23 @@ class CoverTree:
             if len(points) <= leaf or scale <= 0:
                 self.points[node] = points
                 continue
-            left, far_left, at = points, far, self.centre[node]
+            left, far_left, at, parts = points, far, self.centre[node], []
             while len(left):
                 near = far_left <= scale
-                mine = left[near]
-                child = self._node(at, far_left[near].max())
-                self.children[node].append(child)
-                todo.append((child, mine, far_left[near]))
+                parts.append((at, left[near], far_left[near]))
                 left = left[~near]
+                if len(parts) >= 32 and len(points) - len(left) < 4 * len(parts):
+                    break                                    # nothing is near anything
                 if len(left):
                     at = int(left[0])
                     far_left = self._distance(at, left)
+            if len(left):
+                self.points[node] = points
+                continue
+            for at, mine, far_mine in parts:
+                child = self._node(at, far_mine.max())
+                self.children[node].append(child)
+                todo.append((child, mine, far_mine))
         self.c = x[self.centre]
         self.norm = np.sqrt(self.square[self.centre])
         self.r = np.array(self.radius)
@@ -91,18 +104,31 @@ class CoverTree:
 
 
 class DualSearch:
-    """The k best of ``ids`` (vectors ``x``) for each query, no score below the query's ``floor``."""
+    """The k best of ``ids`` (vectors ``x``) for each query, no score below the query's ``floor``; ``add`` goes on with more candidates."""
 
     def __init__(self, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, k: int):
-        self.R, self.Q, self.ids, self.q_ids, self.k = CoverTree(x), CoverTree(q, QUERY_LEAF), ids, q_ids, k
-        self.floor = floor
+        self.Q, self.q_ids, self.k, self.floor = CoverTree(q, QUERY_LEAF), q_ids, k, floor
+        self.largest = float(np.sqrt(self.Q.square.max()))
         self.score = np.full((len(q), k), -np.inf)
         self.found = np.full((len(q), k), np.iinfo(np.int64).max)
         self.compared = 0
+        self.add(x, ids)
+
+    def add(self, x: np.ndarray, ids: np.ndarray) -> None:
+        if not len(x):
+            return
+        by = np.argsort(ids, kind="stable")                  # of equal scores the smaller ids come first
+        self.R, self.ids = CoverTree(x[by]), ids[by]
+        # whole numbers: products and their sums are exact in single precision as long as |q| |x| is below 2**24
+        kind = np.float32 if self.largest * np.sqrt(self.R.square.max()) < 1 << 24 else np.float64
+        self.q, self.x = self.Q.x.astype(kind, copy=False), self.R.x.astype(kind, copy=False)
         self._descend(0, np.array([0]))
 
-    def _worst(self, node_points: np.ndarray) -> float:
-        return float(np.maximum(self.score[node_points, -1], self.floor[node_points]).min())
+    def _least(self, queries: np.ndarray) -> np.ndarray:
+        return np.maximum(self.score[queries, -1], self.floor[queries])
+
+    def _worst(self, queries: np.ndarray) -> float:
+        return float(self._least(queries).min())
 
     def _bounds(self, q: int, nodes: np.ndarray) -> np.ndarray:
         Q, R = self.Q, self.R
@@ -125,28 +151,49 @@ class DualSearch:
                 if len(nodes):
                     self._descend(child, nodes)
             return
-        queue = [(-b, int(n)) for b, n in zip(self._bounds(q, nodes), nodes)]
-        heapq.heapify(queue)
-        while queue:
-            bound, n = heapq.heappop(queue)
-            if -bound < self._worst(own):
+        todo = nodes
+        while len(todo):                                     # the best leaves first, opened nodes' children with the rest
+            bounds = self._bounds(q, todo)
+            todo = todo[np.argsort(-bounds, kind="stable")]
+            if bounds.max() < self._worst(own):
                 return
+            n = int(todo[0])
             if self.R.points[n] is None:
-                children = np.array(self.R.children[n])
-                for b, c in zip(self._bounds(q, children), children):
-                    heapq.heappush(queue, (-b, int(c)))
+                todo = np.concatenate([np.array(self.R.children[n], np.int64), todo[1:]])
             else:
-                self._compare(own, self.R.points[n])
+                some = 1                                     # small leaves next in line are compared together
+                size = len(self.R.points[n])
+                while some < len(todo) and (more := self.R.points[todo[some]]) is not None and size + len(more) <= LEAF:
+                    some, size = some + 1, size + len(more)
+                points = self.R.points[n] if some == 1 else np.sort(np.concatenate([self.R.points[m] for m in todo[:some]]))
+                for i in range(0, len(points), POINTS):
+                    self._compare(own, points[i:i + POINTS])
+                todo = todo[some:]
 
     def _compare(self, queries: np.ndarray, points: np.ndarray) -> None:
-        s = self.Q.x[queries] @ self.R.x[points].T
-        ids = np.broadcast_to(self.ids[points], s.shape)
-        self.compared += s.size
-        s = np.where((ids == self.q_ids[queries][:, None]) | (s < self.floor[queries][:, None]), -np.inf, s)
-        s = np.concatenate([self.score[queries], s], 1)
-        ids = np.concatenate([self.found[queries], ids], 1)
-        best = np.lexsort((ids, -s), axis=-1)[:, :self.k]
-        self.score[queries], self.found[queries] = np.take_along_axis(s, best, 1), np.take_along_axis(ids, best, 1)
+        for i in range(0, len(queries), POINTS):
+            some = queries[i:i + POINTS]
+            s = self.q[some] @ self.x[points].T
+            self.compared += s.size
+            least = self._least(some)
+            # a score equal to the k-th counts if the id is smaller; whole numbers, so "at least" is exact in both precisions
+            r, c = np.nonzero(s >= np.where(np.isfinite(least), least, -np.finfo(s.dtype).max).astype(s.dtype)[:, None])
+            if not len(r):
+                continue
+            score, ids, at = s[r, c].astype(np.float64), self.ids[points[c]], some[r]
+            keep = (ids != self.q_ids[at]) & ((score > self.score[at, -1]) | (ids < self.found[at, -1]))
+            at, score, ids = at[keep], score[keep], ids[keep]
+            if not len(at):
+                continue
+            rows = np.unique(at)
+            held = np.isfinite(self.score[rows])
+            all_at = np.concatenate([np.repeat(rows, held.sum(1)), at])
+            all_score, all_ids = np.concatenate([self.score[rows][held], score]), np.concatenate([self.found[rows][held], ids])
+            order = np.lexsort((all_ids, -all_score, all_at))
+            all_at, all_score, all_ids = all_at[order], all_score[order], all_ids[order]
+            place = np.arange(len(all_at)) - np.searchsorted(all_at, all_at)
+            best = place < self.k
+            self.score[all_at[best], place[best]], self.found[all_at[best], place[best]] = all_score[best], all_ids[best]
 
 
 def top_k(df: DataFrame, is_query: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, scale: float = 64.0,
@@ -171,57 +218,101 @@ def top_k(df: DataFrame, is_query: Column, *, key: str = "vec_id", vector: str =
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cell = np.empty(len(b), np.int64)
-            for i, v in enumerate(b.column(2)):
-                x = np.frombuffer(v.as_buffer(), "<f8")
-                cell[i] = np.argmax(centres @ x - half) if len(x) == width else -len(x)     # nearest pivot; another length has cells of its own
+            data = [np.frombuffer(v.as_buffer(), "<f8") for v in b.column(2)]
+            cell = np.array([-len(x) for x in data], np.int64)                 # another length has cells of its own
+            at = np.array([i for i, x in enumerate(data) if len(x) == width], np.int64)
+            if len(at):
+                cell[at] = np.argmax(np.array([data[i] for i in at]) @ centres.T - half, axis=1)      # nearest pivot
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], ["id", "q", "data", "cell"])
 
     dealt = rows.mapInArrow(deal, row + ", cell long")
     sizes = dealt.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("salts"))
-    shards = written(dealt.join(sizes, "cell").select("id", "q", "data", (F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("id"), "salts")).alias("shard")), "shards")
+    placed = dealt.join(F.broadcast(sizes) if width and sizes.count() <= 4 * PIVOTS else sizes, "cell")
+    placed = placed.select("id", "q", "data", (F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("id"), "salts")).alias("shard"))
+
+    def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+        """Runs of rows with the same last ``keys`` columns."""
+        now, held = None, []
+        for b in batches:
+            last = [c.to_numpy() for c in b.columns[-keys:]]
+            cut = np.flatnonzero(np.append(True, np.any([np.diff(c) != 0 for c in last], axis=0))) if len(b) else []
+            for s, e in zip(cut, [*cut[1:], len(b)]):
+                if (here := tuple(int(c[s]) for c in last)) != now:
+                    if held:
+                        yield now, pa.Table.from_batches(held)
+                    now, held = here, []
+                held.append(b.slice(s, e - s))
+        if held:
+            yield now, pa.Table.from_batches(held)
+
+    def stacked(column: pa.ChunkedArray) -> np.ndarray:
+        return np.array([np.frombuffer(v.as_buffer(), "<f8") for v in column])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per shard; the places of its queries (of equal rows one) stand with it."""
+        for (shard,), t in runs(batches, 1):
+            ids, data = t.column(0).to_numpy(), t.column(2).to_pylist()
+            first = {(i, x): n for n, (i, x, q) in reversed(list(enumerate(zip(ids.tolist(), data, t.column(1).to_pylist())))) if q}
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(data[0])], pa.int32()), pa.array([ids.astype("<i8").tobytes()], pa.binary()),
+                                              pa.array([b"".join(data)], pa.binary()), pa.array([np.array(sorted(first.values()), "<i8").tobytes()], pa.binary())], [*SHARD, "asked"])
+
+    kinds = "shard long, size int, ids binary, data binary"
+    shards = placed.repartition(parts, "shard").sortWithinPartitions("shard", "id").select("id", "q", "data", "shard")
+    shards = written(shards.mapInArrow(pack, kinds + ", asked binary"), "shards")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The queries of each shard with the k-th score that they find in it."""
+        for b in batches:
+            for shard, size, ids, data, asked in zip(*(c.to_pylist() for c in b.columns)):
+                at = np.frombuffer(asked, "<i8")
+                if len(at):
+                    ids, x = np.frombuffer(ids, "<i8"), np.frombuffer(data, "<f8").reshape(-1, size // 8)
+                    floor = DualSearch(x, ids, x[at], ids[at], np.full(len(at), -np.inf), k).score[:, -1]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([v.tobytes() for v in x[at]], pa.binary()), pa.array(floor)], ["id", "data", "floor"])
+
     # A query is a distinct (id, components); ``row`` is its number.
-    asked = written(shards.where("q").select("id", "data", "shard").distinct().withColumn("row", F.monotonically_increasing_id()), "queries")
-    query_blocks = max(1, -(-asked.count() // query_rows))
+    asked = written(shards.mapInArrow(own, "id long, data binary, floor double").withColumn("row", F.monotonically_increasing_id()), "queries")
+    many = asked.groupBy(F.length("data").alias("size")).agg(F.ceil(F.count(F.lit(1)) / query_rows).alias("blocks"))
+    asked = asked.withColumn("size", F.length("data")).join(many, "size")
+
+    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (size, block), t in runs(batches, 2):
+            row = [block, size, t.column(0).to_numpy().tobytes(), b"".join(t.column(1).to_pylist()), t.column(2).to_numpy().tobytes(), t.column(3).to_numpy().tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, [pa.int64(), pa.int32(), *[pa.binary()] * 4])], ASKED)
+
+    asked = asked.select("id", "data", "floor", "row", "size", F.pmod(F.xxhash64("row"), "blocks").alias("block"))
+    asked = asked.repartition(parts, "size", "block").sortWithinPartitions("size", "block")
+    asked = written(asked.mapInArrow(blocked, "block long, size int, ids binary, data binary, floors binary, rows binary"), "asked")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a shard and block: candidates first, then queries with their floors."""
-        def run(held: dict) -> Iterator[pa.RecordBatch]:
-            if held[False] and held[True]:
-                (ids, x, *_), (q_ids, q, floor, numbers) = ([np.concatenate(c) for c in zip(*held[r])] for r in (False, True))
-                s = DualSearch(x, ids, q, q_ids, floor, k)
+        """A block of queries through the shards that come with it."""
+        now, s, numbers = None, None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if s is not None:
                 at, place = np.nonzero(np.isfinite(s.score))
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(s.found[at, place]), pa.array(s.score[at, place].astype(np.int64)), pa.array(numbers[at])], ["query_id", "vec_id", "score", "row"])
+                for i in range(0, len(at), 1 << 16):
+                    a, p = at[i:i + (1 << 16)], place[i:i + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(s.q_ids[a]), pa.array(s.found[a, p]), pa.array(s.score[a, p].astype(np.int64)), pa.array(numbers[a])],
+                                                     ["query_id", "vec_id", "score", "row"])
 
-        now, held = None, {False: [], True: []}
         for b in batches:
-            shard, block = b.column(0).to_numpy(), b.column(1).to_numpy()
-            role = np.array(b.column(2))
-            cut = np.flatnonzero(np.append(True, (np.diff(shard) != 0) | (np.diff(block) != 0) | (role[1:] != role[:-1]))) if len(b) else []
-            for s, e in zip(cut, [*cut[1:], len(b)]):
-                if (shard[s], block[s]) != now:
-                    yield from run(held)
-                    now, held = (shard[s], block[s]), {False: [], True: []}
-                part = b.slice(s, e - s)
-                held[bool(role[s])].append((part.column(3).to_numpy(), np.array([np.frombuffer(v.as_buffer(), "<f8") for v in part.column(4)]),
-                                            part.column(5).fill_null(-np.inf).to_numpy(), part.column(6).fill_null(-1).to_numpy()))
-        yield from run(held)
-
-    block = F.pmod(F.xxhash64("row"), F.lit(query_blocks))
-    candidates = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>")).alias("block"), F.lit(False).alias("role"), "id", "data", F.lit(None).cast("double").alias("floor"), F.lit(None).cast("long").alias("row"))
-    result = "query_id long, vec_id long, score long, row long"
-
-    def found(queries: DataFrame, name: str) -> DataFrame:
-        met = candidates.unionByName(queries).repartition(parts, "shard", "block").sortWithinPartitions("shard", "block", "role")
-        return written(met.mapInArrow(search, result), name)
-
-    first = found(asked.select("shard", block.alias("block"), F.lit(True).alias("role"), "id", "data", F.lit(None).cast("double").alias("floor"), "row"), "first")
-    floors = first.groupBy("row").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("floor"))
-    every = shards.groupBy("shard").agg(F.length(F.first("data")).alias("size")).withColumnRenamed("shard", "to")
-    lengths = asked.withColumn("size", F.length("data")).join(floors, "row", "left")
-    # The stated queries against all rows, in shards: a query goes to every other shard of its vector length.
-    spread = lengths.join(every.groupBy("size").agg(F.collect_list("to").alias("shards")), "size").withColumn("to", F.explode("shards")).where("`to` != shard")
-    rest = found(spread.select(F.col("to").alias("shard"), block.alias("block"), F.lit(True).alias("role"), "id", "data", "floor", "row"), "rest")
+            for i in range(len(b)):
+                block, size = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                x, ids = (np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in ((9, "<f8"), (8, "<i8")))
+                if (block, size) == now:
+                    s.add(x.reshape(-1, size // 8), ids)
+                    continue
+                yield from done()
+                now = block, size
+                q_ids, q, floor, numbers = (np.frombuffer(b.column(c)[i].as_buffer(), t).copy() for c, t in ((2, "<i8"), (3, "<f8"), (4, "<f8"), (5, "<i8")))
+                s = DualSearch(x.reshape(-1, size // 8), ids, q.reshape(-1, size // 8), q_ids, floor, k)
+        yield from done()
+
+    # The stated queries against all rows: a block of queries meets every shard of its vector length.
+    one, other = (t.select(*[F.col(c).alias(f"{c}_{side}") for c in names]) for t, names, side in ((asked, ASKED, "q"), (shards, SHARD, "r")))
+    met = product(one, other, F.col("size_q") == F.col("size_r"))
+    found = written(met.mapInArrow(search, "query_id long, vec_id long, score long, row long"), "found")
     order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
-    return (first.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

@@ -264,6 +264,20 @@ def test_dual_search_prunes():
     assert s.compared < 0.4 * 2000 * 40
 
 
+def test_dual_search_compares_evenly_spread_points_together(monkeypatch):
+    """Points without near neighbours are leaves of many points, not of one each; scores are exact in both precisions."""
+    rng = np.random.default_rng(9)
+    for scale in (64, 1 << 14):
+        x, calls = np.floor(scale * rng.normal(size=(1500, 48))), []
+        monkeypatch.setattr(search.DualSearch, "_compare", lambda s, q, p, of=search.DualSearch._compare: (calls.append(len(p)), of(s, q, p)))
+        s = search.DualSearch(x, np.arange(1500), x[::15], np.arange(0, 1500, 15), np.full(100, -np.inf), 5)
+        monkeypatch.undo()
+        for row, i in enumerate(range(0, 1500, 15)):
+            want = sorted((-int(v), j) for j, v in enumerate(x.astype(int) @ x[i].astype(int)) if j != i)[:5]
+            assert [(-int(a), b) for a, b in zip(s.score[row], s.found[row])] == want
+        assert len(calls) <= 20
+
+
 def test_language_model_counts(spark, corpus):
     got = {r.doc_id: r for r in hmm.score(docs(spark, corpus), classes=512, states=3).collect()}
     tokens = [brute.words(t) + [None] for t in corpus]
