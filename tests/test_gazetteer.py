@@ -173,3 +173,26 @@ def test_rollup_counts(spark):
     hits = spark.createDataFrame([("en", "A"), ("en", "A"), ("en", "B"), (None, "A")], "lang string, t string")
     got = {tuple(r) for r in type_counts_by(hits, "lang", "t").collect()}
     assert got == {("en", "A", 2, 0), ("en", "B", 1, 0), (None, "A", 1, 0), ("en", None, 3, 1), (None, None, 1, 1), (None, None, 4, 3)}
+
+
+def test_first_words_are_broadcast_by_their_own_size(spark, monkeypatch):
+    """Many names with one first word: shuffled by it, all words that begin one would be one task's."""
+    from shroud.operators import gazetteer
+    seen = []
+    monkeypatch.setattr(gazetteer, "leftmost_longest", lambda hits, keys, of=gazetteer.leftmost_longest: (seen.append(hits), of(hits, keys))[1])
+    names = spark.range(300).selectExpr("concat('Acme#', lpad(id, 6, '0')) AS name", "'ORG' AS entity_type")
+    texts = spark.range(40).selectExpr("'s' AS session_id", "id AS seq", "concat('From Acme#', lpad(id, 6, '0'), ' to Acme#00000X') AS text")
+    got = gazetteer.gazetteer_spans(texts, names, broadcast_bytes=2000)
+    assert sorted((r.seq, r.start, r.original) for r in got.collect()) == [(i, 5, f"Acme#{i:06d}") for i in range(40)]
+    joins = [x for x in seen[0]._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert [("strategy=broadcast" in x, "first#" in x) for x in sorted(joins, key=lambda x: "first#" in x)] == [(False, False), (True, True)]
+
+
+def test_training_reads_texts_once(spark, monkeypatch):
+    from shroud.operators.tagger import train
+    texts = spark.createDataFrame([("s", 1, "by Acme Ltd and Bob.")], "session_id string, seq long, text string")
+    spans = spark.createDataFrame([("s", 1, 3, "Acme Ltd", "ORG")], "session_id string, seq long, start int, original string, entity_type string")
+    calls = []
+    monkeypatch.setattr(type(texts), "collect", lambda self, of=type(texts).collect: (calls.append(1), of(self))[1])
+    model = train(texts, spans)
+    assert len(calls) == 1 and model.steps[0][2] > model.steps[0][1] and model.steps[2][2] > model.steps[2][1]
